@@ -32,18 +32,106 @@ def _crc32(text: str) -> str:
 OP9 = """
 WITH sized AS (
   SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents
-), at AS (
+), placed AS (
   SELECT doc_id, text, size, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
          (sum(size) OVER ())::BIGINT AS total
   FROM sized
 ), put AS (
-  SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INTEGER AS shard FROM at
+  SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INTEGER AS shard FROM placed
 )
 SELECT doc_id, size::BIGINT AS size, %s AS text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
 FROM put
 """
 
+# The blocks are dealt one by one here: every quotient is listed and the highest are taken.
+OP1 = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src
+  FROM documents
+), total AS (
+  SELECT sum(size)::BIGINT AS total, greatest(1, least(65536, (sum(size) + 32767)::BIGINT // 32768)) AS shards,
+         greatest(64, (sum(size) + 16777215)::BIGINT // 16777216) AS block
+  FROM sized
+), weighed AS (
+  SELECT src, sum(size)::BIGINT AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY src) - 1) % 3] AS w FROM sized GROUP BY src
+), filling AS (
+  SELECT *, 3 * words * sum(w) OVER (ORDER BY 3 * words / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+              <= (total - coalesce(sum(3 * words) OVER (ORDER BY 3 * words / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full
+  FROM weighed, total
+), targets AS (
+  SELECT src, words, block, shards, total,
+         CASE WHEN is_full THEN (3 * words)::DOUBLE
+              ELSE (total - sum(CASE WHEN is_full THEN 3 * words ELSE 0 END) OVER ())::DOUBLE * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () END AS target
+  FROM filling
+), seats AS (
+  SELECT src, count(*) FILTER (n <= (2 * total + block) // (2 * block)) AS blocks
+  FROM (SELECT src, total, block, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src) AS n
+        FROM targets, LATERAL (SELECT unnest(range(1, 2 + (2 * target / block)::BIGINT)) AS k))
+  GROUP BY src
+), hashed AS (
+  SELECT s.*, md5(concat_ws(':', 'mix', doc_id::VARCHAR, size::VARCHAR)) AS h,
+         ('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR, size::VARCHAR)), 1, 8))::BIGINT % shards AS shard, block
+  FROM sized s, total
+), cells AS (
+  SELECT src, shard, any_value(block) AS block, sum(size)::BIGINT AS words FROM hashed GROUP BY src, shard
+), dealt AS (
+  SELECT src, shard, count(*) FILTER (n <= blocks) AS quota
+  FROM (SELECT src, shard, blocks, row_number() OVER (PARTITION BY src ORDER BY words / (2 * k - 1) DESC, shard) AS n
+        FROM cells JOIN seats USING (src), LATERAL (SELECT unnest(range(1, 6 + 8 * words // block)) AS k))
+  GROUP BY src, shard
+), quotas AS (
+  SELECT c.*, least(quota * block, 3 * words) AS taken FROM cells c JOIN dealt USING (src, shard)
+), blocks AS (
+  SELECT src, shard, b, least(block, words - b * block) AS width, md5(concat_ws(':', 'mix', src, shard::VARCHAR, b::VARCHAR)) AS bh, taken % words AS rest
+  FROM quotas, LATERAL (SELECT unnest(range(0, (words + block - 1) // block)) AS b) WHERE words > 0
+), kept AS (
+  SELECT src, shard, b, greatest(0, least(width, rest - coalesce(sum(width) OVER (PARTITION BY src, shard ORDER BY bh, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used
+  FROM blocks
+), stream AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM hashed
+), extra AS (
+  SELECT doc_id, sum(greatest(0, least(start + size, b * block + used) - greatest(start, b * block)))::BIGINT AS more
+  FROM stream JOIN kept USING (src, shard) WHERE b * block < start + size AND (b + 1) * block > start GROUP BY doc_id
+)
+SELECT s.doc_id, s.source, s.size, t.words AS source_size, t.target, (coalesce(q.taken // nullif(q.words, 0), 0) * s.size + coalesce(e.more, 0))::BIGINT AS taken
+FROM stream s JOIN targets t USING (src) JOIN quotas q USING (src, shard) LEFT JOIN extra e ON e.doc_id = s.doc_id
+"""
+
+OP3 = """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT k.*, r.key IS NOT NULL AND doc_id <> first AS gone FROM keyed k LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP5 = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1,
+    "op3_line_dedup": OP3,
+    "op5_topk": OP5,
     "op7_url_rules": OP7,
+    "op9_sharding": OP9 % _crc32("text"),
 }
