@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sharding, topk, url_rules
+from . import line_dedup, mixing, sharding, simhash, topk, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op5_query(read(spark, sf_dir, "embeddings"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op10_query(read(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(read(spark, sf_dir, "pages"), url_rules.rules_frame(spark))
 
@@ -38,4 +42,5 @@ QUERIES: dict[str, Query] = {
     "op5_topk": op5_topk,
     "op7_url_rules": op7_url_rules,
     "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
 }
