@@ -10,7 +10,7 @@ must hold a digit or an @, as all labelled ones do, so windows without either
 are O throughout and are not decoded.
 
 Edge cases: a null text is empty; base spans always stay, and a tagged span that
-touches one is dropped; of equal starts the kinds keep their order; without any
+touches one is dropped; of equal starts the kinds keep their order; a tagged span that cuts a word or number is dropped; without any
 labelled window nothing is added; other columns are not read.
 """
 
@@ -181,7 +181,8 @@ def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if b - a >= 6 and TRIGGER.search(text, a, b):
+        cuts_word = (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+        if b - a >= 6 and not cuts_word and TRIGGER.search(text, a, b):
             found.append((a, kind, b))
         i = j
     return found

@@ -66,15 +66,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id`` and ``_fp`` for each row."""
+    """``_id``, ``_hash`` (XXH64 of the text) and ``_fp`` for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"_id": frame["_id"], "_fp": [fingerprint(t, width) for t in frame["_text"]]})
+            yield pd.DataFrame({"_id": frame["_id"], "_hash": frame["_hash"], "_fp": [fingerprint(t, width) for t in frame["_text"]]})
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return texts.mapInPandas(batches, f"_id {kind}, _fp long")
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    return texts.mapInPandas(batches, f"_id {kind}, _hash long, _fp long")
 
 
 def _syndrome(fp: Column) -> Column:
@@ -133,7 +133,7 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id``, ``_fp`` and ``_component``, the smallest id reachable over links, for each row."""
+    """``_id``, ``_hash``, ``_fp`` and ``_component``, the smallest id reachable over links, for each row."""
     prints = cut(fingerprints(docs, width, id_col, text_col))
     nodes = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_low")))
     roots = cut(components(links(nodes.select("_fp"), threshold)))
@@ -143,14 +143,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
     return prints.join(named, "_fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row left of each component: that with its smallest id. Rows without an id stay only
-    where their component has none, one of each fingerprint."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where(F.col("_id") == F.col("_component")).select("_id").distinct()
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64("text"))
-    named = docs.join(kept.withColumnRenamed("_id", id_col), id_col, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return named.select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row left of each component: that with its smallest id. Where no row of a component has an id,
+    one of each fingerprint stays."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    named = found.where(F.col("_id") == F.col("_component")).groupBy("_id", "_fp").agg(F.min("_hash").alias("_hash"))
+    nameless = found.where("_component is null").groupBy("_fp").agg(F.min("_hash").alias("_hash")).select(F.lit(None).alias("_id"), "_hash")
+    mark = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_k"), c.isNull().alias("_n")]
+    kept = named.select("_id", "_hash").union(nameless).select(*mark(F.col("_id")), "_hash")
+    marked = docs.select("*", *mark(F.col(id_col)), F.xxhash64(text_col).alias("_hash"))
+    equal = Window.partitionBy("_k", "_n", "_hash").orderBy("_hash")
+    one = marked.join(kept, ["_k", "_n", "_hash"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1")
+    return one.select(*docs.columns)
 
 
 def op10_query(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and the first four and five letters of longer ones. A bounded
+Terms are words and the first four to eight letters of longer ones, as endings vary. A bounded
 sample of the labelled rows that are not held out chooses the terms that speak
 for a toxic text; document frequencies of those are counted over all documents.
 The sampled rows are the index: TF-IDF vectors of length one, in posting lists
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Labelled rows that are drawn, about; terms that are kept, at most.
-FIT_ROWS, MAX_TERMS = 20_000, 4096
-#: A kept term is so many times as frequent in toxic rows, with this chi-square at least.
-LIFT, CHI_SQUARE = 3.0, 12.0
+FIT_ROWS, MAX_TERMS = 10_000, 4096
+#: A kept term is so many times as frequent in toxic rows, with this chi-square at least (high, as every word is tried).
+LIFT, CHI_SQUARE = 3.0, 30.0
+PREFIXES = (4, 5, 6, 7, 8)
 NEIGHBOURS, BLOCK = 15, 64
 #: Votes are told apart in so many steps.
 STEPS = 10
@@ -50,7 +51,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 def word_terms(raw: str) -> list[str]:
     out = []
     for w in [raw] if raw.isalpha() else LETTERS.findall(raw):
-        out += [w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)]
+        out += [w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)]
     return out
 
 
