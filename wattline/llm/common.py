@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows as one struct, ``_doc``, beside the given columns, so that no name of a table can clash with one of ours."""
+    return df.select(F.struct("*").alias("_doc"), *[c.alias(n) for n, c in columns.items()])
+
+
+def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], schema: str) -> DataFrame:
+    """Arrow batches through a function. ``make`` runs once a task; columns pass as Arrow, so null ids stay whole numbers."""
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        do = make()
+        for frame in frames:
+            yield pa.RecordBatch.from_pydict(do(frame))
+
+    return df.mapInArrow(batches, schema)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, every other character kept. All-ASCII values take the quicker built-in."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

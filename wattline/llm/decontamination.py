@@ -23,19 +23,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batch, packed
+
 WIDTH, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
 RADIUS = 24
 ITEMS_PER_PASS = 20_000
 REMEMBERED = 1 << 18
+#: Starts of windows that are fingerprinted at once.
+PART = 1 << 14
 NOT_WORD = re.compile(r"[\W_]+")
 #: Odd multipliers of a shingle's words, and of the last mixing (fixed values of splitmix64).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -149,13 +152,17 @@ class Benchmark:
             item_id, width, own = self.items[i]
             here = grams[width]
             length = min(len(own), len(here))
-            near = (np.array(places)[:, None] - np.arange(length)[None, :]).ravel()
-            starts = np.unique(np.clip(near, 0, len(here) - length))
-            lo, hi = starts[0], starts[-1] + length
+            # every start whose window covers one of the places
+            cover = np.zeros(len(here) + 2, np.int64)
+            np.add.at(cover, np.maximum(np.array(places) - length + 1, 0), 1)
+            np.add.at(cover, np.array(places) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(cover)[: len(here) - length + 1])
             best = (0.0, 0)
-            for k in within(prints(here[lo:hi], starts - lo, length), self.prints[i]):
-                s = int(starts[k])
-                best = max(best, (similarity(here[s : s + length], own), -s))
+            for some in np.split(starts, np.flatnonzero(np.diff(starts // PART)) + 1):
+                lo, hi = some[0], some[-1] + length
+                for near in within(prints(here[lo:hi], some - lo, length), self.prints[i]):
+                    s = int(some[near])
+                    best = max(best, (similarity(here[s : s + length], own), -s))
             if best[0] >= SIMILARITY:
                 out.append((item_id, best[0], -best[1], length + width - 1))
         return out
@@ -168,17 +175,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     schema = f"_id {kind}, _hash long, item_id {item_kind}, similarity double, first_word long, n_words long"
     items = benchmark.where("text is not null").select("item_id", "text")
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
-    out = None
+    item_type, out = (pa.string() if item_kind == "string" else pa.int64()), None
     for k in range(passes):
         group = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
 
-        def batches(frames: Iterator[pd.DataFrame], group=group) -> Iterator[pd.DataFrame]:
+        def search(group=group):
             known = Benchmark([tuple(r) for r in group])
-            for frame in frames:
-                rows = [(d, h, *m) for d, h, t in zip(frame["_id"], frame["_hash"], frame["_text"], strict=True) for m in known.search(t)]
-                yield pd.DataFrame(rows, columns=["_id", "_hash", "item_id", "similarity", "first_word", "n_words"])
 
-        found = texts.mapInPandas(batches, schema)
+            def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+                hits = [known.search(t) for t in frame["_text"].to_pylist()]
+                at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                found = [m for h in hits for m in h]
+                out = {"_id": frame["_id"].take(at), "_hash": frame["_hash"].take(at), "item_id": pa.array([m[0] for m in found], item_type)}
+                out["similarity"] = pa.array([m[1] for m in found], pa.float64())
+                return out | {c: pa.array([m[i] for m in found], pa.int64()) for i, c in ((2, "first_word"), (3, "n_words"))}
+
+            return do
+
+        found = by_batch(texts, search, schema)
         out = found if out is None else out.union(found)
     return out
 
@@ -186,7 +200,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     bad = matches(docs, benchmark, text_col=text_col, **options).select("_hash").distinct()
-    return docs.withColumn("_hash", F.xxhash64(text_col)).join(bad, "_hash", "left_anti").select(*docs.columns)
+    return packed(docs, _hash=F.xxhash64(text_col)).join(bad, "_hash", "left_anti").select("_doc.*")
 
 
 def op6_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

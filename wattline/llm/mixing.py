@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, cut
+from .common import SPACES, WORD, cut, packed
 
 SEED = "mix"
 
@@ -99,13 +99,14 @@ def decide(
     """The documents with ``_size``, ``source_size``, ``target``, ``passes`` (whole copies) and ``pieces`` (word ranges
     [lo, hi) taken once more).
 
-    A block has ``block_words`` words, more where there would be over ``max_blocks``; there is a shard for each
+    A block has ``block_words`` words, more where there would be over ``max_blocks``, less where there would be under
+    4,096; there is a shard for each
     ``shard_words`` words, up to ``max_shards``, which bounds what one source has to rank."""
     by_source = _sized(docs, None, id_col, text_col, source_col).groupBy("_source").agg(F.sum("_size").alias("source_size"))
     by_source = cut(by_source)
     total = int(by_source.agg(F.sum("source_size")).first()[0] or 0)
     n_shards = max(1, min(max_shards, -(-total // shard_words)))
-    block = max(block_words, -(-total // max_blocks))
+    block = max(1, min(block_words, total // 4096), -(-total // max_blocks))
     targets = _targets(by_source, total, weights, max_repeat)
     seats = targets.withColumns({"_all": F.lit(0), "_seats": F.lit((2 * total + block) // (2 * block)).cast("long")})
     seats = sainte_lague(seats, ["_all"], "_source", "target", "_seats").withColumnRenamed("quota", "_blocks")
@@ -146,17 +147,19 @@ def decide(
     return rows.withColumn("pieces", F.when((F.col("_size") > 0) & F.col("_stop").isNotNull(), pieces).otherwise(empty))
 
 
-def mix_texts(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: a row for each whole copy, and one with the words taken once more."""
-    rows = decide(docs, text_col=text_col, **options)
-    words = F.split(F.trim(F.col(text_col), F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
+    rows = packed(docs, _doc_id=F.col(id_col), _body=F.col(text_col), _from=F.col(source_col))
+    rows = decide(rows, id_col="_doc_id", text_col="_body", source_col="_from", **options)
+    words = F.split(F.trim(F.col("_body"), F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
     part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    copies = F.array_repeat(F.col(text_col), F.col("passes").cast("int"))
+    copies = F.array_repeat(F.col("_body"), F.col("passes").cast("int"))
     texts = F.when(F.size("pieces") > 0, F.array_append(copies, part)).otherwise(copies)
-    mixed = rows.where("_size > 0").withColumn("_copy", F.explode(texts)).withColumn(text_col, F.col("_copy"))
+    mixed = rows.where("_size > 0").select("_doc", F.explode(texts).alias("_copy"))
+    new = {text_col: F.col("_copy")}
     if length_col in docs.columns:
-        mixed = mixed.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return mixed.select(*docs.columns)
+        new[length_col] = F.char_length("_copy").cast(docs.schema[length_col].dataType)
+    return mixed.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op1_query(docs: DataFrame) -> DataFrame:

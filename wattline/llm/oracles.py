@@ -52,7 +52,7 @@ WITH sized AS (
   FROM documents
 ), total AS (
   SELECT sum(size)::BIGINT AS total, greatest(1, least(65536, (sum(size) + 32767)::BIGINT // 32768)) AS shards,
-         greatest(64, (sum(size) + 16777215)::BIGINT // 16777216) AS block
+         greatest(1, least(64, sum(size)::BIGINT // 4096), (sum(size) + 16777215)::BIGINT // 16777216) AS block
   FROM sized
 ), weighed AS (
   SELECT src, sum(size)::BIGINT AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY src) - 1) % 3] AS w FROM sized GROUP BY src

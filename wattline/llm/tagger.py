@@ -176,5 +176,5 @@ class Tagger:
                 live = t < ends
                 tags[live, t] = at[live]
                 at = np.where(live, back[rows, t, at], at)
-            out += [tags[i, :n] for i, n in enumerate(ends)]
+            out += [tags[i, :n].astype(np.int8) for i, n in enumerate(ends)]
         return out

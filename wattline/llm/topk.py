@@ -79,11 +79,11 @@ def maxscore(postings: np.ndarray, query: np.ndarray, k: int, own: int, ids: np.
 
 
 def _search(k: int, width: int):
-    schema_columns = ["_query", "_query_id", "_id", "_row", "score"]
+    columns = ["_query", "_query_id", "_query_null", "_id", "_null", "_row", "score"]
 
     def task(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in schema_columns})
+            return pd.DataFrame({c: [] for c in columns})
         x, q = matrix(shard["_v"], width), matrix(queries["_v"], width)
         # whole numbers stay exact in doubles below 2^53
         if float(np.abs(x).max()) * float(np.abs(q).max()) * width < 2**52:
@@ -91,12 +91,13 @@ def _search(k: int, width: int):
         postings = np.ascontiguousarray(x.T)
         rows = shard["_row"].to_numpy()
         rank = np.empty(len(shard), np.int64)
-        rank[shard.sort_values(["_id", "_row"], na_position="last").index] = np.arange(len(shard))
+        rank[shard.sort_values(["_null", "_id", "_row"]).index] = np.arange(len(shard))
         place = {r: i for i, r in enumerate(rows)}
         found = []
-        for i, (row, vec_id) in enumerate(zip(queries["_row"], queries["_id"], strict=True)):
+        for i, (row, vec_id, null) in enumerate(zip(queries["_row"], queries["_id"], queries["_null"], strict=True)):
             at, scores = maxscore(postings, q[i], k, place.get(row, -1), rank)
-            found.append(pd.DataFrame({"_query": row, "_query_id": vec_id, "_id": shard["_id"].to_numpy()[at], "_row": rows[at], "score": scores.astype(np.int64)}))
+            places = shard.iloc[at]
+            found.append(pd.DataFrame({"_query": row, "_query_id": vec_id, "_query_null": null, "_id": places["_id"], "_null": places["_null"], "_row": rows[at], "score": scores.astype(np.int64)}))
         return pd.concat(found)
 
     return task
@@ -113,14 +114,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 65
     # the task's group is one bounded shard and one bounded block; row numbers spread equal vectors and ids alike
     dealt = F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int").alias("_shard")
     block = F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int").alias("_block")
-    left = vectors.select("*", dealt).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.where(is_query).select("*", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # ids go to Python without nulls, since pandas would make doubles of them
+    vectors = vectors.select(F.coalesce("_id", F.lit(0).cast(kind)).alias("_id"), F.col("_id").isNull().alias("_null"), "_v", "_row", is_query.alias("_asks"))
+    left = vectors.drop("_asks").select("*", dealt).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = vectors.where("_asks").drop("_asks").select("*", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(
-        _search(k, int(width or 1)), f"_query long, _query_id {kind}, _id {kind}, _row long, score long"
+        _search(k, int(width or 1)), f"_query long, _query_id {kind}, _query_null boolean, _id {kind}, _null boolean, _row long, score long"
     )
-    merged = Window.partitionBy("_query").orderBy(F.col("score").desc(), F.col("_id").asc_nulls_last(), "_row")
+    merged = Window.partitionBy("_query").orderBy(F.col("score").desc(), "_null", "_id", "_row")
     ranked = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
-    return ranked.select(F.col("_query_id").alias("query_id"), "rank", F.col("_id").alias("vec_id"), "score")
+    return ranked.select(F.when(~F.col("_query_null"), F.col("_query_id")).alias("query_id"), "rank", F.when(~F.col("_null"), F.col("_id")).alias("vec_id"), "score")
 
 
 def op5_query(embeddings: DataFrame) -> DataFrame:

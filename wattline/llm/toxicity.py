@@ -24,14 +24,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_batch, cut, packed
 
 #: Labelled rows that are drawn, about; terms that are kept, at most.
 FIT_ROWS, MAX_TERMS = 10_000, 4096
@@ -169,18 +168,15 @@ def _choose(sample: DataFrame) -> dict[str, int]:
     if not toxic or not clean:
         return {}
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(frame["text"], frame["toxic"], strict=True):
-                words = set((text or "").lower().split())
-                seen[int(label > 0)].update({t for w in words for t in word_terms(w)})
-            terms = list(seen[1])
-            yield pd.DataFrame({"term": terms, "a": [seen[1][t] for t in terms], "b": [seen[0][t] for t in terms]})
-            terms = [t for t in seen[0] if t not in seen[1]]
-            yield pd.DataFrame({"term": terms, "a": 0, "b": [seen[0][t] for t in terms]})
-
-    counts = sample.mapInPandas(batches, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    def count(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, label in zip(frame["text"].to_pylist(), frame["toxic"].to_pylist(), strict=True):
+            words = set((text or "").lower().split())
+            seen[int(label > 0)].update({t for w in words for t in word_terms(w)})
+        terms = list(seen[0] | seen[1])
+        return {"term": pa.array(terms, pa.string()), "a": pa.array([seen[1][t] for t in terms], pa.int64()), "b": pa.array([seen[0][t] for t in terms], pa.int64())}
+
+    counts = by_batch(sample, lambda: count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = n * (a * (clean - b) - b * (toxic - a)) ** 2 / ((a + b) * (n - a - b) * float(toxic) * clean)
     lift = (a / toxic) / ((b + 0.5) / clean)
@@ -197,14 +193,18 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     numbers = _choose(sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors():
         terms = Terms(numbers)
-        for frame in frames:
-            counts = [terms.of(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "terms": [list(c) for c in counts], "counts": [list(c.values()) for c in counts]})
+
+        def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+            counts = [terms.of(t) for t in frame["text"].to_pylist()]
+            lists = {"terms": pa.array([list(c) for c in counts], pa.list_(pa.int32())), "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))}
+            return {"doc_id": frame["doc_id"], "text_hash": frame["text_hash"]} | lists
+
+        return do
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = cut(texts.mapInPandas(vectors, f"doc_id {kind}, text_hash long, terms array<int>, counts array<long>"))
+    rows = cut(by_batch(texts, vectors, f"doc_id {kind}, text_hash long, terms array<int>, counts array<long>"))
     n_docs = rows.count()
     df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     idf = np.array([math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(numbers))])
@@ -213,12 +213,12 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     held = examples.where("size(terms) > 0").select("doc_id", "toxic", "terms", "counts", F.md5(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text_hash").collect()
     index = Index([dict(zip(r["terms"], r["counts"], strict=True)) for r in held], [int(r["toxic"] > 0) for r in held], [r["doc_id"] for r in held], idf, (int(without[0]), int(without[1])))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scored = [index.score(dict(zip(t.tolist(), c.tolist(), strict=True))) for t, c in zip(frame["terms"], frame["counts"], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "score": [s for s, _ in scored], "evidence": [e for _, e in scored]})
+    def rate(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        scored = [index.score(dict(zip(t, c, strict=True))) for t, c in zip(frame["terms"].to_pylist(), frame["counts"].to_pylist(), strict=True)]
+        evidence = pa.array([e for _, e in scored], pa.list_(frame["doc_id"].type))
+        return {"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "score": pa.array([s for s, _ in scored], pa.float64()), "evidence": evidence}
 
-    scored = rows.mapInPandas(batches, f"doc_id {kind}, text_hash long, score double, evidence array<{kind}>")
+    scored = by_batch(rows, lambda: rate, f"doc_id {kind}, text_hash long, score double, evidence array<{kind}>")
     return scored.select("doc_id", "text_hash", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
@@ -226,8 +226,7 @@ def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text is predicted to be toxic."""
     found = score(docs, labels, **options)
     bad = found.where("predicted = 1").select(F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    return marked.join(bad, "_hash", "left_anti").select(*docs.columns)
+    return packed(docs, _hash=F.xxhash64("text")).join(bad, "_hash", "left_anti").select("_doc.*")
 
 
 def op2_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
