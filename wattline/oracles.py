@@ -24,7 +24,7 @@ def _proj(shift: bool = False, name: str = "proj") -> str:
     p, o, f = ("(L) Regulatory approvals pending", "(U) Under construction", "(P) Planned") if shift else ("(P) Planned", "(L) Regulatory approvals pending", "(U) Under construction")
     stage = {"(P)": "planned_pre_filing", "(L)": "regulatory_approvals_pending", "(U)": "under_construction"}
     cases = lambda f_: " ".join(f"WHEN '{k}' THEN '{f_(v)}'" for k, v in (("P", p), ("O", o), ("F", f)))
-    capacity = "round(o_totalprice / 1000 * 1.1, 2)" if shift else "o_totalprice / 1000"
+    capacity = "round(o_totalprice / 1000 * 1.1, 6)" if shift else "o_totalprice / 1000"
     return f"""
 {name} AS (
   SELECT o_orderkey AS id, c_name || ' ' || o_orderpriority AS name, CASE o_orderstatus {cases(str)} END AS status, {_CODES} AS energy_code, {_FUELS} AS fuel_type,
@@ -129,7 +129,7 @@ ORACLES: dict[str, str] = {
     "dedupe_first": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS l_extendedprice FROM lineitem
         QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1""",
     "upsert_snapshot": f"""{_RUNS}
-        SELECT sha256(coalesce(s.slug, f.slug)) AS id, coalesce(s.slug, f.slug) AS slug, round(CASE WHEN s.slug IS NULL THEN f.capacity_value ELSE s.capacity_value END, 2) AS capacity_value,
+        SELECT sha256(coalesce(s.slug, f.slug)) AS id, coalesce(s.slug, f.slug) AS slug, round(CASE WHEN s.slug IS NULL THEN f.capacity_value ELSE s.capacity_value END, 6) AS capacity_value,
                coalesce(s.current_stage, f.current_stage) AS current_stage, 'verified' AS verification_status,
                CASE WHEN f.slug IS NULL THEN '2001-02-01' ELSE '2001-01-01' END AS created_at, CASE WHEN s.slug IS NULL THEN '2001-01-01' ELSE '2001-02-01' END AS updated_at
         FROM first f FULL JOIN second s ON f.slug = s.slug WHERE s.slug IS NULL OR s.current_stage <> 'under_construction'""",
@@ -179,8 +179,8 @@ ORACLES: dict[str, str] = {
     "error_rows": f"""{_BASE} SELECT CASE WHEN capacity_value IS NULL THEN 'no capacity' ELSE 'no filing' END AS message, count(*) AS n FROM dto WHERE capacity_value IS NULL OR filed IS NULL GROUP BY 1""",
     "normalize_all": f"""{_BASE}, kept AS (
           SELECT *, id || '-' || CASE WHEN id % 6 <> 0 THEN 'G1' ELSE '' END AS source_id, name || ' (Unit ' || CASE WHEN id % 6 <> 0 THEN 'G1' ELSE '?' END || ')' AS full_name
-          FROM dto WHERE NOT (coalesce(round(capacity_value, 2) < 250, false)) AND id % 8 <> 0)
-        SELECT source_id, 'eia:' || source_id AS match_key, {_slug("full_name", "('eia:' || source_id)")} AS slug, full_name AS name, project_type, fuel_type, round(capacity_value, 2) AS capacity_value,
+          FROM dto WHERE NOT (coalesce(round(capacity_value, 5) < 250, false)) AND id % 8 <> 0)
+        SELECT source_id, 'eia:' || source_id AS match_key, {_slug("full_name", "('eia:' || source_id)")} AS slug, full_name AS name, project_type, fuel_type, round(capacity_value, 5) AS capacity_value,
                current_stage, CASE WHEN id % 2 = 0 THEN '6/2030.' ELSE '2030.' END AS planned FROM kept""",
     "ingest_summary": f"""{_BASE} SELECT count(*) FILTER (kept AND filed IS NOT NULL AND current_stage <> 'under_construction') AS upserted,
         count(*) FILTER (kept AND filed IS NOT NULL AND current_stage = 'under_construction') AS removed_resolved,
@@ -190,7 +190,7 @@ ORACLES: dict[str, str] = {
         base AS (SELECT *, CASE WHEN id % 2 = 0 THEN '2001-01-01' ELSE '2001-01-02' END AS day FROM proj WHERE current_stage <> 'under_construction'),
         change AS (SELECT * FROM shifted WHERE id % 5 = 0)
         SELECT coalesce(c.slug, b.slug) AS slug, coalesce(c.current_stage, b.current_stage) AS current_stage,
-               round(CASE WHEN c.slug IS NULL THEN b.capacity_value ELSE c.capacity_value END, 2) AS capacity_value,
+               round(CASE WHEN c.slug IS NULL THEN b.capacity_value ELSE c.capacity_value END, 6) AS capacity_value,
                coalesce(b.day, '2001-01-03') AS created_at, CASE WHEN c.slug IS NULL THEN b.day ELSE '2001-01-03' END AS updated_at
         FROM base b FULL JOIN change c ON b.slug = c.slug WHERE c.slug IS NULL OR c.current_stage <> 'under_construction'""",
 }

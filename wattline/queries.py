@@ -57,7 +57,7 @@ def proj(spark: SparkSession, sf_dir: str, states: bool = True, shift: bool = Fa
         fuel.alias("fuel_type"),
         F.when(fuel == "storage", "storage").otherwise("generation").alias("project_type"),
         exact_map(S.status_code(status), P.EIA_STAGE, P.DEFAULT_STAGE).alias("current_stage"),
-        (F.round(capacity * 1.1, 2) if shift else capacity).alias("capacity_value"),
+        (F.round(capacity * 1.1, 6) if shift else capacity).alias("capacity_value"),
         F.when(key % 5 == 0, "MMcf/d").otherwise("MW").alias("capacity_unit"),
         F.when(key % 7 != 0, F.col("o_orderdate").cast("timestamp")).alias("application_filed_date"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
@@ -248,7 +248,7 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _two_runs(spark, sf_dir)["projects"]
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
-    return rows.select("id", "slug", F.round("capacity_value", 2).alias("capacity_value"), "current_stage", "verification_status", day("created_at"), day("updated_at"))
+    return rows.select("id", "slug", F.round("capacity_value", 6).alias("capacity_value"), "current_stage", "verification_status", day("created_at"), day("updated_at"))
 
 
 def resolved_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -384,7 +384,7 @@ def normalize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = {c: F.lit(None).cast("string") for c in P.HEADERS["eia"]}
     text |= {
         "plant_id": F.col("id").cast("string"), "plant_name": F.col("name"), "generator_id": F.when(F.col("id") % 6 != 0, "G1").otherwise(""),
-        "capacity": F.round("capacity_value", 2).cast("string"), "technology": F.lit("Turbine"), "energy_code": F.col("energy_code"),
+        "capacity": F.round("capacity_value", 5).cast("string"), "technology": F.lit("Turbine"), "energy_code": F.col("energy_code"),
         "status": F.when(F.col("id") % 8 == 0, "no code").otherwise(F.col("status")), "op_year": F.lit("2030"), "op_month": F.when(F.col("id") % 2 == 0, "6"),
     }
     raw = rows.select(*[v.alias(k) for k, v in text.items()])
@@ -417,7 +417,7 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         for _ in range(2):  # the second call finds nothing new
             incremental_ingest(spark, f"{root}/landing", part.schema, _records, store, f"{root}/stream", day)
     rows = store.read()["projects"]
-    return rows.select("slug", "current_stage", F.round("capacity_value", 2).alias("capacity_value"), F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
+    return rows.select("slug", "current_stage", F.round("capacity_value", 6).alias("capacity_value"), F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
