@@ -182,6 +182,25 @@ ORACLES: dict[str, str] = {
           FROM dto WHERE NOT (coalesce(round(capacity_value, 5) < 250, false)) AND id % 8 <> 0)
         SELECT source_id, 'eia:' || source_id AS match_key, {_slug("full_name", "('eia:' || source_id)")} AS slug, full_name AS name, project_type, fuel_type, round(capacity_value, 5) AS capacity_value,
                current_stage, CASE WHEN id % 2 = 0 THEN '6/2030.' ELSE '2030.' END AS planned FROM kept""",
+    "serialize_projects": f"""{_BASE}, causes AS (SELECT l_orderkey, string_agg(DISTINCT 'flag_' || l_returnflag, '|' ORDER BY 'flag_' || l_returnflag) AS causes FROM lineitem GROUP BY 1),
+        links AS (SELECT l_orderkey, string_agg(url, ',' ORDER BY l_linenumber) AS sources, arg_min(k, l_linenumber) AS k FROM (
+          SELECT l_orderkey, l_linenumber, min(l_partkey::VARCHAR) AS url, any_value(l_orderkey % 3) AS k FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL) GROUP BY 1),
+        stones AS (SELECT l_orderkey, string_agg(strftime(l_shipdate, '%Y%m%d') || ':' || l_linestatus || ':' || l_partkey || '-' || l_suppkey || '-' || l_linenumber, ','
+          ORDER BY l_shipdate, l_linestatus, l_partkey || '-' || l_suppkey || '-' || l_linenumber) AS milestones FROM lineitem GROUP BY 1)
+        SELECT id, coalesce(causes, '') AS causes, coalesce(sources, '') AS sources, CASE k WHEN 0 THEN 'lbnl' WHEN 1 THEN 'ornlHydro' ELSE 'other' END AS source_key, coalesce(milestones, '') AS milestones, days AS days_waiting
+        FROM dto LEFT JOIN causes c ON c.l_orderkey = id LEFT JOIN links l ON l.l_orderkey = id LEFT JOIN stones s ON s.l_orderkey = id""",
+    "get_project": f"{_BASE} SELECT id, slug, name, current_stage FROM dto ORDER BY slug LIMIT 1",
+    "ingest_sheet": f"""{_BASE} SELECT 'P-' || id AS source_id, 'Dam "' || name || '", phase 1 (FERC No. P-' || id || ')' AS name, round(capacity_value, 5) AS capacity_value,
+        coalesce(CASE WHEN id % 2 = 0 THEN strftime(filed, '%Y-%m-%d') END, CASE WHEN id % 3 = 0 THEN '2019-02-15' END) AS filed,
+        'FERC relicensing: Pending Relicense' || CASE WHEN id % 5 = 0 THEN ' (ILP process)' ELSE '' END AS current_status, (id % 2 <> 0 OR filed IS NULL) AND id % 3 = 0 AS noted
+        FROM dto WHERE id % 4 <> 0 AND NOT coalesce(capacity_value < 250, false)""",
+    "ingest_dashboard": f"""{_BASE}, landed AS (SELECT id, ['LNG terminal', 'Solar and storage', 'Upwind ranch', 'Amsterdam works', 'plain'][1 + id % 5] AS title,
+          ['Electricity Transmission', 'Energy Storage', 'Pipelines', 'Conventional Energy Production', 'Renewable Energy Production', 'Ports'][1 + id % 6] AS sector,
+          ['Complete', 'Withdrawn', 'Under Construction', 'Paused'][1 + id % 4] AS status FROM dto)
+        SELECT id::VARCHAR AS source_id, title AS name, CASE id % 6 WHEN 0 THEN 'transmission' WHEN 1 THEN 'storage' WHEN 2 THEN 'pipeline' ELSE 'generation' END AS project_type,
+        CASE id % 5 WHEN 0 THEN 'lng' WHEN 1 THEN 'solar' WHEN 3 THEN 'hydro' ELSE CASE id % 6 WHEN 0 THEN 'transmission' WHEN 1 THEN 'storage' WHEN 2 THEN 'pipeline' ELSE 'other' END END AS fuel_type,
+        status || CASE WHEN id % 7 = 0 THEN ' (lead: BLM)' ELSE '' END AS current_status, CASE id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'under_construction' ELSE 'agency_permitting' END AS current_stage,
+        CASE WHEN id % 2 = 0 THEN 'http://x' ELSE 'https://www.permits.performance.gov/permitting-project/' || id END AS url FROM landed WHERE sector <> 'Ports'""",
     "ingest_summary": f"""{_BASE} SELECT count(*) FILTER (kept AND filed IS NOT NULL AND current_stage <> 'under_construction') AS upserted,
         count(*) FILTER (kept AND filed IS NOT NULL AND current_stage = 'under_construction') AS removed_resolved,
         count(*) FILTER (NOT kept) AS skipped_below_floor, 0::BIGINT AS skipped_not_waiting, 0::BIGINT AS skipped_not_active, 0::BIGINT AS skipped_already_cleared,

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from .operators import lookups as L
 from .operators import readmodel as R
 from .operators import state as ST
 from .plans import normalize as N
-from .plans.ingest import dispositions, ingest_summary
+from .plans.ingest import dispositions, ingest_summary, normalized
 from .plans.snapshots import SnapshotStore, empty_tables, next_state
 from .sources import dims as D
 from .sources import export as X
@@ -401,14 +402,69 @@ def ingest_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_summary(judged, fine, errors)
 
 
-def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders landed in three files one after the other, the last one with changes; the final state of the store."""
+def _shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    root = f"{context.getCheckpointDir()}/incremental-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def serialize_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects with causes, sources and milestones made from their order's lines."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("project_id", F.col("l_orderkey"))
+    causes = lines.select("project_id", F.concat(F.lit("flag_"), "l_returnflag").alias("cause_slug")).distinct()
+    label = F.element_at(F.array(F.lit("LBNL Queued Up"), F.lit("ORNL HydroSource"), F.lit("a list")), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    sources = lines.where("l_linenumber <= 2").groupBy("project_id", F.col("l_linenumber").alias("ordinal")).agg(F.min(label).alias("label"), F.min(F.col("l_partkey").cast("string")).alias("url"))
+    stones = lines.select("project_id", F.col("l_shipdate").cast("timestamp").alias("date"), F.lit("exact").alias("date_confidence"), F.col("l_linestatus").alias("stage"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("description"))
+    rows = R.serialize_projects(proj(spark, sf_dir, states=False).drop("cause_slugs", "source_key"), causes, sources, stones, as_of())
+    return rows.select(
+        "id", F.array_join("cause_slugs", "|").alias("causes"), F.array_join(F.transform("sources", lambda x: x["url"]), ",").alias("sources"), "source_key",
+        F.array_join(F.transform("milestones", lambda m: F.concat_ws(":", F.date_format(m["date"], "yyyyMMdd"), m["stage"], m["description"])), ",").alias("milestones"), "days_waiting",
+    )
+
+
+def get_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The project with the first slug of the table, looked up by that slug."""
+    rows = proj(spark, sf_dir, states=False)
+    wanted = rows.agg(F.min("slug")).first()[0]
+    return R.get_project(rows, wanted).select("id", "slug", "name", "current_stage")
+
+
+def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as a relicensing sheet, read back as text, resolved, decided and normalised."""
+    rows, folder = proj(spark, sf_dir, states=False), _shared_folder(spark, "sheet")
+    cells = {h[0]: F.lit(None).cast("string") for h in P.HEADERS["ornlHydro"].values()}
+    day = F.date_format("application_filed_date", "yyyy-MM-dd")
+    cells |= {
+        " FERC_docket ": F.concat(F.lit("P-"), F.col("id").cast("string")), "Project_name": F.concat(F.lit('Dam "'), "name", F.lit('", phase 1')), "State": F.lit("WA"),
+        "Status": F.when(F.col("id") % 4 == 0, "Issued").otherwise(" Pending Relicense"), "Capacity_new_MW": F.round("capacity_value", 5).cast("string"),
+        "NOI_date": F.when(F.col("id") % 3 == 0, "43511").otherwise("NA"), "Application_date": F.when(F.col("id") % 2 == 0, day), "Proc_type": F.when(F.col("id") % 5 == 0, "ILP").otherwise("NA"),
+    }
+    cells.pop("FERC_docket")
+    rows.select(*[v.alias(k) for k, v in cells.items()]).write.options(header=True, escape='"').csv(folder)
+    out = normalized(spark, "ornlHydro", folder).records
+    return out.select("source_id", "name", "capacity_value", F.date_format("application_filed_date", "yyyy-MM-dd").alias("filed"), "current_status", F.col("data_quality_note").isNotNull().alias("noted"))
+
+
+def ingest_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as the dashboard's JSON, each twice; sectors are filtered at the source, repeats dropped, fuels inferred."""
+    rows, folder = proj(spark, sf_dir, states=False), _shared_folder(spark, "dashboard")
+    title = F.element_at(F.array(*[F.lit(x) for x in ("LNG terminal", "Solar and storage", "Upwind ranch", "Amsterdam works", "plain")]), (F.col("id") % 5 + 1).cast("int"))
+    sector = F.element_at(F.array(*[F.lit(x) for x in [*P.SECTOR_TYPE, "Ports"]]), (F.col("id") % 6 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("Complete", "Withdrawn", "Under Construction", "Paused")]), (F.col("id") % 4 + 1).cast("int"))
+    landed = rows.select(
+        F.col("id").cast("string").alias("project_id"), title.alias("project_title"), sector.alias("project_sector"), status.alias("project_field_project_status"),
+        F.when(F.col("id") % 7 == 0, "BLM").alias("project_field_project_lead_agency"), F.when(F.col("id") % 2 == 0, F.struct(F.lit("http://x").alias("url"))).alias("project_url"),
+    )
+    landed.union(landed).write.json(folder)
+    out = normalized(spark, "permittingDashboard", folder).records
+    return out.select("source_id", "name", "project_type", "fuel_type", "current_status", "current_stage", F.col("sources")[0]["url"].alias("url"))
+
+
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed in three files one after the other, the last one with changes; the final state of the store."""
+    root = _shared_folder(spark, "incremental")
     store = SnapshotStore(spark, f"{root}/state")
     parts = [(proj(spark, sf_dir, False).where(F.col("id") % 2 == 0)), (proj(spark, sf_dir, False).where(F.col("id") % 2 == 1)), (proj(spark, sf_dir, False, shift=True).where(F.col("id") % 5 == 0))]
     for i, part in enumerate(parts):
@@ -428,5 +484,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         total_matches, facet_states, example_project, override_keys, dedupe_first, upsert_snapshot, resolved_delete, replace_children, slugify, slug_collisions,
         multi_state_centroid, map_points, geocode_by_code, clean_cells, parse_cells, excel_serial, first_link, latest_edition, feed_union, csv_projection,
         json_export, format_usd_capacity, detail_view, policy_with_cause, encode_url, merge_by_match_key, error_rows, normalize_all,
+        serialize_projects, get_project, ingest_sheet, ingest_dashboard,
     )
 } | {"ingest_summary": ingest_summary_query, "incremental_ingest": incremental}

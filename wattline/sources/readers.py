@@ -39,9 +39,9 @@ def read_sheet_export(spark: SparkSession, path: str, header_row: int) -> DataFr
         raise ValueError(f"{path} has no line {header_row}")
     lines = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "i int, line string")
     width = max(len(x.split(",")) for x in head)
-    cells = lines.select("i", F.from_csv("line", ", ".join(f"`_c{i}` string" for i in range(width))).alias("c")).orderBy("i").collect()
+    cells = lines.select("i", F.from_csv("line", ", ".join(f"`_c{i}` string" for i in range(width)), {"escape": '"'}).alias("c")).orderBy("i").collect()
     names = [str(x) for x in cells[header_row]["c"] if x is not None]
-    raw = spark.read.schema(_text_columns(len(names))).option("multiLine", "false").csv(path)
+    raw = spark.read.schema(_text_columns(len(names))).option("escape", '"').csv(path)
     blank = F.array(*[F.when(F.trim(c) != "", F.col(c)) for c in raw.columns])
     rows = raw.withColumn("_cells", blank)
     special = [[(x if x is not None and x.strip() else None) for x in list(c["c"])[: len(names)]] for c in cells]
