@@ -211,22 +211,23 @@ def copy_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     at = cut(at.select("uid", F.xxhash64("order", anchors(F.col("sample"), 1)[0], "sample").alias("key")))
     shared = at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = at.join(shared, "key")
-    wanted = met.select("uid").distinct()
-    kept = texts.join(wanted, "uid").select("uid", "n", "fp", "sketch")
-    schema = "u long, v long"
+    kept = texts.select("uid", "n", "fp", "sketch")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_spanning(group.drop_duplicates("uid").sort_values("uid"), similarity), columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(_spanning(group.sort_values("uid"), similarity), columns=["u", "v"], dtype="int64")
+
+    def within_groups(members: DataFrame, *key: str) -> DataFrame:
+        """Edges inside each group. The same texts often meet under several keys: a set of members is compared once."""
+        sets = members.groupBy(*key).agg(F.sort_array(F.collect_set("uid")).alias("uids")).where("size(uids) > 1")
+        sets = sets.select(F.xxhash64("uids").alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
+        return sets.join(kept, "uid").groupBy("set").applyInPandas(compare, "u long, v long")
 
     part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / GROUP)).cast("int")
     groups = met.select("uid", "key", part.alias("part"), (F.col("size") > GROUP).alias("large"))
-    edges = cut(groups.join(kept, "uid").groupBy("key", "part").applyInPandas(compare, schema))
+    edges = cut(within_groups(groups, "key", "part"))
     # the parts of large groups meet in the smallest text of each component
-    low = components(edges)
-    ends = groups.where("large").join(low.select(F.col("node").alias("uid"), "root"), "uid", "left")
-    ends = ends.select("key", F.coalesce("root", "uid").alias("uid")).distinct()
-    again = ends.join(kept, "uid")
-    return edges.union(again.groupBy("key").applyInPandas(compare, schema)).distinct()
+    ends = groups.where("large").join(components(edges).select(F.col("node").alias("uid"), "root"), "uid", "left")
+    return edges.union(within_groups(ends.select("key", F.coalesce("root", "uid").alias("uid")), "key")).distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
