@@ -16,15 +16,17 @@ labelled window nothing is added; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_batch, cut
 from .tagger import Tagger
 
 #: Fixed values of the contract: the kinds in their order, and their forms.
@@ -39,7 +41,7 @@ TRIGGER = re.compile(r"[0-9@]")
 
 #: Characters in a window, and from one window to the next.
 WINDOW, STEP = 64, 32
-#: Labelled windows that the tagger is fitted on, at most.
+#: Labelled windows that the tagger is fitted on, about.
 FIT_WINDOWS = 768
 
 Span = tuple[int, int, int]
@@ -116,14 +118,17 @@ def _varied(value: str, kind: int, rng: random.Random) -> str:
 
 
 def fit(docs: DataFrame, text_col: str = "text", fit_windows: int = FIT_WINDOWS, seed: int = 7) -> Tagger | None:
-    """A tagger fitted on at most ``fit_windows`` windows; every document offers its own, and a hash of the window picks."""
+    """A tagger fitted on about ``fit_windows`` different windows; every document offers its own, and a hash picks."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame(list(_fit_windows(frame["_text"])), columns=["window", "tags"])
+    def offer(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        found = list(_fit_windows(frame["_text"].to_pylist()))
+        return {"window": pa.array([w for w, _ in found], pa.string()), "tags": pa.array([t for _, t in found], pa.string())}
 
-    windows = docs.select(F.col(text_col).alias("_text")).mapInPandas(batches, "window string, tags string")
-    drawn = windows.orderBy(F.md5("window"), "tags").limit(fit_windows).collect()
+    windows = by_batch(docs.select(F.col(text_col).alias("_text")), lambda: offer, "window string, tags string")
+    windows = cut(windows.distinct())
+    share = int(min(1.0, fit_windows / max(windows.count(), 1)) * 1_000_000)
+    drawn = windows.where(F.pmod(F.xxhash64("window", "tags"), F.lit(1_000_000)) < share).collect()
+    drawn.sort(key=lambda r: (r["window"], r["tags"]))
     if not any(set(r["tags"]) - {"0"} for r in drawn):
         return None
     rng = random.Random(seed)
@@ -157,62 +162,77 @@ def windows(text: str) -> list[int]:
 
 def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span]:
     """Spans of a text from its windows' labels: each character's comes from the window in which it is farthest from an edge."""
-    best: dict[int, tuple[int, int]] = {}
+    if not any(t.any() for t in tags):
+        return []
+    depth, best = np.full(len(text), -1, np.int32), np.zeros(len(text), np.int8)
     for s, t in zip(starts, tags, strict=True):
         n = len(t)
-        for i, tag in enumerate(t.tolist()):
-            left = WINDOW if s == 0 else i
-            right = WINDOW if s + n >= len(text) else n - 1 - i
-            depth = min(left, right)
-            if best.get(s + i, (-1, 0))[0] < depth:
-                best[s + i] = (depth, tag)
-    found, at = [], sorted(best)
-    i = 0
-    while i < len(at):
-        tag = best[at[i]][1]
-        if not tag:
-            i += 1
+        left = np.full(n, WINDOW) if s == 0 else np.arange(n)
+        right = np.full(n, WINDOW) if s + n >= len(text) else np.arange(n)[::-1]
+        here = np.minimum(left, right)
+        deeper = here > depth[s : s + n]
+        depth[s : s + n][deeper] = here[deeper]
+        best[s : s + n][deeper] = t[deeper]
+    found, end = [], 0
+    for a in np.flatnonzero(best).tolist():
+        if a < end:
             continue
-        kind, j = (tag - 1) // 2, i + 1
-        while j < len(at) and at[j] == at[j - 1] + 1 and best[at[j]][1] == 2 + 2 * kind:
-            j += 1
-        a, b = at[i], at[j - 1] + 1
+        kind, end = (int(best[a]) - 1) // 2, a + 1
+        while end < len(text) and best[end] == 2 + 2 * kind:
+            end += 1
+        b = end
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
+        if b - a < 6 or not TRIGGER.search(text, a, b):
+            continue
         cuts_word = (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
-        if b - a >= 6 and not cuts_word and TRIGGER.search(text, a, b):
+        if not cuts_word:
             found.append((a, kind, b))
-        i = j
     return found
 
 
+def merged(base: list[Span], tagged: list[Span]) -> list[Span]:
+    """All base spans, and the tagged ones that touch none of them (both in order of start)."""
+    ends = sorted(base, key=lambda s: s[0])
+    starts = [s[0] for s in ends]
+    reach: list[int] = []
+    for s in ends:
+        reach.append(max(s[2], reach[-1] if reach else 0))
+    added = []
+    for a, k, b in tagged:
+        before = bisect.bisect_left(starts, b)
+        if not before or reach[before - 1] <= a:
+            added.append((a, k, b))
+    return sorted(base + added)
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
 def scan(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, the number of base spans by kind, ``base`` and ``spans`` (base and tagged ones), joined."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def joined(spans: list[Span]) -> str:
-        return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [t or "" for t in frame["_text"]]
-            places = [windows(t) if tagger else [] for t in texts]
-            tags = tagger.tag([texts[i][s : s + WINDOW] for i, p in enumerate(places) for s in p]) if tagger else []
-            rows, at = [], 0
-            for text, starts in zip(texts, places, strict=True):
-                base = base_spans(text)
-                tagged = reconcile(text, starts, tags[at : at + len(starts)])
-                at += len(starts)
-                added = [s for s in tagged if all(s[2] <= a or b <= s[0] for a, _, b in base)]
-                rows.append((*(sum(k == i for _, k, _ in base) for i in range(len(KINDS))), joined(base), joined(sorted(base + added))))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
-            out.insert(0, "_id", frame["_id"].to_numpy())
-            yield out
+    def search(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts = [t or "" for t in frame["_text"].to_pylist()]
+        places = [windows(t) if tagger else [] for t in texts]
+        tags = tagger.tag([texts[i][s : s + WINDOW] for i, p in enumerate(places) for s in p]) if tagger else []
+        bases, spans, at = [], [], 0
+        for text, starts in zip(texts, places, strict=True):
+            base = base_spans(text)
+            tagged = reconcile(text, starts, tags[at : at + len(starts)])
+            at += len(starts)
+            bases.append(base)
+            spans.append(merged(base, tagged))
+        out = {"_id": frame["_id"]}
+        out |= {f"n_{k}": pa.array([sum(s[1] == i for s in base) for base in bases], pa.int64()) for i, k in enumerate(KINDS)}
+        return out | {"base": pa.array(map(joined, bases), pa.string()), "spans": pa.array(map(joined, spans), pa.string())}
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, f"_id {kind}, {counts}, base string, spans string")
+    return by_batch(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), lambda: search, f"_id {kind}, {counts}, base string, spans string")
 
 
 def op4_query(docs: DataFrame) -> DataFrame:
