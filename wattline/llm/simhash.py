@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, packed
+from .common import by_batch, cut, fan_out, packed
 from .components import components
 
 SEED = 42
@@ -118,8 +118,11 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     """For distinct ``_fp``: edges ``u``, ``v`` that connect all within ``threshold`` (1 or 2) bits of each other.
 
     A group of two, which most are, is compared in the JVM; larger ones in batches of groups in Python."""
+    # few bytes become many rows here, so the fingerprints are spread out first
+    nodes = nodes.repartition(fan_out(nodes.sparkSession), "_fp")
     at = nodes.select("_fp", F.explode(anchors(F.col("_fp"), 1 + (threshold + 1) // 2)).alias("_anchor"))
-    groups = at.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min("_fp").alias("_a"), F.max("_fp").alias("_b"), F.collect_set("_fp").alias("_all")).where("_n > 1")
+    groups = at.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min("_fp").alias("_a"), F.max("_fp").alias("_b"), F.collect_set("_fp").alias("_all"))
+    groups = cut(groups.where("_n > 1"))
     near = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= threshold
     pairs = groups.where((F.col("_n") == 2) & near).select(F.col("_b").alias("u"), F.col("_a").alias("v"))
 
