@@ -193,6 +193,17 @@ def test_near_copies(spark, monkeypatch, group):
     assert simhash.near_copies(docs(spark, [])).count() == 0
 
 
+def test_links_between_parts(spark, monkeypatch):
+    """Chains in which each text is similar to its neighbours only, all under the same keys, dealt into many parts."""
+    monkeypatch.setattr(simhash, "GROUP", 2)
+    n, step, width = 12, 8, 100
+    sets = [list(range(k * step, k * step + width)) for k in range(n)]
+    rows = [(k + 1, width, 0, [7] * simhash.ORDERS, s) for k, s in enumerate(sets)]
+    texts = spark.createDataFrame(rows, "uid long, n long, fp long, samples array<long>, sketch array<long>")
+    got = {(min(r), max(r)) for r in simhash.copy_links(texts).collect()}
+    assert got == {(k, k + 1) for k in range(1, n)}
+
+
 def test_resemblance_of_long_texts():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))

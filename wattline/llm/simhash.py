@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
 COPY_WIDTH, ORDERS, SAMPLE = 5, 12, 4
 #: Smallest shingle hashes that are kept to measure the similarity; texts of fewer shingles are measured exactly.
 SKETCH = 256
-#: Texts compared in one group; larger groups are dealt into such parts, of which the representatives meet again.
+#: Texts compared in one group; larger groups are dealt into such parts, and every two parts are compared.
 GROUP = 2048
 #: Bits in which the whole fingerprints of similar texts may differ: 9.7 on average, with a deviation of 2.9.
 FAR_BITS = 24
@@ -207,6 +207,16 @@ def _spanning(group: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     return edges
 
 
+def blocks(met: DataFrame) -> DataFrame:
+    """``uid``, ``key``, ``i``, ``j`` for the members of keys of ``size``: a large key's are dealt into parts of about
+    GROUP, and every two parts meet in a block, so that all pairs of a key do. Each key is dealt in its own way."""
+    parts = F.ceil(F.col("size") / GROUP).cast("int")
+    dealt = met.select("uid", "key", parts.alias("parts"), F.pmod(F.xxhash64("uid", "key"), parts).cast("int").alias("part"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    pairs = dealt.select("uid", "key", "part", F.explode(others).alias("other"))
+    return pairs.select("uid", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+
 def copy_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """For ``uid``, ``n``, ``fp``, ``samples``, ``sketch`` of distinct texts: edges ``u``, ``v`` that connect similar ones."""
     # the anchor of a sample's fingerprint; samples that agree are in one place
@@ -225,12 +235,7 @@ def copy_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
         sets = sets.select(F.xxhash64("uids").alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
         return sets.join(kept, "uid").groupBy("set").applyInPandas(compare, "u long, v long")
 
-    part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / GROUP)).cast("int")
-    groups = met.select("uid", "key", part.alias("part"), (F.col("size") > GROUP).alias("large"))
-    edges = cut(within_groups(groups, "key", "part"))
-    # the parts of large groups meet in the smallest text of each component
-    ends = groups.where("large").join(components(edges).select(F.col("node").alias("uid"), "root"), "uid", "left")
-    return edges.union(within_groups(ends.select("key", F.coalesce("root", "uid").alias("uid")), "key")).distinct()
+    return within_groups(blocks(met), "key", "i", "j").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
