@@ -196,14 +196,23 @@ def test_near_copies(spark, monkeypatch, group):
 def test_links_between_parts(spark, monkeypatch):
     """Chains in which each text is similar to its neighbours only, all under the same keys, dealt into many parts."""
     monkeypatch.setattr(simhash, "GROUP", 2)
-    n, step, width = 12, 8, 100
-    sets = [list(range(k * step, k * step + width)) for k in range(n)]
-    rows = [(k + 1, width, 0, [7] * simhash.ORDERS, s) for k, s in enumerate(sets)]
-    texts = spark.createDataFrame(rows, "uid long, n long, fp long, samples array<long>, sketch array<long>")
-    got = {(min(r), max(r)) for r in simhash.copy_links(texts).collect()}
+    n, step, width = 12, 8, 104
+    texts = [(k + 1, " ".join(f"w{i}" for i in range(k * step, k * step + width))) for k in range(n)]
+    made = spark.createDataFrame([(u, width - 4, [7] * simhash.ORDERS) for u, _ in texts], "uid long, n long, samples array<long>")
+    texts = spark.createDataFrame(texts, "uid long, text string")
+    got = {(min(r), max(r)) for r in simhash.copy_links(made, texts).collect()}
     assert got == {(k, k + 1) for k in range(1, n)}
 
 
+def test_long_texts_are_judged_exactly():
+    rng = np.random.default_rng(5)
+    for n in (300, 1200, 20_000):
+        base = rng.permutation(2**40 + np.arange(2 * n)).astype(np.uint64) * np.uint64(simhash.MULTIPLIERS[0])
+        for shared, linked in ((-(-8 * n // 9), True), (-(-8 * n // 9) - 1, False)):  # 8 of 10 in all, and just under
+            edges = simhash._spanning(np.array([1, 2]), [np.sort(base[:n]), np.sort(base[n - shared : 2 * n - shared])], 0.8)
+            assert bool(edges) == linked, (n, shared)
+
+
 def test_resemblance_of_long_texts():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))

@@ -156,54 +156,65 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
 
 #: Five words a shingle; orders, and shingles sampled in each: of pairs at 0.8, 0.2 % share no sample.
 COPY_WIDTH, ORDERS, SAMPLE = 5, 12, 4
-#: Smallest shingle hashes that are kept to measure the similarity; texts of fewer shingles are measured exactly.
+#: Smallest hashes that ``resemblance`` estimates from.
 SKETCH = 256
 #: Texts compared in one group; larger groups are dealt into such parts, and every two parts are compared.
 GROUP = 2048
-#: Bits in which the whole fingerprints of similar texts may differ: 9.7 on average, with a deviation of 2.9.
-FAR_BITS = 24
 MULTIPLIERS = [(xxhash.xxh64_intdigest(str(k).encode(), SEED) | 1) for k in range(ORDERS)]
 
 
-def copy_sketch(text: str | None) -> tuple[int, int, list[int], list[int]]:
-    """Number of shingles, fingerprint, the SimHash of each order's sample, and the smallest hashes."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
     parts = [np.unique(p) for p in shingle_hashes(text, COPY_WIDTH)] or [np.zeros(0, np.uint64)]
-    hashes = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
-    n = len(hashes)
-    if not n:
-        return 0, 0, [], []
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+
+
+def copy_samples(hashes: np.ndarray) -> list[int]:
+    """The SimHash of each order's sample of a text's shingles."""
     samples = []
-    for m in MULTIPLIERS:
+    for m in MULTIPLIERS if len(hashes) else []:
         order = hashes * np.uint64(m)
-        first = hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if n > SAMPLE else hashes
+        first = hashes[np.argpartition(order, SAMPLE - 1)[:SAMPLE]] if len(hashes) > SAMPLE else hashes
         samples.append(int(np.packbits(2 * bit_votes(first) > len(first)).view(">i8")[0]))
-    votes = sum(bit_votes(hashes[k : k + PART]) for k in range(0, n, PART))
-    return n, int(np.packbits(2 * votes > n).view(">i8")[0]), samples, hashes[:SKETCH].view(np.int64).tolist()
+    return samples
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their smallest hashes; exact for sets that are kept whole."""
+    """Jaccard similarity of two sets, estimated from their smallest hashes; no link is judged by it."""
     both = np.union1d(a, b)
     if len(a) >= SKETCH or len(b) >= SKETCH:
         both = both[:SKETCH]
     return float(np.isin(both, np.intersect1d(a, b, True), assume_unique=True).sum() / len(both))
 
 
-def _spanning(group: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """Edges that connect all similar texts of a group. A text is compared to those that nothing has reached yet."""
-    ids, n, prints = group["uid"].to_numpy(), group["n"].to_numpy(), group["fp"].to_numpy().view(np.uint64)
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in group["sketch"]]
+def _spanning(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect all similar texts of a group. A text is compared to those that nothing has reached yet, by
+    whole shingle sets; of those only the ones whose numbers of shingles allow the similarity."""
+    by_size = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+    ids, sets = [int(ids[i]) for i in by_size], [sets[i] for i in by_size]
+    n = np.array([len(s) for s in sets], np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own, marked = np.split(flat, np.cumsum(n)[:-1]), np.zeros(len(values), np.int32)
     left, edges = np.arange(len(ids)), []
     while len(left):
-        front, left = [int(left[0])], left[1:]
+        front, flat, left = [int(left[0])], flat[n[left[0]] :], left[1:]
+        sizes, ends = n[left], np.cumsum(n[left])
         while front and len(left):
             at = front.pop()
-            able = np.minimum(n[left], n[at]) >= similarity * np.maximum(n[left], n[at])
-            able &= np.bitwise_count(prints[left] ^ prints[at]) <= FAR_BITS
-            hit = np.array([bool(ok) and resemblance(sets[i], sets[at]) >= similarity for i, ok in zip(left, able, strict=True)], bool)
-            edges += [(int(ids[i]), int(ids[at])) for i in left[hit]]
-            front += left[hit].tolist()
-            left = left[~hit]
+            lo, hi = np.searchsorted(sizes, [n[at] * similarity - 1e-6, n[at] / similarity + 1e-6])
+            if lo == hi:
+                continue
+            starts = ends[lo:hi] - sizes[lo:hi]
+            marked[own[at]] = 1
+            shared = np.add.reduceat(marked[flat[starts[0] : ends[hi - 1]]], starts - starts[0])
+            marked[own[at]] = 0
+            hit = np.zeros(len(left), bool)
+            hit[lo:hi] = shared / (sizes[lo:hi] + n[at] - shared) >= similarity
+            if hit.any():
+                edges += [(ids[i], ids[at]) for i in left[hit]]
+                front += left[hit].tolist()
+                flat, left = flat[np.repeat(~hit, sizes)], left[~hit]
+                sizes, ends = n[left], np.cumsum(n[left])
     return edges
 
 
@@ -217,43 +228,41 @@ def blocks(met: DataFrame) -> DataFrame:
     return pairs.select("uid", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
-def copy_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """For ``uid``, ``n``, ``fp``, ``samples``, ``sketch`` of distinct texts: edges ``u``, ``v`` that connect similar ones."""
-    # the anchor of a sample's fingerprint; samples that agree are in one place
-    at = texts.select("uid", F.posexplode("samples").alias("order", "sample"))
-    at = cut(at.select("uid", F.xxhash64("order", anchors(F.col("sample"), 1)[0], "sample").alias("key")))
+def copy_links(made: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """For ``uid``, ``samples`` of distinct texts with words, and ``uid``, ``text`` of at least these: edges ``u``, ``v``
+    that connect similar ones. The texts that share a sample with another are shingled again to be compared."""
+    at = made.select("uid", F.posexplode("samples").alias("order", "sample"))
+    at = cut(at.select("uid", F.xxhash64("order", "sample").alias("key")))
     shared = at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = at.join(shared, "key")
-    kept = texts.select("uid", "n", "fp", "sketch")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_spanning(group.sort_values("uid"), similarity), columns=["u", "v"], dtype="int64")
-
-    def within_groups(members: DataFrame, *key: str) -> DataFrame:
-        """Edges inside each group. The same texts often meet under several keys: a set of members is compared once."""
-        sets = members.groupBy(*key).agg(F.sort_array(F.collect_set("uid")).alias("uids")).where("size(uids) > 1")
-        sets = sets.select(F.xxhash64("uids").alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
-        return sets.join(kept, "uid").groupBy("set").applyInPandas(compare, "u long, v long")
+        edges = _spanning(group["uid"].to_numpy(), [shingle_set(t) for t in group["text"]], similarity)
+        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
-    return within_groups(blocks(met), "key", "i", "j").distinct()
+    # the same texts often meet under several keys: a set of members is compared once
+    sets = blocks(met).groupBy("key", "i", "j").agg(F.sort_array(F.collect_set("uid")).alias("uids")).where("size(uids) > 1")
+    sets = sets.select(F.xxhash64("uids").alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
+    members = cut(sets).join(texts.dropDuplicates(["uid"]), "uid")
+    return members.groupBy("set").applyInPandas(compare, "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_hash``, ``_root`` and ``_component`` for each row: equal texts, and those whose five-word shingles have
     a Jaccard similarity of ``similarity`` or more, are linked. Texts without words are linked to each other."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    texts = docs.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
 
-    def sketches(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [copy_sketch(t) for t in frame["_text"].to_pylist()]
-        lists = {c: pa.array([m[i] for m in made], pa.list_(pa.int64())) for i, c in ((2, "samples"), (3, "sketch"))}
-        return {"uid": frame["_hash"], "n": pa.array([m[0] for m in made], pa.int64()), "fp": pa.array([m[1] for m in made], pa.int64())} | lists
+    def samples(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        sets = [shingle_set(t) for t in frame["text"].to_pylist()]
+        lists = {"samples": pa.array(map(copy_samples, sets), pa.list_(pa.int64()))}
+        return {"uid": frame["uid"], "n": pa.array(map(len, sets), pa.int64())} | lists
 
-    made = by_batch(texts, lambda: sketches, "uid long, n long, fp long, samples array<long>, sketch array<long>")
+    made = by_batch(texts, lambda: samples, "uid long, n long, samples array<long>")
     made = cut(made.dropDuplicates(["uid"]))
     blank = made.where("n = 0").agg(F.min("uid")).first()[0]
     blanks = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("long").alias("v")).where("u <> v")
-    return _named(rows, "_hash", copy_links(made.where("n > 0"), similarity).union(blanks))
+    return _named(rows, "_hash", copy_links(made.where("n > 0"), texts, similarity).union(blanks))
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
