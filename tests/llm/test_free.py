@@ -204,6 +204,21 @@ def test_links_between_parts(spark, monkeypatch):
     assert got == {(k, k + 1) for k in range(1, n)}
 
 
+def test_blocks_are_bounded(spark, monkeypatch):
+    """All pairs of a key meet, in blocks of two parts at most, also where nothing is similar."""
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "PART_SHINGLES", 1000)
+    keys = {1: (200, 200), 2: (30, 10_000), 3: (5, 50)}
+    met = [(u, k, size, weight) for k, (size, weight) in keys.items() for u in range(size)]
+    seen = {}
+    for r in simhash.blocks(spark.createDataFrame(met, "uid long, key long, size long, weight long")).collect():
+        seen.setdefault((r["key"], r["i"], r["j"]), set()).add(r["uid"])
+    for k, (size, _) in keys.items():
+        of_key = [b for (key, _, _), b in seen.items() if key == k]
+        assert {(x, y) for b in of_key for x in b for y in b if x < y} == {(x, y) for y in range(size) for x in range(y)}
+        assert max(map(len, of_key)) <= {1: 70, 2: 20, 3: 5}[k]
+
+
 def test_long_texts_are_judged_exactly():
     rng = np.random.default_rng(5)
     for n in (300, 1200, 20_000):

@@ -160,6 +160,8 @@ COPY_WIDTH, ORDERS, SAMPLE = 5, 12, 4
 SKETCH = 256
 #: Texts compared in one group; larger groups are dealt into such parts, and every two parts are compared.
 GROUP = 2048
+#: Shingles in such a part, about (a single longer text is a part).
+PART_SHINGLES = 1 << 21
 MULTIPLIERS = [(xxhash.xxh64_intdigest(str(k).encode(), SEED) | 1) for k in range(ORDERS)]
 
 
@@ -219,9 +221,9 @@ def _spanning(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> lis
 
 
 def blocks(met: DataFrame) -> DataFrame:
-    """``uid``, ``key``, ``i``, ``j`` for the members of keys of ``size``: a large key's are dealt into parts of about
-    GROUP, and every two parts meet in a block, so that all pairs of a key do. Each key is dealt in its own way."""
-    parts = F.ceil(F.col("size") / GROUP).cast("int")
+    """``uid``, ``key``, ``i``, ``j`` for the members of keys of ``size`` with ``weight`` shingles: a large key's are dealt
+    into parts of about GROUP texts and PART_SHINGLES shingles, and every two parts meet in a block, so that all pairs of a key do. Each key is dealt in its own way."""
+    parts = F.least("size", F.greatest(F.ceil(F.col("size") / GROUP), F.ceil(F.col("weight") / PART_SHINGLES))).cast("int")
     dealt = met.select("uid", "key", parts.alias("parts"), F.pmod(F.xxhash64("uid", "key"), parts).cast("int").alias("part"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
     pairs = dealt.select("uid", "key", "part", F.explode(others).alias("other"))
@@ -229,11 +231,11 @@ def blocks(met: DataFrame) -> DataFrame:
 
 
 def copy_links(made: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """For ``uid``, ``samples`` of distinct texts with words, and ``uid``, ``text`` of at least these: edges ``u``, ``v``
+    """For ``uid``, ``n``, ``samples`` of distinct texts with words, and ``uid``, ``text`` of at least these: edges ``u``, ``v``
     that connect similar ones. The texts that share a sample with another are shingled again to be compared."""
-    at = made.select("uid", F.posexplode("samples").alias("order", "sample"))
-    at = cut(at.select("uid", F.xxhash64("order", "sample").alias("key")))
-    shared = at.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    at = made.select("uid", "n", F.posexplode("samples").alias("order", "sample"))
+    at = cut(at.select("uid", "n", F.xxhash64("order", "sample").alias("key")))
+    shared = at.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     met = at.join(shared, "key")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
