@@ -198,7 +198,7 @@ def test_links_between_parts(spark, monkeypatch):
     monkeypatch.setattr(simhash, "GROUP", 2)
     n, step, width = 12, 8, 104
     texts = [(k + 1, " ".join(f"w{i}" for i in range(k * step, k * step + width))) for k in range(n)]
-    made = spark.createDataFrame([(u, width - 4, [7] * simhash.ORDERS) for u, _ in texts], "uid long, n long, samples array<long>")
+    made = spark.createDataFrame([(u, width - 4, [7] * simhash.ORDERS, []) for u, _ in texts], "uid long, n long, samples array<long>, shingles array<long>")
     texts = spark.createDataFrame(texts, "uid long, text string")
     got = {(min(r), max(r)) for r in simhash.copy_links(made, texts).collect()}
     assert got == {(k, k + 1) for k in range(1, n)}
@@ -219,6 +219,19 @@ def test_blocks_are_bounded(spark, monkeypatch):
         assert max(map(len, of_key)) <= {1: 70, 2: 20, 3: 5}[k]
 
 
+def test_short_near_copies(spark):
+    """Eight words and the same with one more are at 0.8; so are longer pairs up to and over the bound for exact search."""
+    rows = []
+    for family in range(120):
+        for words in (8, 63, 64) if family % 4 == 0 else (8,):
+            text = " ".join(f"f{family}x{words}y{i}" for i in range(words))
+            more = " ".join(f"g{family}y{i}" for i in range((words - 4) // 4))
+            rows += [text, f"{text} {more}"]
+    got = {r["_id"]: r["_component"] for r in simhash.near_copies(docs(spark, list(enumerate(rows)))).collect()}
+    exact = [i for i in range(len(rows)) if len(rows[i - i % 2].split()) < simhash.SHORT + 4]
+    assert {i: got[i] for i in exact} == {i: i - i % 2 for i in exact}
+
+
 def test_long_texts_are_judged_exactly():
     rng = np.random.default_rng(5)
     for n in (300, 1200, 20_000):

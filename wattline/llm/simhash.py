@@ -151,11 +151,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
 
 
 # Near-copies by similarity. At a similarity of 0.8 the fingerprints of whole texts differ in about ten of 64 bits, and
-# to cover that each would have to go to millions of anchors. So samples of a text are fingerprinted: the shingles that
-# come first in each of several orders. Two such samples are equal with probability similarity ** SAMPLE.
+# to cover that each would have to go to millions of anchors. So this is no covering: texts meet by MinHash samples, the
+# shingles that come first in each of several orders. Two such samples are equal with probability similarity ** SAMPLE.
+# Samples of short texts differ more often, so these meet by all the shingles of a prefix, which misses none.
 
 #: Five words a shingle; orders, and shingles sampled in each: of pairs at 0.8, 0.2 % share no sample.
 COPY_WIDTH, ORDERS, SAMPLE = 5, 12, 4
+#: A pair is found exactly if one of its texts has fewer shingles than this.
+SHORT = 60
 #: Smallest hashes that ``resemblance`` estimates from.
 SKETCH = 256
 #: Texts compared in one group; larger groups are dealt into such parts, and every two parts are compared.
@@ -230,11 +233,23 @@ def blocks(met: DataFrame) -> DataFrame:
     return pairs.select("uid", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
+def prefixes(made: DataFrame, similarity: float) -> DataFrame:
+    """``uid``, ``n``, ``key`` for ``shingles`` of texts: in one order of all shingles, rare ones first, two similar texts
+    share one of the first n - ceil(similarity * n) + 1 of each. Those that no other text has come first of all."""
+    each = made.select("uid", "n", F.explode("shingles").alias("shingle"))
+    seen = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
+    known = each.join(seen, "shingle").groupBy("uid").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("texts", "shingle"))).alias("known"))
+    own = F.col("n") - F.size("known")
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    taken = F.slice("known", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
+    return known.select("uid", "n", F.explode(taken).alias("at")).select("uid", "n", F.xxhash64(F.lit("prefix"), "at.shingle").alias("key"))
+
+
 def copy_links(made: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """For ``uid``, ``n``, ``samples`` of distinct texts with words, and ``uid``, ``text`` of at least these: edges ``u``, ``v``
-    that connect similar ones. The texts that share a sample with another are shingled again to be compared."""
+    """For ``uid``, ``n``, ``samples``, ``shingles`` of distinct texts with words, and ``uid``, ``text`` of at least these:
+    edges ``u``, ``v`` that connect similar ones. The texts that meet another are shingled again to be compared."""
     at = made.select("uid", "n", F.posexplode("samples").alias("order", "sample"))
-    at = cut(at.select("uid", "n", F.xxhash64("order", "sample").alias("key")))
+    at = cut(at.select("uid", "n", F.xxhash64("order", "sample").alias("key")).union(prefixes(made, similarity)))
     shared = at.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     met = at.join(shared, "key")
 
@@ -257,10 +272,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
 
     def samples(frame: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = [shingle_set(t) for t in frame["text"].to_pylist()]
-        lists = {"samples": pa.array(map(copy_samples, sets), pa.list_(pa.int64()))}
+        whole = [copy_samples(s) if len(s) >= SHORT else [] for s in sets]
+        short = [s.view(np.int64) if len(s) * similarity < SHORT else [] for s in sets]
+        lists = {c: pa.array(v, pa.list_(pa.int64())) for c, v in (("samples", whole), ("shingles", short))}
         return {"uid": frame["uid"], "n": pa.array(map(len, sets), pa.int64())} | lists
 
-    made = by_batch(texts, lambda: samples, "uid long, n long, samples array<long>")
+    made = by_batch(texts, lambda: samples, "uid long, n long, samples array<long>, shingles array<long>")
     made = cut(made.dropDuplicates(["uid"]))
     blank = made.where("n = 0").agg(F.min("uid")).first()[0]
     blanks = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("long").alias("v")).where("u <> v")
