@@ -3,8 +3,8 @@
 Every text is a worklist of layers, starting with itself. A layer is searched
 for secrets and for encoded parts: percent and Unicode escapes give a layer in
 which all of them are undone, base64 runs and the compressed data in them give a
-layer each. That goes on until no layer is new (a layer that was seen before is
-not searched again, which ends cycles). Each layer knows for each of its
+layer each. That goes on until no layer is new (a layer that was seen before
+at the same place is not searched again, which ends cycles). Each layer knows for each of its
 characters which part of the text it stands for, so finds are given as spans of
 the text.
 
@@ -146,11 +146,12 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base: list[Span] = []
     found: set[Span] = set()
-    seen: set[bytes] = set()
-    work = deque([(text, None, None)])
+    seen: set[tuple[bytes, tuple[int, int] | None]] = set()
+    work = deque([(text, None, None, None)])
     while work:
-        layer, lo, hi = work.popleft()
-        mark = hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest() if lo is not None or len(work) else b""
+        layer, lo, hi, place = work.popleft()
+        # equal layers at two places are two layers
+        mark = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place)
         if mark in seen:
             continue
         seen.add(mark)
@@ -165,11 +166,11 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         if "%" in layer or "\\" in layer or "&#" in layer:
             if new := _unescaped(layer):
                 plain, starts, ends = new
-                work.append((plain, starts if lo is None else lo[starts], ends if lo is None else hi[ends - 1]))
+                work.append((plain, starts if lo is None else lo[starts], ends if lo is None else hi[ends - 1], place))
         for a, b, run in runs:
             for decoded in _decoded(run):
                 start, end = spot(a, b)
-                work.append((decoded, np.full(len(decoded), start), np.full(len(decoded), end)))
+                work.append((decoded, np.full(len(decoded), start), np.full(len(decoded), end), (start, end)))
     return base, sorted(found)
 
 
