@@ -9,10 +9,10 @@ characters which part of the text it stands for, so finds are given as spans of
 the text.
 
 Edge cases: a null text is empty; finds that map to the same kind and span count
-once; encoded data that is not UTF-8 is no layer; the searches take time in
-proportion to the text; a compressed part that unfolds to more than
-``MAX_UNFOLDED`` bytes is a bomb and is searched up to there; other columns are
-not read.
+once; encoded data that is not UTF-8 is read as Latin-1; the searches take time
+in proportion to the text and to what it unfolds to; a compressed part is
+searched ``MAX_UNFOLDED`` bytes at a time; base64 may begin behind a path or
+prefix, and may be wrapped in lines; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import hashlib
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,17 @@ ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 
-MAX_UNFOLDED = 1 << 26
+#: Bytes that are unfolded and searched at once, and those of them that are searched again with the next ones.
+MAX_UNFOLDED, OVERLAP = 1 << 26, 1 << 16
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2})?")
+SEPARATOR = re.compile(r"[/_-]")
+STANDARD = str.maketrans("-_", "+/")
+#: The second bytes of zlib data whose first is x.
+ZLIB = (b"\x01", b"\x5e", b"\x9c", b"\xda")
+#: base64 in lines of 40 characters and more.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+(?![^\r\n=]))+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 Span = tuple[int, int, int]
@@ -105,40 +115,124 @@ def _unescaped(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     return "".join([*chars, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """What gzip, zlib or raw deflate data holds."""
+def _unfold(data: bytes) -> Iterator[bytes]:
+    """What gzip, zlib or raw deflate data holds, MAX_UNFOLDED bytes at a time, as far as it is whole."""
     for bits in (47, -15):
+        unfolder, some = zlib.decompressobj(bits), False
         try:
-            out = zlib.decompressobj(bits).decompress(data, MAX_UNFOLDED)
+            while out := unfolder.decompress(data, MAX_UNFOLDED):
+                some = True
+                yield out
+                data = unfolder.unconsumed_tail
         except zlib.error:
-            continue
-        if out:
-            return out
-    return None
+            pass
+        if some:
+            return
 
 
-def _decoded(run: str) -> list[str]:
-    """The texts that a base64 run stands for: decoded, or decoded and unfolded (as often as it is folded)."""
-    body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return []
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return []
+def _is_plain(text: str) -> bool:
+    return text.isprintable() or all(c.isprintable() or c in "\t\n\r" for c in text)
+
+
+def _payload(data: bytes) -> Iterator[str]:
+    """The texts that bytes stand for: themselves (as Latin-1 where they are not UTF-8), or what they unfold to, as often
+    as they are folded. What is too large for one text comes in several that overlap."""
     seen: set[bytes] = set()
     while data not in seen:
         seen.add(data)
         try:
             text = data.decode()
         except UnicodeDecodeError:
-            text = None
-        if text is not None and (text.isprintable() or all(c.isprintable() or c in "\t\n\r" for c in text)):
-            return [text]
-        if (unfolded := _unfold(data)) is None:
-            return []
-        data = unfolded
-    return []
+            text = data.decode("latin-1")
+        parts = iter(()) if _is_plain(text) else _unfold(data)
+        if (first := next(parts, None)) is None:
+            yield text
+            return
+        if (second := next(parts, None)) is None:
+            data = first
+            continue
+        rest = b""
+        for part in chain((first, second), parts):
+            yield (rest + part).decode("utf-8", "replace")
+            rest = part[-OVERLAP:]
+        return
+
+
+def _bytes(body: str) -> bytes:
+    """base64 without its padding; a last character that is too much is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _plain_from(data: bytes) -> int:
+    """Where the plain text begins that data ends with."""
+    text = data.decode("utf-8", "surrogateescape")
+    at = len(text)
+    while at and (text[at - 1].isprintable() or text[at - 1] in "\t\n\r"):
+        at -= 1
+    return len(text[:at].encode("utf-8", "surrogateescape"))
+
+
+def _decoded(run: str) -> Iterator[tuple[int, str]]:
+    """(start in the run, text) for what a base64 run stands for. If it is not UTF-8 or folded data from its start, it
+    may begin behind a path or a prefix: the first / - or _ that plain text or folded data follows is taken. If there
+    is none, the run is read at all four offsets."""
+    body = run.rstrip("=").translate(STANDARD)
+    at = [_bytes(body[k:]) for k in range(4)]
+    try:
+        if len(body) % 4 != 1 and (text := at[0].decode()):
+            yield 0, text
+            return
+    except UnicodeDecodeError:
+        pass
+    plain = [_plain_from(data) for data in at]
+    for s in [0, *(m.end() for m in SEPARATOR.finditer(run))]:
+        skip = s // 4 * 3
+        if len(body) - s < 16:
+            break
+        if (s == 0 or plain[s % 4] <= skip) and len(body) % 4 != (s + 1) % 4:
+            data = at[s % 4][skip:]
+            folded = next(_unfold(data), None) if plain[s % 4] > skip else None
+            if folded or plain[s % 4] <= skip:
+                yield from ((s, text) for text in _payload(data))
+                return
+        elif at[s % 4][skip : skip + 2] == b"\x1f\x8b" or (at[s % 4][skip : skip + 1] == b"x" and at[s % 4][skip + 1 : skip + 2] in ZLIB):
+            data = at[s % 4][skip:]
+            if next(_unfold(data), None):
+                yield from ((s, text) for text in _payload(data))
+                return
+    for data in at:
+        yield 0, data.decode("latin-1")
+
+
+def _wrapped(layer: str) -> Iterator[tuple[list[tuple[int, int]], bytes]]:
+    """Lines (start, end) of base64 that was wrapped, and their bytes: all but the last are equally long, none is repeated."""
+    for m in WRAPPED.finditer(layer):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m.group())]
+        width = lines[0][1] - lines[0][0]
+        full = next((i for i, (a, b) in enumerate(lines) if b - a != width), len(lines))
+        if width % 4 or len({layer[a:b] for a, b in lines[:full]}) < full:
+            continue
+        for n in (full + 1, full) if full < len(lines) and lines[full][1] - lines[full][0] < width else (full,):
+            body = "".join(layer[a:b] for a, b in lines[:n]).rstrip("=").translate(STANDARD)
+            if n > 1 and len(body) % 4 != 1:
+                data = _bytes(body)
+                if not _plain_from(data) or next(_unfold(data), None):
+                    yield lines[:n], data
+                    break
+
+
+def _joined_lines(lines: list[tuple[int, int]], data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The texts of wrapped base64, and for each character the start and end of the lines that it stands in."""
+    for text in _payload(data):
+        if _plain_from(data):
+            yield text, np.full(len(text), lines[0][0]), np.full(len(text), lines[-1][1])
+        else:
+            ends = np.cumsum([len(c.encode()) for c in text])
+            starts = np.concatenate([[0], ends[:-1]])
+            width = lines[0][1] - lines[0][0]
+            of = np.array(lines)
+            yield text, of[starts * 4 // 3 // width, 0], of[(ends * 8 - 1) // 6 // width, 1]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -167,9 +261,17 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             if new := _unescaped(layer):
                 plain, starts, ends = new
                 work.append((plain, starts if lo is None else lo[starts], ends if lo is None else hi[ends - 1], place))
+        inside: set[int] = set()
+        for lines, data in _wrapped(layer) if "\n" in layer else ():
+            inside.update(a for a, _ in lines)
+            place_of = spot(lines[0][0], lines[-1][1])
+            for decoded, starts, ends in _joined_lines(lines, data):
+                work.append((decoded, starts if lo is None else lo[starts], ends if lo is None else hi[ends - 1], place_of))
         for a, b, run in runs:
-            for decoded in _decoded(run):
-                start, end = spot(a, b)
+            if a in inside:
+                continue
+            for skip, decoded in _decoded(run):
+                start, end = spot(a + skip, b)
                 work.append((decoded, np.full(len(decoded), start), np.full(len(decoded), end), (start, end)))
     return base, sorted(found)
 
