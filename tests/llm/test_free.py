@@ -430,6 +430,16 @@ def test_windows_cover_every_trigger():
     assert pii.reconcile(spaced, starts, tags) == [(95, 2, 101)]
 
 
+def test_draw_keeps_rare_kinds(spark):
+    """Many windows without a span do not crowd out the kinds, and the number drawn is the same at every size."""
+    rare = [(f"{k} {i}", f"0{1 + 2 * k}{2 + 2 * k}") for k in range(4) for i in range(3)]
+    for plain in (30, 20_000):
+        rows = rare + [(f"plain {i}", "000") for i in range(plain)]
+        drawn = pii.draw(spark.createDataFrame(rows, "window string, tags string"), 24)
+        assert len(drawn) == 24 and len({r["window"] for r in drawn}) == 24
+        assert {(r["window"], r["tags"]) for r in drawn} >= set(rare)
+
+
 def test_personal_query(spark):
     rows = [(i, t) for i, t in enumerate(sample_texts(150))] + [(900, None), (901, ""), (902, ""), (None, "a@b.cd"), (903, "word " * 50_000 + "a@b.cd")]
     got = {str(r["doc_id"]): r for r in pii.op4_query(docs(spark, rows)).collect()}
