@@ -99,6 +99,21 @@ def test_mixing_empty_and_repeated(spark):
     assert sorted(r["taken"] for r in got) == [0, 0, 2, 2]
 
 
+def test_mixing_small_source_in_a_large_corpus(spark):
+    """Every source's words come within a block of its target, a tiny source's too, whatever the shards and bounds."""
+    rows = [(i, "w " * 1000, "a") for i in range(400)] + [(1000 + i, "v " * 5, "b") for i in range(60)] + [(2000 + i, "u " * (1 + i % 40), "c") for i in range(900)] + [(3000 + i, "t " * 700, None) for i in range(90)]
+    for options, block in (({}, 64), ({"shard_words": 512, "block_words": 16}, 16), ({"shard_words": 64, "block_words": 7, "max_repeat": 2}, 7)):
+        got = mixing.decide(docs(spark, rows), **options).collect()
+        assert len(got) == len(rows)
+        taken, target, repeat = Counter(), {}, options.get("max_repeat", 3)
+        for r in got:
+            mine = r["passes"] * r["_size"] + sum(p["hi"] - p["lo"] for p in r["pieces"])
+            assert 0 <= mine <= repeat * r["_size"]
+            taken[r["source"]] += mine
+            target[r["source"]] = r["target"]
+        assert {s: abs(taken[s] - target[s]) <= block for s in target} == dict.fromkeys(target, True), (options, taken, target)
+
+
 def dedup(rows):
     """Brute force over plain rows."""
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
@@ -186,6 +201,15 @@ def test_sharding(spark):
     assert max(sizes) - min(sizes) <= max(r["size"] for r in got) and sum(sizes) == total
 
 
+def test_sharding_equal_rows(spark):
+    """Rows that are all equal are dealt to several ranges and to all shards."""
+    frame = docs(spark, [(7, "same text", "s")] * 4000).repartition(8)
+    got = sharding.op9_query(frame).groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert sorted((r["shard"], r["max(slot)"], r["count(1)"]) for r in got) == [(s, 499, 500) for s in range(8)]
+    key = [*sharding._key("doc_id", "text"), sharding.F.monotonically_increasing_id().alias("_tie")]
+    assert sharding.ordered(frame.select(*key), *sharding.KEY, "_tie").select("_pid").distinct().count() > 1
+
+
 def test_shard_documents(spark, tmp_path):
     rows = [(i, "x" * ((i * 31) % 200), "s") for i in range(200)]
     frame = docs(spark, rows)

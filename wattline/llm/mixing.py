@@ -3,17 +3,21 @@
 Sources, by code point with null last, get weights that repeat in the order
 given, and share as many words as there are in all; a source's target stops at
 ``max_repeat`` times its own words, and what it leaves goes to the others by
-weight. Blocks of equally many words are then dealt by highest quotients
+weight. A source whose target stops there is taken whole, ``max_repeat`` times.
+For the others blocks of equally many words are dealt by highest quotients
 w / (2k - 1): first to the sources, by target, then within a source to its
-shards, by words. A shard turns its quota into whole passes over its words and
-a remainder, which is filled with its blocks in a seeded order (the last one
-partly). Shards come from a hash of the document, so a hot source is spread over
-as many tasks as there are shards.
+shards, by words. What a shard cannot take (its quota is over ``max_repeat`` times
+its words) goes to the source's other shards, those with the highest next
+quotient first. A shard turns its words into whole passes and a remainder, which
+is filled with its blocks in a seeded order (the last one partly). A source has
+shards in proportion to its words, which a hash of the document picks; so a hot
+source is spread over many tasks, and a small one is not scattered.
 
 Edge cases: a null or blank text has no words and is taken 0 times; a source
 without words has the target 0; null is a source of its own; documents of one id
-are told apart by size and text, and equal rows are interchangeable; an empty
-table gives an empty result; columns of other names are kept by ``mix_texts``.
+are told apart by size and text, and equal rows are interchangeable (they share
+a shard); an empty table gives an empty result; columns of other names are kept
+by ``mix_texts``.
 """
 
 from __future__ import annotations
@@ -54,13 +58,18 @@ def sainte_lague(cells: DataFrame, group: list[str], key: str, weight: str, seat
     return tried.groupBy(*group, key).agg(*[F.first(c).alias(c) for c in kept if c not in (*group, key)], (F.first("_base") + F.sum("_won")).alias("quota"))
 
 
-def _sized(docs: DataFrame, n_shards: int | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Adds ``_size``, ``_source`` (null last), ``_text`` (a hash) and ``_h``, the seeded order of documents."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    docs = docs.withColumns({"_size": size, "_source": F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col)))})
-    if n_shards is None:
-        return docs
-    docs = docs.withColumn("_h", F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string"), F.col("_size").cast("string"))))
-    return docs.withColumn("_shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % n_shards)
+    source = F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col)))
+    docs = docs.withColumns({"_size": size, "_source": source, "_text": F.md5(F.coalesce(F.col(text_col), F.lit("")))})
+    return docs.withColumn("_h", F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string"), F.col("_size").cast("string"), F.col("_text"))))
+
+
+def _sharded(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds ``_shard``, one of the source's ``_shards``."""
+    picked = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("_shards")
+    return rows.join(sources.select("_source", "_shards"), "_source").withColumn("_shard", picked).drop("_shards")
 
 
 def _targets(sources: DataFrame, total: int, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -77,7 +86,7 @@ def _targets(sources: DataFrame, total: int, weights: tuple[int, ...], max_repea
     left = F.lit(total) - F.sum(F.when(F.col("_is_full"), F.col("_full")).otherwise(0)).over(every)
     open_weight = F.sum(F.when(F.col("_is_full"), 0).otherwise(F.col("_w"))).over(every)
     target = F.when(F.col("_is_full"), F.col("_full").cast("double")).otherwise(left * F.col("_w") / open_weight)
-    return rows.select("_source", "source_size", target.alias("target"))
+    return rows.select("_source", "source_size", target.alias("target"), "_is_full")
 
 
 def _block_hash(block: Column) -> Column:
@@ -91,32 +100,51 @@ def decide(
     block_words: int = 64,
     shard_words: int = 32768,
     max_shards: int = 65536,
-    max_blocks: int = 1 << 24,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The documents with ``_size``, ``source_size``, ``target``, ``passes`` (whole copies) and ``pieces`` (word ranges
-    [lo, hi) taken once more).
-
-    A block has ``block_words`` words, more where there would be over ``max_blocks``, less where there would be under
-    4,096; there is a shard for each
-    ``shard_words`` words, up to ``max_shards``, which bounds what one source has to rank."""
-    by_source = _sized(docs, None, id_col, text_col, source_col).groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    by_source = cut(by_source)
-    total = int(by_source.agg(F.sum("source_size")).first()[0] or 0)
-    n_shards = max(1, min(max_shards, -(-total // shard_words)))
-    block = max(1, min(block_words, total // 4096), -(-total // max_blocks))
+    """``id_col``, ``source_col`` and the columns to ``carry``, with ``_size``, ``source_size``, ``target``, ``passes`` (whole copies)
+    and ``pieces`` (word ranges [lo, hi) taken once more).
+
+    A source has a shard for each ``shard_words`` of its words (more words where there would be over ``max_shards``). A
+    block has ``block_words`` words, more where a shard would have over 512, less where there would be under 4,096."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    light = [id_col, source_col, "_size", "_source", "_text", "_h"]
+    light = cut(sized.select(*dict.fromkeys(light)))
+    by_source = cut(light.groupBy("_source").agg(F.sum("_size").alias("source_size")))
+    total, n_sources, letters = by_source.agg(F.sum("source_size"), F.count("*"), F.sum(F.octet_length("_source"))).first()
+    total = int(total or 0)
+    per_shard = max(shard_words, -(-total // max_shards))
+    block = max(1, min(max(block_words, per_shard // 512), total // 4096))
     targets = _targets(by_source, total, weights, max_repeat)
-    seats = targets.withColumns({"_all": F.lit(0), "_seats": F.lit((2 * total + block) // (2 * block)).cast("long")})
-    seats = sainte_lague(seats, ["_all"], "_source", "target", "_seats").withColumnRenamed("quota", "_blocks")
-    sized = _sized(docs, n_shards, id_col, text_col, source_col)
-    cells = sized.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words"))
-    cells = cells.join(seats.select("_source", "source_size", "target", "_blocks"), "_source")
-    cells = sainte_lague(cells, ["_source"], "_shard", "_words", "_blocks")
-
-    taken = F.least(F.col("quota") * block, F.col("_words") * max_repeat)
-    cells = cells.withColumn("_taken", taken).withColumn("passes", F.expr("_taken div greatest(_words, 1)"))
+    shards = F.greatest(F.lit(1).cast("long"), F.expr(f"(source_size + {per_shard - 1}) div {per_shard}"))
+    targets = cut(targets.withColumn("_shards", shards))
+    # the words that are not in full sources, in blocks
+    open_words = int(targets.where("not _is_full").agg(F.sum("target")).first()[0] or 0)
+    seats = targets.where("not _is_full").withColumns({"_all": F.lit(0), "_seats": F.lit((2 * open_words + block) // (2 * block)).cast("long")})
+    seats = sainte_lague(seats, ["_all"], "_source", "target", "_seats").select("_source", F.col("quota").alias("_blocks"))
+    sources = targets.join(seats, "_source", "left")
+    # a table of all sources is sent to every task only where its counted size is small
+    small = n_sources <= 10_000 and (letters or 0) <= 1 << 20
+    sources = F.broadcast(sources) if small else sources
+    sharded = _sharded(light, sources)
+    cells = sharded.groupBy("_source", "_shard").agg(F.sum("_size").alias("_words"))
+    cells = cells.join(sources.select("_source", "source_size", "target", "_is_full", "_blocks"), "_source")
+    dealt = sainte_lague(cells.where("not _is_full"), ["_source"], "_shard", "_words", "_blocks")
+    # what is over a shard's bound goes to the others, as far as they have room
+    most = F.col("_words") * max_repeat
+    dealt = dealt.withColumn("_taken", F.least(F.col("quota") * block, most)).withColumn("_room", most - F.col("_taken"))
+    over = F.sum(F.col("quota") * block - F.col("_taken")).over(Window.partitionBy("_source"))
+    turn = Window.partitionBy("_source").orderBy((-F.col("_words") / (2 * F.col("quota") + 1)), "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_room").over(turn), F.lit(0))
+    dealt = dealt.withColumn("_taken", F.col("_taken") + F.greatest(F.lit(0), F.least(F.col("_room"), over - before)))
+    full = cells.where("_is_full").withColumn("_taken", most)
+    columns = ["_source", "_shard", "source_size", "target", "_words", "_taken"]
+    cells = dealt.select(*columns).union(full.select(*columns))
+
+    cells = cells.withColumn("passes", F.expr("_taken div greatest(_words, 1)"))
     cells = cells.withColumn("_rest", F.col("_taken") - F.col("passes") * F.col("_words"))
     n_blocks = F.expr(f"(_words + {block - 1}) div {block}")
     order = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda b: F.struct(_block_hash(b).alias("h"), b.alias("b"))))
@@ -130,8 +158,10 @@ def decide(
     filled = F.col("_fit") * block - F.when(F.col("_fit") > F.col("_at_last"), F.col("_short")).otherwise(0)
     cells = cells.select("_source", "_shard", "source_size", "target", "passes", F.get("_order", F.col("_fit").cast("int")).alias("_stop"), (F.col("_rest") - filled).alias("_part"))
 
-    stream = Window.partitionBy("_source", "_shard").orderBy("_h", id_col, "_size", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("_start", F.coalesce(F.sum("_size").over(stream), F.lit(0)))
+    stream = Window.partitionBy("_source", "_shard").orderBy("_h", id_col, "_size", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _sharded(sized, sources) if carry else sharded
+    rows = rows.select(*dict.fromkeys([id_col, source_col, *carry, "_size", "_source", "_shard", "_text", "_h"]))
+    rows = rows.withColumn("_start", F.coalesce(F.sum("_size").over(stream), F.lit(0)))
     rows = rows.join(cells, ["_source", "_shard"])
 
     def piece(b: Column) -> Column:
@@ -150,7 +180,7 @@ def decide(
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: a row for each whole copy, and one with the words taken once more."""
     rows = packed(docs, _doc_id=F.col(id_col), _body=F.col(text_col), _from=F.col(source_col))
-    rows = decide(rows, id_col="_doc_id", text_col="_body", source_col="_from", **options)
+    rows = decide(rows, id_col="_doc_id", text_col="_body", source_col="_from", carry=("_doc", "_body"), **options)
     words = F.split(F.trim(F.col("_body"), F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
     part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
     copies = F.array_repeat(F.col("_body"), F.col("passes").cast("int"))

@@ -48,11 +48,11 @@ FROM put
 OP1 = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, md5(coalesce(text, '')) AS text_hash
   FROM documents
 ), total AS (
-  SELECT sum(size)::BIGINT AS total, greatest(1, least(65536, (sum(size) + 32767)::BIGINT // 32768)) AS shards,
-         greatest(1, least(64, sum(size)::BIGINT // 4096), (sum(size) + 16777215)::BIGINT // 16777216) AS block
+  SELECT sum(size)::BIGINT AS total, greatest(32768, (sum(size) + 65535)::BIGINT // 65536) AS per_shard,
+         greatest(1, least(greatest(64, greatest(32768, (sum(size) + 65535)::BIGINT // 65536) // 512), sum(size)::BIGINT // 4096)) AS block
   FROM sized
 ), weighed AS (
   SELECT src, sum(size)::BIGINT AS words, [5, 2, 1][1 + (row_number() OVER (ORDER BY src) - 1) % 3] AS w FROM sized GROUP BY src
@@ -61,28 +61,34 @@ WITH sized AS (
               <= (total - coalesce(sum(3 * words) OVER (ORDER BY 3 * words / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full
   FROM weighed, total
 ), targets AS (
-  SELECT src, words, block, shards, total,
+  SELECT src, words, block, is_full, greatest(1, (words + per_shard - 1) // per_shard) AS shards,
          CASE WHEN is_full THEN (3 * words)::DOUBLE
               ELSE (total - sum(CASE WHEN is_full THEN 3 * words ELSE 0 END) OVER ())::DOUBLE * w / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () END AS target
   FROM filling
+), open AS (
+  SELECT *, floor(sum(target) OVER ())::BIGINT AS open_words FROM targets WHERE NOT is_full
 ), seats AS (
-  SELECT src, count(*) FILTER (n <= (2 * total + block) // (2 * block)) AS blocks
-  FROM (SELECT src, total, block, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src) AS n
-        FROM targets, LATERAL (SELECT unnest(range(1, 2 + (2 * target / block)::BIGINT)) AS k))
+  SELECT src, count(*) FILTER (n <= (2 * open_words + block) // (2 * block)) AS blocks
+  FROM (SELECT src, open_words, block, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, src) AS n
+        FROM open, LATERAL (SELECT unnest(range(1, 4 + (2 * target / block)::BIGINT)) AS k))
   GROUP BY src
 ), hashed AS (
-  SELECT s.*, md5(concat_ws(':', 'mix', doc_id::VARCHAR, size::VARCHAR)) AS h,
-         ('0x' || substr(md5(concat_ws(':', 'mix', doc_id::VARCHAR, size::VARCHAR)), 1, 8))::BIGINT % shards AS shard, block
-  FROM sized s, total
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard
+  FROM (SELECT s.*, md5(concat_ws(':', 'mix', doc_id::VARCHAR, size::VARCHAR, text_hash)) AS h, shards, block, is_full FROM sized s JOIN targets USING (src))
 ), cells AS (
-  SELECT src, shard, any_value(block) AS block, sum(size)::BIGINT AS words FROM hashed GROUP BY src, shard
+  SELECT src, shard, any_value(block) AS block, any_value(is_full) AS is_full, sum(size)::BIGINT AS words FROM hashed GROUP BY src, shard
 ), dealt AS (
   SELECT src, shard, count(*) FILTER (n <= blocks) AS quota
   FROM (SELECT src, shard, blocks, row_number() OVER (PARTITION BY src ORDER BY words / (2 * k - 1) DESC, shard) AS n
         FROM cells JOIN seats USING (src), LATERAL (SELECT unnest(range(1, 6 + 8 * words // block)) AS k))
   GROUP BY src, shard
+), bounded AS (
+  SELECT c.*, quota, CASE WHEN is_full THEN 3 * words ELSE least(quota * block, 3 * words) END AS first_taken FROM cells c LEFT JOIN dealt USING (src, shard)
 ), quotas AS (
-  SELECT c.*, least(quota * block, 3 * words) AS taken FROM cells c JOIN dealt USING (src, shard)
+  SELECT *, first_taken + CASE WHEN is_full THEN 0 ELSE
+           greatest(0, least(3 * words - first_taken, sum(quota * block - first_taken) OVER (PARTITION BY src)
+             - coalesce(sum(3 * words - first_taken) OVER (PARTITION BY src ORDER BY words / (2 * quota + 1) DESC, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS taken
+  FROM bounded
 ), blocks AS (
   SELECT src, shard, b, least(block, words - b * block) AS width, md5(concat_ws(':', 'mix', src, shard::VARCHAR, b::VARCHAR)) AS bh, taken % words AS rest
   FROM quotas, LATERAL (SELECT unnest(range(0, (words + block - 1) // block)) AS b) WHERE words > 0

@@ -4,14 +4,17 @@ The four forms (e-mail, ip, card, phone) are found in every whole text. Their
 spans, in windows drawn from all documents, label the training windows of the
 tagger; varied forms of the same values (other separators, missing signs) are
 put into further windows, so that the tagger learns to find what the forms do
-not. Every text is then cut into overlapping windows; each is decoded, and every
-character takes its label from the window in whose middle it stands most. A span
-must hold a digit or an @, as all labelled ones do, so windows without either
-are O throughout and are not decoded.
+not, and so are numbers that are no personal data (dates, times, prices,
+versions, counts). Every text is then cut into overlapping windows; each is
+decoded, and every character takes its label from the window in whose middle it
+stands most. A tagged span must hold a digit or an @, and each of its characters
+must be within ``REACH`` of one; so only the windows that hold one and their
+neighbours are decoded, and that the others change nothing is tested.
 
 Edge cases: a null text is empty; base spans always stay, and a tagged span that
-touches one is dropped; of equal starts the kinds keep their order; a tagged span that cuts a word or number is dropped; without any
-labelled window nothing is added; other columns are not read.
+touches one is dropped; of equal starts the kinds keep their order; a tagged span
+that cuts a word or number is dropped; without any labelled window nothing is
+added; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import bisect
 import random
 import re
 from collections.abc import Iterator
+from itertools import pairwise
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +46,14 @@ TRIGGER = re.compile(r"[0-9@]")
 
 #: Characters in a window, and from one window to the next.
 WINDOW, STEP = 64, 32
+#: A tagged span's characters are nearer than this to a digit or an @ in it.
+REACH = WINDOW - STEP // 2
 #: Labelled windows that the tagger is fitted on: a sixth for each kind, a third without a span.
 FIT_WINDOWS = 768
+#: Further windows for each labelled one: varied forms of a span's value, numbers of other sorts in its place.
+VARIED, OTHER = 3, 1
+#: State of each direction of the tagger.
+HIDDEN = 24
 
 Span = tuple[int, int, int]
 
@@ -108,13 +119,33 @@ def _fit_windows(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
 def _varied(value: str, kind: int, rng: random.Random) -> str:
     """Another way to write a value of a kind."""
     if kind == 0:
+        if rng.random() < 0.6:
+            w = lambda lo, hi: "".join(rng.choice(ascii_lowercase) for _ in range(rng.randrange(lo, hi)))
+            value = f"{rng.choice([value.split('@')[0], w(3, 9), f'{w(1, 8)}.{w(3, 9)}', f'{w(2, 6)}_{w(2, 6)}'])}@{w(3, 10)}{rng.choice(['', '-' + w(2, 5), '.' + w(2, 7)])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
         return value.replace("@", rng.choice([" @ ", "@ ", " @"]))
     if kind == 1:
-        return value.replace(".", rng.choice([" . ", "-", ":"]))
+        return value.replace(".", rng.choice([" . ", "-", ":", "[.]", ". "]))
+    digits = re.sub(r"\D", "", value)
     if kind == 2:
-        digits = re.sub(r"\D", "", value)
-        return rng.choice([".", "/", "_"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    return re.sub(r"[ ().-]+", rng.choice([" ", "-", "."]), value.lstrip("+"))
+        if rng.random() < 0.3:
+            digits = "".join(rng.choice("0123456789") * rng.choice([1, 1, 2, 4]) for _ in range(16))[:16]
+        return rng.choice([".", "/", "_", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c = digits[:-7][-3:], digits[-7:-4], digits[-4:]
+    form = rng.choice(["{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "({a}) {b}-{c}", "({a}){b}-{c}", "{a}/{b}-{c}", "{n} {a} {b} {c}", "{n}-{a}-{b}-{c}", "{n} ({a}) {b}-{c}"])
+    return form.format(a=a, b=b, c=c, n=digits[:-10] or "1")
+
+
+def _other(rng: random.Random) -> str:
+    """A number, or a name with an @, that is no personal data."""
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    return rng.choice(
+        [
+            f"20{n(2)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.20{n(2)}", f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/20{n(2)}",
+            f"{rng.randrange(24)}:{n(2)}", f"{rng.randrange(24)}:{n(2)}:{n(2)}", f"{rng.randrange(1, 10)}.{rng.randrange(30)}.{rng.randrange(30)}", f"v{rng.randrange(1, 10)}.{rng.randrange(30)}",
+            f"{rng.randrange(1, 999)},{n(3)}.{n(2)}", f"${rng.randrange(1, 999)}.{n(2)}", f"{rng.randrange(100)}.{n(rng.randrange(1, 4))}%", n(rng.randrange(1, 13)), f"{n(2)}-{n(3)}", f"#{n(5)}",
+            f"{n(3)} {n(3)}", f"{rng.randrange(1, 99)} - {rng.randrange(1, 99)}", f"@{rng.choice(['home', 'team', 'all', 'user'])}{n(rng.randrange(3))}", f"3 @ {rng.randrange(1, 99)}", f"{rng.choice('ABCDEF')}{n(4)}-{n(2)}",
+        ]
+    )
 
 
 def draw(windows: DataFrame, number: int) -> list[Row]:
@@ -144,35 +175,57 @@ def fit(docs: DataFrame, text_col: str = "text", fit_windows: int = FIT_WINDOWS,
     drawn = draw(windows, fit_windows)
     if not any(set(r["tags"]) - {"0"} for r in drawn):
         return None
-    rng = random.Random(seed)
+    return Tagger(1 + 2 * len(KINDS), hidden=HIDDEN, seed=seed).fit(*_training([(r["window"], r["tags"]) for r in drawn], random.Random(seed)), epochs=8, batch=96, rate=0.03)
+
+
+def _training(drawn: list[tuple[str, str]], rng: random.Random) -> tuple[list[str], list[np.ndarray]]:
+    """The drawn windows, and for each that has one whole span further ones with something else in its place."""
     texts, tags = [], []
-    for row in drawn:
-        texts.append(row["window"])
-        tags.append(np.array(list(map(int, row["tags"]))))
-        starts = [i for i, t in enumerate(row["tags"]) if t in "1357"]
-        if len(starts) == 1 and rng.random() < 0.5:
-            a, kind = starts[0], int(row["tags"][starts[0]]) // 2
-            b = a + 1
-            while b < len(row["tags"]) and row["tags"][b] == str(2 + 2 * kind):
-                b += 1
-            if b < len(row["tags"]):
-                new = _varied(row["window"][a:b], kind, rng)
-                text = (row["window"][:a] + new + row["window"][b:])[:WINDOW]
-                texts.append(text)
-                tags.append(labels(len(text), [(a, kind, min(len(text), a + len(new)))]))
-    return Tagger(1 + 2 * len(KINDS), seed=seed).fit(texts, tags)
+    for window, marks in drawn:
+        texts.append(window)
+        tags.append(np.array(list(map(int, marks))))
+        starts = [i for i, t in enumerate(marks) if t in "1357"]
+        if not starts:
+            # a window without a span gets one number more, at the start of a word
+            words = [m.start() for m in re.finditer(r"(?<!\S)\S", window)]
+            at = rng.choice(words) if words else 0
+            text = f"{window[:at]}{_other(rng)} {window[at:]}"[:WINDOW]
+            texts.append(text)
+            tags.append(np.zeros(len(text), np.int64))
+            continue
+        if len(starts) > 1:
+            continue
+        a, kind = starts[0], int(marks[starts[0]]) // 2
+        b = a + 1
+        while b < len(marks) and marks[b] == str(2 + 2 * kind):
+            b += 1
+        if b == len(marks):
+            continue
+        for new, of in [(_varied(window[a:b], kind, rng), kind) for _ in range(VARIED)] + [(_other(rng), None) for _ in range(OTHER)]:
+            # windows begin at other places of the text too
+            skip = rng.randrange(a + 1)
+            text = (window[skip:a] + new + window[b:])[:WINDOW]
+            texts.append(text)
+            tags.append(labels(len(text), [] if of is None else [(a - skip, of, min(len(text), a - skip + len(new)))]))
+    return texts, tags
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @; each character is in the middle half of one (or at an end)."""
+    """Starts of the windows that hold a digit or an @, and of their neighbours."""
     starts: set[int] = set()
     last = max(0, -(-(len(text) - WINDOW) // STEP))
     for m in TRIGGER.finditer(text):
-        first = max(0, -(-(m.start() - WINDOW + 1) // STEP))
-        starts.update(range(first, min(last, m.start() // STEP) + 1))
+        first = max(0, -(-(m.start() - WINDOW + 1) // STEP) - 1)
+        starts.update(range(first, min(last, m.start() // STEP + 1) + 1))
     return sorted(s * STEP for s in starts)
 
 
+def _near_triggers(text: str, a: int, b: int) -> bool:
+    """Whether every character from a to b is nearer than REACH to a digit or an @ there."""
+    at = [m.start() for m in TRIGGER.finditer(text, a, b)]
+    return bool(at) and at[0] - a < REACH and b - 1 - at[-1] < REACH and all(y - x < 2 * REACH for x, y in pairwise(at))
+
+
 def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span]:
     """Spans of a text from its windows' labels: each character's comes from the window in which it is farthest from an edge."""
     if not any(t.any() for t in tags):
@@ -194,11 +247,13 @@ def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span
         while end < len(text) and best[end] == 2 + 2 * kind:
             end += 1
         b = end
+        if not _near_triggers(text, a, b):
+            continue
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if b - a < 6 or not TRIGGER.search(text, a, b):
+        if b - a < 6:
             continue
         cuts_word = (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
         if not cuts_word:

@@ -6,8 +6,8 @@ number of bytes that stand before it; the global sequence of bytes is then cut
 at equal targets. A document belongs to the shard that holds its middle.
 
 Edge cases: a null text has no bytes (size 1, CRC 0); null ids come first;
-documents of one id are ordered by CRC and size, and equal rows may be split by
-a cut; an empty table gives an empty result; further columns are not read.
+documents of one id are ordered by CRC and size, equal rows by where they are
+read, so that they do not meet in one task, and may be split by a cut; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 
 def place(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``_id``, ``_crc``, ``_size``, ``shard``, ``slot`` (its place in the shard, from 0)."""
-    rows = ordered(docs.select(*_key(id_col, text_col)), *KEY)
+    order = [*KEY, "_tie"]
+    rows = ordered(docs.select(*_key(id_col, text_col), F.monotonically_increasing_id().alias("_tie")), *order)
     total = rows.agg(F.sum("_size")).first()[0] or 1
-    at = running(rows, KEY, {"_start": F.col("_size"), "_row": F.lit(1)})
+    at = running(rows, order, {"_start": F.col("_size"), "_row": F.lit(1)})
     middle = F.expr(f"(2 * _start + _size) * {int(n_shards)} div (2 * {int(total)})")
     at = at.withColumn("shard", F.least(F.lit(n_shards - 1), middle).cast("int"))
     firsts = at.groupBy("shard").agg(F.min("_row").alias("_first"))

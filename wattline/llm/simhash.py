@@ -114,13 +114,17 @@ def _joined(group: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     return edges
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """The fingerprints in as many partitions as shuffles have: few bytes become many rows behind this. By a hash, as Spark
+    leaves out a shuffle by the column that rows were made distinct by."""
+    return nodes.repartition(fan_out(nodes.sparkSession), F.xxhash64("_fp"))
+
+
 def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     """For distinct ``_fp``: edges ``u``, ``v`` that connect all within ``threshold`` (1 or 2) bits of each other.
 
     A group of two, which most are, is compared in the JVM; larger ones in batches of groups in Python."""
-    # few bytes become many rows here, so the fingerprints are spread out first
-    nodes = nodes.repartition(fan_out(nodes.sparkSession), "_fp")
-    at = nodes.select("_fp", F.explode(anchors(F.col("_fp"), 1 + (threshold + 1) // 2)).alias("_anchor"))
+    at = spread(nodes).select("_fp", F.explode(anchors(F.col("_fp"), 1 + (threshold + 1) // 2)).alias("_anchor"))
     groups = at.groupBy("_anchor").agg(F.count("*").alias("_n"), F.min("_fp").alias("_a"), F.max("_fp").alias("_b"), F.collect_set("_fp").alias("_all"))
     groups = cut(groups.where("_n > 1"))
     near = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= threshold
