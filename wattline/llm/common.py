@@ -21,11 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: the one the cluster names in ``spark.checkpoint.dir``. Only a session
+    """The folder that all executors see: the one the cluster names in ``spark.checkpoint.dir``. Only a local session
     without that setting (a test) gets a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -56,5 +59,10 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def identity(text_col: str) -> Column:
+    """128 bits that stand for a text; a null text is the empty one."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fan_out(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, fan_out, packed
+from .common import by_batch, cut, fan_out, identity, packed
 from .components import components
 
 SEED = 42
@@ -67,14 +67,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id``, ``_hash`` (XXH64 of the text) and ``_fp`` for each row."""
+    """``_id``, ``_hash`` (MD5 of the text) and ``_fp`` for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(frame: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"_id": frame["_id"], "_hash": frame["_hash"], "_fp": pa.array([fingerprint(t, width) for t in frame["_text"].to_pylist()], pa.int64())}
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    return by_batch(texts, lambda: prints, f"_id {kind}, _hash long, _fp long")
+    texts = docs.select(F.col(id_col).alias("_id"), identity(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    return by_batch(texts, lambda: prints, f"_id {kind}, _hash string, _fp long")
 
 
 def _syndrome(fp: Column) -> Column:
@@ -258,21 +258,22 @@ def copy_links(made: DataFrame, texts: DataFrame, similarity: float = 0.8) -> Da
     met = at.join(shared, "key")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        edges = _spanning(group["uid"].to_numpy(), [shingle_set(t) for t in group["text"]], similarity)
-        return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
+        uids = group["uid"].to_numpy()
+        edges = _spanning(np.arange(len(uids)), [shingle_set(t) for t in group["text"]], similarity)
+        return pd.DataFrame([(uids[a], uids[b]) for a, b in edges], columns=["u", "v"], dtype=object)
 
     # the same texts often meet under several keys: a set of members is compared once
     sets = blocks(met).groupBy("key", "i", "j").agg(F.sort_array(F.collect_set("uid")).alias("uids")).where("size(uids) > 1")
-    sets = sets.select(F.xxhash64("uids").alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
+    sets = sets.select(F.md5(F.array_join("uids", "")).alias("set"), "uids").dropDuplicates(["set"]).select("set", F.explode("uids").alias("uid"))
     members = cut(sets).join(texts.dropDuplicates(["uid"]), "uid")
-    return members.groupBy("set").applyInPandas(compare, "u long, v long").distinct()
+    return members.groupBy("set").applyInPandas(compare, "u string, v string").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_hash``, ``_root`` and ``_component`` for each row: equal texts, and those whose five-word shingles have
     a Jaccard similarity of ``similarity`` or more, are linked. Texts without words are linked to each other."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    texts = docs.select(F.xxhash64(text_col).alias("uid"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("_id"), identity(text_col).alias("_hash"))
+    texts = docs.select(identity(text_col).alias("uid"), F.col(text_col).alias("text"))
 
     def samples(frame: pa.RecordBatch) -> dict[str, pa.Array]:
         sets = [shingle_set(t) for t in frame["text"].to_pylist()]
@@ -281,10 +282,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
         lists = {c: pa.array(v, pa.list_(pa.int64())) for c, v in (("samples", whole), ("shingles", short))}
         return {"uid": frame["uid"], "n": pa.array(map(len, sets), pa.int64())} | lists
 
-    made = by_batch(texts, lambda: samples, "uid long, n long, samples array<long>, shingles array<long>")
+    made = by_batch(texts, lambda: samples, "uid string, n long, samples array<long>, shingles array<long>")
     made = cut(made.dropDuplicates(["uid"]))
     blank = made.where("n = 0").agg(F.min("uid")).first()[0]
-    blanks = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("long").alias("v")).where("u <> v")
+    blanks = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("string").alias("v")).where("u <> v")
     return _named(rows, "_hash", copy_links(made.where("n > 0"), texts, similarity).union(blanks))
 
 
@@ -296,7 +297,7 @@ def keep_one(docs: DataFrame, found: DataFrame | None = None, id_col: str = "doc
     nameless = found.where("_component is null").groupBy("_root").agg(F.min("_hash").alias("_hash")).select(F.lit(None).alias("_id"), "_hash")
     mark = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("_k"), c.isNull().alias("_n")]
     kept = named.select("_id", "_hash").union(nameless).select(*mark(F.col("_id")), "_hash")
-    marked = packed(docs, _id=F.col(id_col), _hash=F.xxhash64(text_col)).select("_doc", *mark(F.col("_id")), "_hash")
+    marked = packed(docs, _id=F.col(id_col), _hash=identity(text_col)).select("_doc", *mark(F.col("_id")), "_hash")
     equal = Window.partitionBy("_k", "_n", "_hash").orderBy("_hash")
     one = marked.join(kept, ["_k", "_n", "_hash"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1")
     return one.select("_doc.*")
