@@ -641,19 +641,77 @@ def test_toxicity_empty(spark):
 def test_nearest_is_exact(seed):
     rng = np.random.default_rng(seed)
     vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 8), replace=False)} for _ in range(700)]
-    idf = rng.random(40) + 0.5
-    index = toxicity.Index(vectors, rng.integers(0, 2, 700).tolist(), list(range(700)), idf, (1, 10))
+    weights = np.where(rng.random(40) < 0.2, 5, 0.2) * (rng.random(40) + 0.5)
+    index = toxicity.Index(vectors, rng.integers(0, 2, 700).tolist(), list(range(700)), weights)
     dense = np.zeros((700, 40))
     for row, i in enumerate(index.ids):
-        for t, w in index._unit(vectors[i]).items():
-            dense[row, t] = w
-    for _ in range(40):
-        q = index._unit({int(t): 1 for t in rng.choice(40, 5, replace=False)})
-        places, cosines = index.nearest(q)
-        every = dense @ np.array([q.get(t, 0) for t in range(40)])
+        dense[row, index.unit(vectors[i])[0]] = index.unit(vectors[i])[1]
+    for but in [-1] * 40 + [3, 699]:
+        q = index.unit({int(t): 1 for t in rng.choice(40, 5, replace=False)})
+        places, cosines = index.nearest(q, but=but)
+        whole = np.zeros(40)
+        whole[q[0]] = q[1]
+        every = dense @ whole
+        if but >= 0:
+            every[but] = 0
         order = np.lexsort((np.arange(700), -np.round(every, 12)))[: toxicity.NEIGHBOURS]
-        assert places.tolist() == order.tolist()
+        assert places.tolist() == [o for o in order if every[o] > 0]
         assert cosines == pytest.approx(every[order])
+    assert len(index.nearest((np.zeros(0, np.int64), np.zeros(0)))[0]) == 0
+
+
+def test_blocks_are_left_out(monkeypatch):
+    """Parts of posting lists in blocks that cannot reach the best are not read."""
+    vectors = [{e // toxicity.BLOCK: 1, 99: 1} for e in range(40 * toxicity.BLOCK)]
+    index = toxicity.Index(vectors, [0] * len(vectors), list(range(len(vectors))), np.ones(100))
+    read, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda s, n: read.append(int(n.sum())) or ranges(s, n))
+    places, _ = index.nearest(index.unit({7: 5, 99: 1}))
+    assert len(places) == toxicity.NEIGHBOURS and {vectors[index.ids[p]].keys() == {7, 99} for p in places} == {True}
+    assert sum(read) < len(vectors) / 4
+
+
+def test_toxicity_evidence(spark):
+    """The query's evidence is what brute force over dense TF-IDF vectors finds, and every text with a known word has some."""
+    rows, labels = toxic_corpus(250, seed=6)
+    frame, marks = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    numbers, index, calibration = toxicity.fit(frame.select("doc_id", "text"), marks)
+    assert set(index.ids) <= {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    got = {r["doc_id"]: r for r in toxicity.op2_query(frame, marks).collect()}
+    texts, truth = dict(rows), {i: t for i, _, t in labels}
+    count = lambda i: {numbers[t]: n for t, n in terms(texts[i]).items() if t in numbers}
+
+    def terms(text):
+        out = {}
+        for w in text.lower().split():
+            for t in [w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k)]:
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    def dense(i):
+        v = np.zeros(len(numbers))
+        for t, n in count(i).items():
+            v[t] = (1 + np.log(n)) * index.weights[t]
+        return v / np.linalg.norm(v)
+
+    held = sum(t in terms(texts[i]) for i in texts for t in [next(iter(numbers))])
+    assert index.weights[0] == pytest.approx((np.log((1 + len(rows)) / (1 + held)) + 1) * toxicity.FLOOR)
+    examples = np.array([dense(i) for i in index.ids])
+    for i in texts:
+        every = examples @ dense(i)
+        order = [p for p in np.lexsort((np.arange(len(every)), -np.round(every, 12)))[: toxicity.NEIGHBOURS] if every[p] > 0]
+        assert got[i]["evidence"] == [index.ids[p] for p in order] and order
+        vote = sum(every[p] * truth[index.ids[p]] for p in order) / sum(every[p] for p in order)
+        assert got[i]["score"] == pytest.approx(calibration.of(vote))
+
+
+def test_toxicity_repeated_labelled_rows(spark):
+    """A labelled id that stands in the table many times, with many texts, is one example."""
+    rows, labels = toxic_corpus(120)
+    rows += [(1, f"{rows[1][1]} again {k}") for k in range(300)]
+    got = toxicity.op2_query(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == len(rows)
+    assert all(len(set(r["evidence"])) == len(r["evidence"]) for r in got)
 
 
 # ------------------------------------------------------------------ pipeline

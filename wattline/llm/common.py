@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The six characters that separate words and are stripped from lines: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -43,7 +44,7 @@ def packed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.struct("*").alias("_doc"), *[c.alias(n) for n, c in columns.items()])
 
 
-def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], schema: str | StructType) -> DataFrame:
     """Arrow batches through a function. ``make`` runs once a task; columns pass as Arrow, so null ids stay whole numbers."""
 
     def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,21 +1,25 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words and the first four to eight letters of longer ones, as endings vary. A bounded
-sample of the labelled rows that are not held out chooses the terms that speak
-for a toxic text; document frequencies of those are counted over all documents.
-The sampled rows are the index: TF-IDF vectors of length one, in posting lists
-by term that are cut into blocks, each with its largest weight. A text's nearest
-examples by cosine are exact: blocks are visited from the highest sum of block
-maxima down, until that sum cannot reach the k-th best cosine. Their votes,
-weighted by cosine, are turned into a share by how often such votes were right
-on the examples themselves, each left out in turn. Scoring is a map over
-all documents; the index has a proven bound, ``FIT_ROWS`` rows and ``MAX_TERMS`` terms.
+A bounded sample of the labelled rows that are not held out is learned from. A
+term is a word, or the first four to eight letters of one where these speak for
+a toxic text (endings vary). A term's weight is its IDF over all documents times
+its relevance, learned from the whole sample: nearly 1 for terms that toxic rows
+hold much more often, ``FLOOR`` for any other word; so every word counts and what
+toxic texts have in common counts most. The index holds ``INDEX_ROWS`` of the
+sample, toxic and clean ones, as TF-IDF vectors of length one, in posting lists
+that are cut into blocks, each with its largest weight. A text's nearest examples
+by cosine are exact: the blocks with the highest sums of block maxima are read
+first, then only the parts of posting lists that lie in blocks whose sum reaches
+the k-th best cosine so far. The votes of the nearest, weighted by cosine, are
+turned into a share by how often such votes were right on the sample, each row
+without itself. Scoring is a map over all documents; the index is bounded by
+``INDEX_ROWS`` and ``FIT_ENTRIES``.
 
 Edge cases: a null, empty or unknown text has no terms and gets the share of
 toxic rows among examples without terms; labels that are null or of no document
-are not used; of several labels for one id the largest holds; a null id is not
-held out; without labels of both kinds every score is the share of toxic ones (0
-if there are none); equal cosines go to the example that comes first; further
+are not used; of several labels for one id the largest holds, of several texts
+the one with the smallest hash; a null id is not held out; without labels of both
+kinds every score is 0; equal cosines go to the example that comes first; further
 columns are not read.
 """
 
@@ -24,33 +28,69 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, cut, packed
 
-#: Labelled rows that are drawn, about; terms that are kept, at most.
-FIT_ROWS, MAX_TERMS = 10_000, 4096
-#: A kept term is so many times as frequent in toxic rows, with this chi-square at least (high, as every word is tried).
+#: Labelled rows that are learned from, those of them that are the index (half of them toxic ones, if there are so
+#: many), and the different words that all of them may have together, at most.
+FIT_ROWS, INDEX_ROWS, FIT_ENTRIES = 10_000, 2048, 1 << 22
+#: A term speaks for a toxic text if it is so many times as frequent there; with this chi-square it has half its relevance.
 LIFT, CHI_SQUARE = 3.0, 30.0
+#: The relevance of all other words, and the least that the beginning of a word must have.
+FLOOR, PREFIX_FLOOR = 0.05, 0.25
 PREFIXES = (4, 5, 6, 7, 8)
-NEIGHBOURS, BLOCK = 15, 64
-#: Votes are told apart in so many steps.
-STEPS = 10
+NEIGHBOURS, BLOCK = 15, 32
+#: Blocks that are read first.
+FIRST = 6
+#: Votes are told apart in so many steps, between which shares are interpolated.
+STEPS = 20
 #: Words whose terms are remembered at a time.
 REMEMBERED = 1 << 18
 THRESHOLD = 0.3
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
+Vector = tuple[np.ndarray, np.ndarray]
 
-def word_terms(raw: str) -> list[str]:
-    out = []
-    for w in [raw] if raw.isalpha() else LETTERS.findall(raw):
-        out += [w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)]
+
+def words_of(raw: str) -> list[str]:
+    return [raw] if raw.isalpha() else LETTERS.findall(raw)
+
+
+def word_counts(text: str | None) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for raw, n in Counter((text or "").lower().split()).items():
+        for w in words_of(raw):
+            counts[w] = counts.get(w, 0) + n
+    return counts
+
+
+def prefixes(word: str) -> list[str]:
+    return [word[:n] + "*" for n in PREFIXES if len(word) > n]
+
+
+def relevance(sample: list[dict[str, int]], toxic: list[int]) -> dict[str, float]:
+    """Terms that toxic rows hold more often, with their relevance up to 1."""
+    n_toxic, n = sum(toxic), len(toxic)
+    n_clean = n - n_toxic
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for counts, label in zip(sample, toxic, strict=True):
+        seen[label].update({t for w in counts for t in (w, *prefixes(w))})
+    out = {}
+    for term, a in seen[1].items():
+        b = seen[0][term]
+        if a > 2 and a + b < n and (a / n_toxic) >= LIFT * (b + 0.5) / n_clean:
+            chi = n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * n_toxic * n_clean)
+            strength = chi * chi / (chi * chi + CHI_SQUARE * CHI_SQUARE)
+            if not term.endswith("*") or strength >= PREFIX_FLOOR:
+                out[term] = strength
     return out
 
 
@@ -64,7 +104,7 @@ class Terms(dict):
     def __missing__(self, raw: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[raw] = found = tuple(n for t in word_terms(raw) if (n := self.numbers.get(t)) is not None)
+        self[raw] = found = tuple(n for w in words_of(raw) for t in (w, *prefixes(w)) if (n := self.numbers.get(t)) is not None)
         return found
 
     def of(self, text: str | None) -> dict[int, int]:
@@ -75,158 +115,260 @@ class Terms(dict):
         return counts
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class Index:
-    """Posting lists in blocks with their maxima, and the calibration of votes."""
-
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, idf: np.ndarray, without: tuple[int, int]):
-        # examples that share their heaviest term stand together, which makes block maxima tight
-        heaviest = [max(v, key=lambda t: (idf[t], t)) for v in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], labels[i], i))
-        self.idf, self.labels, self.ids = idf, np.array([labels[i] for i in order], np.float64), [ids[i] for i in order]
-        toxic, n = without
-        self.empty = (toxic + 0.01) / (n + 1) if n else 0.0
-        lists: dict[int, list[tuple[int, float]]] = {}
-        unit = [self._unit(vectors[i]) for i in order]
-        for e, vector in enumerate(unit):
-            for t, w in vector.items():
-                lists.setdefault(t, []).append((e, w))
-        self.postings = {t: (np.array([e for e, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()}
-        self.maxima = {}
-        for t, (e, w) in self.postings.items():
-            starts = np.flatnonzero(np.diff(e // BLOCK, prepend=-1))
-            self.maxima[t] = (e[starts] // BLOCK, np.maximum.reduceat(w, starts))
+    """Posting lists in blocks with their maxima."""
+
+    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, weights: np.ndarray):
+        self.weights = weights
+        unit = [self.unit(v) for v in vectors]
+        # examples that share their heaviest term, or else their most widespread one, stand together: block maxima are tight then
+        spread = Counter(t for terms, _ in unit for t in terms.tolist())
+        def key(i: int):
+            terms, w = unit[i]
+            common = [(v * spread[t], t) for t, v in zip(terms.tolist(), w.tolist(), strict=True) if spread[t] > 2]
+            return (labels[i], max(common, default=(0.0, -1))[1], i)
+        order = sorted(range(len(unit)), key=key)
+        unit = [unit[i] for i in order]
+        self.labels, self.ids = np.array([labels[i] for i in order], np.float64), [ids[i] for i in order]
+        self.place = {i: e for e, i in enumerate(self.ids)}
         self.n_blocks = -(-len(order) // BLOCK)
-        votes = [self._vote(*self.nearest(v, but=e)) for e, v in enumerate(unit)]
-        steps = np.minimum((np.array(votes) * STEPS).astype(int), STEPS - 1) if votes else np.array([], int)
-        hits, sums = np.bincount(steps, self.labels, STEPS), np.bincount(steps, minlength=STEPS)
-        middle = (np.arange(STEPS) + 0.5) / STEPS
-        self.share = np.maximum.accumulate((hits + middle) / (sums + 1))
-
-    def _unit(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
-
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        # postings by term, then example; segments are the parts of a term's list in one block
+        terms = np.concatenate([t for t, _ in unit]) if unit else np.zeros(0, np.int64)
+        examples = np.repeat(np.arange(len(unit)), [len(t) for t, _ in unit])
+        at = np.lexsort((examples, terms))
+        self.examples, self.values = examples[at].astype(np.int64), (np.concatenate([w for _, w in unit]) if unit else np.zeros(0))[at]
+        cell = terms[at] * self.n_blocks + self.examples // BLOCK
+        self.seg_start = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.seg_length = np.diff(self.seg_start, append=len(cell))
+        self.seg_block = (cell[self.seg_start] % max(self.n_blocks, 1)).astype(np.int64)
+        self.seg_most = np.maximum.reduceat(self.values, self.seg_start) if len(cell) else np.zeros(0)
+        of_term = cell[self.seg_start] // max(self.n_blocks, 1)
+        self.term_from = np.searchsorted(of_term, np.arange(len(weights) + 1))
+
+    def unit(self, counts: dict[int, int]) -> Vector:
+        terms = np.fromiter(counts, np.int64, len(counts))
+        raw = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weights[terms]
+        keep = raw > 0
+        terms, raw = terms[keep], raw[keep]
+        norm = math.sqrt(float(raw @ raw))
+        return (terms, raw / norm) if norm else (terms[:0], raw[:0])
+
+    def nearest(self, query: Vector, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples (fewer, if fewer share a term)."""
-        terms = [t for t in query if t in self.postings]
-        if not terms:
-            return np.array([], int), np.array([])
-        bound = np.zeros(self.n_blocks)
-        for t in terms:
-            blocks, most = self.maxima[t]
-            bound[blocks] += query[t] * most
-        todo = np.argsort(-bound, kind="stable")
-        todo = todo[bound[todo] > 0]
+        terms, w = query
+        first, n_segs = self.term_from[terms], self.term_from[terms + 1] - self.term_from[terms]
+        segs = _ranges(first, n_segs)
+        if not len(segs):
+            return np.zeros(0, np.int64), np.zeros(0)
+        factor, block = np.repeat(w, n_segs), self.seg_block[segs]
+        bound = np.bincount(block, factor * self.seg_most[segs], self.n_blocks)
         cosines = np.zeros(self.n_blocks * BLOCK)
-        kth, at, width = 0.0, 0, 4
-        while at < len(todo) and bound[todo[at]] >= kth - 1e-12:
-            visited = np.zeros(self.n_blocks, bool)
-            visited[[b for b in todo[at : at + width] if bound[b] >= kth - 1e-12]] = True
-            for t in terms:
-                e, w = self.postings[t]
-                here = visited[e // BLOCK]
-                cosines[e[here]] += query[t] * w[here]
+
+        def read(wanted: np.ndarray) -> float:
+            """Adds what the wanted blocks hold; the k-th best cosine so far."""
+            here = wanted[block]
+            lengths = self.seg_length[segs[here]]
+            places = _ranges(self.seg_start[segs[here]], lengths)
+            cosines[:] += np.bincount(self.examples[places], np.repeat(factor[here], lengths) * self.values[places], len(cosines))
             if but >= 0:
                 cosines[but] = 0
-            kth = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-            at, width = at + width, width * 2
+            return float(np.partition(cosines, -k)[-k]) if len(cosines) >= k else 0.0
+
+        started = np.zeros(self.n_blocks, bool)
+        started[np.argpartition(bound, -FIRST)[-FIRST:] if self.n_blocks > FIRST else slice(None)] = True
+        kth = read(started)
+        read(~started & (bound >= kth - 1e-12))
         found = np.flatnonzero(cosines > 0)
+        if len(found) > k:
+            found = found[cosines[found] >= np.partition(cosines[found], -k)[-k] - 1e-9]
         found = found[np.lexsort((found, -np.round(cosines[found], 12)))][:k]
         return found, cosines[found]
 
-    def _vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines * self.labels[places]).sum() / cosines.sum()) if len(places) else 0.0
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list]:
-        """The score, and the examples that speak for it."""
-        if not counts:
-            return self.empty, []
-        places, cosines = self.nearest(self._unit(counts))
-        if not len(places):
-            return self.empty, []
-        step = min(int(self._vote(places, cosines) * STEPS), STEPS - 1)
-        return float(self.share[step]), [self.ids[p] for p in places]
 
+class Calibration:
+    """From votes to shares of toxic rows."""
 
-def held_out(id_col: str):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, without: tuple[int, int]):
+        steps = np.minimum((votes * STEPS).astype(int), STEPS - 1)
+        hits, sums = np.bincount(steps, labels, STEPS), np.bincount(steps, minlength=STEPS)
+        self.middle = (np.arange(STEPS) + 0.5) / STEPS
+        self.share = np.maximum.accumulate((hits + self.middle) / (sums + 1))
+        self.empty = (without[0] + 0.01) / (without[1] + 1)
 
+    def of(self, vote: float) -> float:
+        return float(np.interp(vote, self.middle, self.share))
 
-def _drawn(labels: DataFrame, fit_rows: int) -> DataFrame:
-    """About ``fit_rows`` of the labelled rows that may be learned from, by a hash of the id."""
-    rows = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = rows.count()
-    share = int(min(1.0, fit_rows / max(n, 1)) * 1_000_000)
-    return rows.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) < share)
 
+def held_out(id_col: str):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
-def _choose(sample: DataFrame) -> dict[str, int]:
-    """Terms that toxic rows of the sample hold more often, numbered."""
-    toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    clean = n - toxic
-    if not toxic or not clean:
-        return {}
 
-    def count(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(frame["text"].to_pylist(), frame["toxic"].to_pylist(), strict=True):
-            words = set((text or "").lower().split())
-            seen[int(label > 0)].update({t for w in words for t in word_terms(w)})
-        terms = list(seen[0] | seen[1])
-        return {"term": pa.array(terms, pa.string()), "a": pa.array([seen[1][t] for t in terms], pa.int64()), "b": pa.array([seen[0][t] for t in terms], pa.int64())}
-
-    counts = by_batch(sample, lambda: count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = n * (a * (clean - b) - b * (toxic - a)) ** 2 / ((a + b) * (n - a - b) * float(toxic) * clean)
-    lift = (a / toxic) / ((b + 0.5) / clean)
-    chosen = counts.where((a > 2) & (a + b < n) & (lift >= LIFT)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    terms = chosen.orderBy(F.col("chi").desc(), "term").limit(MAX_TERMS).select("term").collect()
-    return {r["term"]: i for i, r in enumerate(terms)}
-
-
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``doc_id``, ``text_hash`` (XXH64), ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the examples)."""
-    drawn = cut(_drawn(labels, fit_rows))
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """``doc_id``, ``toxic``, ``words``, ``counts`` of ``fit_rows`` labelled rows that may be learned from, those with the smallest hashes."""
+    rows = labels.where("doc_id is not null and toxic is not null").where(~held_out("doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    drawn = cut(rows.orderBy(F.xxhash64(F.lit("draw"), "doc_id"), "doc_id").limit(fit_rows))
     # bounded by fit_rows: two numbers a row
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    numbers = _choose(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def vectors():
+    def count(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        found = [word_counts(t) for t in frame["text"].to_pylist()]
+        lists = {"words": pa.array([list(c) for c in found], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))}
+        return {"doc_id": frame["doc_id"], "toxic": frame["toxic"]} | lists
+
+    return cut(by_batch(texts, lambda: count, f"doc_id {kind}, toxic int, words array<string>, counts array<long>"))
+
+
+def _fitting(sample: DataFrame, fit_entries: int) -> list:
+    """The rows of the sample, as many in the order of their hashes as have ``fit_entries`` words."""
+    sizes = sample.select("doc_id", F.size("words").alias("n"), F.xxhash64(F.lit("draw"), "doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > fit_entries:
+            break
+        last = (r["h"], r["doc_id"])
+    if last is None:
+        return []
+    here = F.struct(F.xxhash64(F.lit("draw"), "doc_id").alias("h"), F.col("doc_id").alias("d"))
+    upto = F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).cast(sample.schema["doc_id"].dataType).alias("d"))
+    rows = sample.where(here <= upto).withColumn("h", here["h"]).collect()
+    return sorted(rows, key=lambda r: (r["h"], r["doc_id"]))
+
+
+def _frequencies(docs: DataFrame, numbers: dict[str, int]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many hold each term."""
+    known = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, sums, n = Terms(known.value), np.zeros(len(known.value) + 1, np.int64), 0
+        for frame in frames:
+            n += frame.num_rows
+            for text in frame["text"].to_pylist():
+                for t in {t for raw in set((text or "").lower().split()) for t in terms[raw]}:
+                    sums[t] += 1
+        sums[-1] = n
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "n": pa.array(sums[at], pa.int64())})
+
+    # a row for each term that the fitted rows hold, at most
+    got = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(numbers) + 1, np.int64)
+    df[got["t"].to_numpy()] = got["n"].to_numpy()
+    known.unpersist()
+    return int(df[-1]), df[:-1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, index_rows: int = INDEX_ROWS, fit_entries: int = FIT_ENTRIES) -> tuple[dict[str, int], Index, Calibration] | None:
+    """Numbers of terms, index and calibration; None without labels of both kinds."""
+    sample = _sample(docs, labels, fit_rows)
+    rows = _fitting(sample, fit_entries)
+    toxic = [r["toxic"] for r in rows]
+    if not 0 < sum(toxic) < len(toxic):
+        return None
+    counts = [dict(zip(r["words"], r["counts"], strict=True)) for r in rows]
+    speaks = relevance(counts, toxic)
+    with_words = [i for i, c in enumerate(counts) if c]
+    half = [i for i in with_words if toxic[i]][: index_rows // 2]
+    chosen = sorted(half + [i for i in with_words if not toxic[i]][: index_rows - len(half)])
+    numbers: dict[str, int] = {}
+    for i in chosen:
+        for w in counts[i]:
+            for t in (w, *(p for p in prefixes(w) if p in speaks)):
+                numbers.setdefault(t, len(numbers))
+    n_docs, df = _frequencies(docs, numbers)
+    factor = np.array([speaks[t] if t.endswith("*") else FLOOR + (1 - FLOOR) * speaks.get(t, 0.0) for t in numbers])
+    weights = (np.log((1 + n_docs) / (1 + df)) + 1) * factor
+    terms = Terms(numbers)
+
+    def vector(words: dict[str, int]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for w, n in words.items():
+            for t in terms[w]:
+                out[t] = out.get(t, 0) + n
+        return out
+
+    index = Index([vector(counts[i]) for i in chosen], [toxic[i] for i in chosen], [rows[i]["doc_id"] for i in chosen], weights)
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, index))
+
+    def votes():
+        numbers, index = shared.value
         terms = Terms(numbers)
 
         def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-            counts = [terms.of(t) for t in frame["text"].to_pylist()]
-            lists = {"terms": pa.array([list(c) for c in counts], pa.list_(pa.int32())), "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))}
-            return {"doc_id": frame["doc_id"], "text_hash": frame["text_hash"]} | lists
+            out = []
+            for doc_id, words, n in zip(frame["doc_id"].to_pylist(), frame["words"].to_pylist(), frame["counts"].to_pylist(), strict=True):
+                counts: dict[int, int] = {}
+                for w, k in zip(words, n, strict=True):
+                    for t in terms[w]:
+                        counts[t] = counts.get(t, 0) + k
+                places, cosines = index.nearest(index.unit(counts), but=index.place.get(doc_id, -1))
+                out.append(index.vote(places, cosines) if len(places) else None)
+            return {"toxic": frame["toxic"], "vote": pa.array(out, pa.float64())}
+
+        return do
+
+    # two numbers for each row of the sample
+    got = by_batch(sample, votes, "toxic int, vote double").toArrow()
+    shared.unpersist()
+    label, vote = got["toxic"].to_numpy().astype(np.float64), got["vote"].to_numpy().astype(np.float64)
+    none = np.isnan(vote)
+    return numbers, index, Calibration(vote[~none], label[~none], (int(label[none].sum()), int(none.sum())))
+
+
+def _rated(docs: DataFrame, labels: DataFrame, text: str, **options) -> DataFrame:
+    """``docs`` (with ``_id``; ``text`` is a column, or a column and its field) and ``_score`` and ``_evidence`` (ids of the nearest examples)."""
+    column, _, inner = text.partition(".")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("_id").alias("doc_id"), F.col(text).alias("text")), labels, **options))
+    kind = docs.schema["_id"].dataType
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_evidence", T.ArrayType(kind))])
+
+    def rate():
+        if model.value is None:
+            score = lambda text: (0.0, [])
+        else:
+            numbers, index, calibration = model.value
+            terms = Terms(numbers)
+
+            def score(text: str | None) -> tuple[float, list]:
+                places, cosines = index.nearest(index.unit(terms.of(text)))
+                if not len(places):
+                    return calibration.empty, []
+                return calibration.of(index.vote(places, cosines)), [index.ids[p] for p in places]
+
+        def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+            texts = frame[column].field(inner) if inner else frame[column]
+            scored = [score(t) for t in texts.to_pylist()]
+            own = {c: frame[c] for c in frame.schema.names}
+            return own | {"_score": pa.array([s for s, _ in scored], pa.float64()), "_evidence": pa.array([e for _, e in scored], pa.list_(frame["_id"].type))}
 
         return do
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = cut(by_batch(texts, vectors, f"doc_id {kind}, text_hash long, terms array<int>, counts array<long>"))
-    n_docs = rows.count()
-    df = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in range(len(numbers))])
-    examples = rows.join(F.broadcast(drawn), "doc_id")
-    without = examples.where("size(terms) = 0").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    held = examples.where("size(terms) > 0").select("doc_id", "toxic", "terms", "counts", F.md5(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text_hash").collect()
-    index = Index([dict(zip(r["terms"], r["counts"], strict=True)) for r in held], [int(r["toxic"] > 0) for r in held], [r["doc_id"] for r in held], idf, (int(without[0]), int(without[1])))
+    return by_batch(docs, rate, schema)
 
-    def rate(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-        scored = [index.score(dict(zip(t, c, strict=True))) for t, c in zip(frame["terms"].to_pylist(), frame["counts"].to_pylist(), strict=True)]
-        evidence = pa.array([e for _, e in scored], pa.list_(frame["doc_id"].type))
-        return {"doc_id": frame["doc_id"], "text_hash": frame["text_hash"], "score": pa.array([s for s, _ in scored], pa.float64()), "evidence": evidence}
 
-    scored = by_batch(rows, lambda: rate, f"doc_id {kind}, text_hash long, score double, evidence array<{kind}>")
-    return scored.select("doc_id", "text_hash", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the examples)."""
+    rows = _rated(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), labels, "_text", **options)
+    rows = rows.select(F.col("_id").alias("doc_id"), F.col("_score").alias("score"), F.col("_evidence").alias("evidence"))
+    return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text is predicted to be toxic."""
-    found = score(docs, labels, **options)
-    bad = found.where("predicted = 1").select(F.col("text_hash").alias("_hash")).distinct()
-    return packed(docs, _hash=F.xxhash64("text")).join(bad, "_hash", "left_anti").select("_doc.*")
+    """``docs`` without the rows whose text is predicted to be toxic: a map over the rows, nothing is shuffled."""
+    rows = _rated(packed(docs, _id=F.col("doc_id")), labels, "_doc.text", **options)
+    return rows.where(F.col("_score") < THRESHOLD).select("_doc.*")
 
 
 def op2_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
