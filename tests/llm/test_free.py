@@ -531,7 +531,7 @@ def best_window(text, item):
     n = min(len(target), len(here))
     best = 0.0
     for s in range(len(here) - n + 1 if n else 0):
-        best = max(best, decontamination.similarity(np.array([hash(g) for g in here[s : s + n]]), np.array([hash(g) for g in target])))
+        best = max(best, decontamination.similarity(here[s : s + n], target))
     return best
 
 
@@ -566,12 +566,69 @@ def test_decontamination(spark):
     assert decontamination.op6_query(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_passes(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 3)
-    items = passages(10)
-    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
-    got = decontamination.op6_query(docs(spark, [(i, t) for i, t in enumerate(items)]), bench).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i in range(10)]
+@pytest.mark.parametrize("options,bits", [({"table": False}, 1 << 29), ({}, 1 << 16)])
+def test_windows_are_found_by_fingerprints(spark, monkeypatch, options, bits):
+    """Without the table of shingles, and with one that is too small for the benchmark, the multi-index finds what brute force finds."""
+    monkeypatch.setattr(decontamination, "TABLE_BITS", bits)
+    monkeypatch.setattr(decontamination, "ENTRY_BITS", 1)
+    items, rng = passages(30, seed=14), random.Random(3)
+    items += [" ".join([*items[0].split()[:12], *items[k].split()[:9]]) for k in range(1, 8)]  # a shingle that many items hold
+    rows = []
+    for i, item in enumerate(items):
+        w = item.split()
+        for n in range(3):
+            v = w[:]
+            for _ in range(n):
+                v[rng.randrange(len(v))] = "other"
+            rows.append((10 * i + n, " ".join(["left", "of", "it", *v, "right"])))
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id int, text string")
+    found = decontamination.matches(docs(spark, rows), bench, **options)
+    assert found.schema["item_id"].dataType.simpleString() == "int"
+    got = {(r["_id"], r["item_id"]): round(r["similarity"], 6) for r in found.collect()}
+    want = {(i, j): round(s, 6) for i, t in rows for j, item in enumerate(items) if (s := best_window(t, item)) >= 0.8}
+    assert got == want and len(want) > 40
+
+
+def test_runs_hold_all_windows(monkeypatch):
+    """Runs are cut at gaps and at their bound; each window with enough known shingles is in one."""
+    monkeypatch.setattr(decontamination, "PART", 7)
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    own = decontamination.shingles(hashes, 5)
+    numbers = np.concatenate([own[50:90], own[100:300], *(decontamination.with_length(own[lo:hi], 20) for lo, hi in ((50, 90), (100, 300)))])
+    words = np.zeros(1 << 12, np.uint64)
+    for at in decontamination.Table(words).places(numbers):
+        np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    table = decontamination.Table(words)
+    assert table.known(numbers).all()
+    found = list(decontamination.runs(hashes, [(5, 20)], table))
+    starts = [first + k for _, _, first, grams in found for k in range(len(grams) - 19)]
+    known = table.known(own) & table.known(decontamination.with_length(own, 20))
+    assert starts == [s for s in range(len(own) - 19) if known[s : s + 20].sum() >= decontamination.needed(20, 20)] and max(len(g) for *_, g in found) <= 26
+    assert len(starts) >= 21 + 181 and decontamination.needed(20, 20) == 18
+
+
+def test_candidates_are_looked_up_by_blocks(spark):
+    """All fingerprints within the radius are found, whatever bits differ, and no others."""
+    rng = random.Random(12)
+    signed = lambda x: (x ^ (1 << 63)) - (1 << 63)
+    items = [rng.getrandbits(64) for _ in range(6)]
+    windows = [(f"r{i}-{n}-{k}", signed(x ^ sum(1 << b for b in rng.sample(range(64), n)))) for i, x in enumerate(items) for n in (0, 1, 9, 23, 24, 25, 30) for k in range(3)]
+    contents = spark.createDataFrame([(f"c{i}", 5, 20, [1], signed(x)) for i, x in enumerate(items)], "content string, width long, length long, own array<long>, fp long")
+    frame = spark.createDataFrame([(r, 5, 20, 0, f) for r, f in windows] + [("other", 5, 21, 0, signed(items[0]))], "run string, width long, length long, at long, fp long")
+    got = {(r["run"], r["content"]) for r in decontamination.candidates(frame, contents).collect()}
+    near = lambda f, x: bin((f ^ signed(x)) % 2**64).count("1") <= decontamination.RADIUS
+    assert got == {(r, f"c{i}") for r, f in windows for i, x in enumerate(items) if near(f, x)}
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double"])
+def test_kinds_of_ids(spark, kind):
+    items = passages(4)
+    bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)] + [(None, items[0])], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    frame = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)] * 2, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = decontamination.op6_query(frame, bench)
+    assert dict(got.dtypes)["item_id"] == dict(got.dtypes)["doc_id"] == kind
+    assert sorted((float(r["doc_id"]), -1.0 if r["item_id"] is None else float(r["item_id"])) for r in got.collect()) == sorted(2 * [(0.0, -1.0), *((float(i), float(i)) for i in range(4))])
 
 
 def test_radius_keeps_similar_windows():
@@ -583,7 +640,7 @@ def test_radius_keeps_similar_windows():
         b = a.copy()
         b[: n // 9] = rng.integers(0, 2**63, n // 9, dtype=np.uint64)
         pa, pb = (decontamination.prints(x, np.array([0]), n)[0] for x in (a, b))
-        assert len(decontamination.within(np.array([pa]), pb)) == 1
+        assert np.bitwise_count(pa ^ pb) <= decontamination.RADIUS
 
 
 # ------------------------------------------------------------------ toxicity

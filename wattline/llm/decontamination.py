@@ -3,26 +3,34 @@
 A benchmark item is looked for in every window of its own number of words. A
 window and an item are similar if the weighted Jaccard similarity of their
 five-word shingles (weights: how often a shingle stands there) is at least 0.8.
-Such windows share a shingle with the item; so each text is first searched for
-the benchmark's shingles, and only windows around one, for items that hold it,
-get a SimHash. Windows and items whose fingerprints agree in a block up to its
-part of the radius (multi-index Hamming: eight blocks of eight bits; of two
-fingerprints within the radius at least one block is within an eighth of it) and
-are within the radius on all bits are candidates; those are verified exactly.
-
-Items are sent to the tasks in groups of at most ``ITEMS_PER_PASS``; texts are
-read once for each group.
+Windows get a SimHash, and items stand in a multi-index: a row for each of eight
+blocks of eight bits and each value within an eighth of the radius of the item's
+block. Of two fingerprints within the radius at least one block is within an
+eighth of it, so a join of windows and index by block and value finds all of them;
+those within the radius on all bits are candidates, which are verified exactly.
+
+Similar windows share eight ninths of their shingles with the item at least. So
+the texts are read once, against a bit table of the benchmark's shingles (with
+the lengths of the items that hold them), and only windows of an item's length
+that hold so many known ones are fingerprinted; runs of such windows that are equal
+in several documents are judged once. The bit table has at most ``TABLE_BITS``
+bits, whatever the number of items; where it is too small it lets more windows
+through, and nothing is missed. Items are never collected.
 
 Edge cases: words are runs of letters and digits, lower-cased; items of less
 than five words are one shingle and must be there as they are; items without
 words and null items match nothing; a text shorter than an item is one window;
-equal items are found each; a null text has no words; other columns are kept.
+equal items are found each; a null text has no words; repeated rows are found
+each; ids may have any type; other columns are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +38,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, packed
+from .common import by_batch, cut, identity, packed
 
 WIDTH, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
-RADIUS = 24
-ITEMS_PER_PASS = 20_000
+RADIUS, BLOCKS = 24, 8
 REMEMBERED = 1 << 18
-#: Starts of windows that are fingerprinted at once.
-PART = 1 << 14
+#: Windows in a run, at most.
+PART = 1 << 12
+#: Bits of the table of known shingles for each entry; and in all, at most.
+ENTRY_BITS, TABLE_BITS = 64, 1 << 29
 NOT_WORD = re.compile(r"[\W_]+")
 #: Odd multipliers of a shingle's words, and of the last mixing (fixed values of splitmix64).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: All values of a block that differ from zero in an eighth of the radius at most.
+NEAR = [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(64 // BLOCKS), n)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,133 +85,225 @@ def prints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(2 * votes > length, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def within(windows: np.ndarray, item: np.uint64, radius: int = RADIUS) -> np.ndarray:
-    """Which fingerprints are within the radius: first any block within an eighth of it, then all bits."""
-    apart = windows ^ item
-    blocks = np.bitwise_count(apart.astype(">u8").view(np.uint8).reshape(-1, 8))
-    found = np.flatnonzero((blocks <= radius // 8).any(1))
-    return found[np.bitwise_count(apart[found]) <= radius]
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
+def similarity(a: list[int], b: list[int]) -> float:
     """Weighted Jaccard similarity of two lists of shingles."""
-    x, y = Counter(a.tolist()), Counter(b.tolist())
+    x, y = Counter(a), Counter(b)
     both = sum((x & y).values())
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-class Benchmark:
-    """The items of one pass, and the search of a text for them."""
-
-    def __init__(self, items: list[tuple]):
-        self.items, self.prints, self.holders = [], [], defaultdict(set)
-        self.lengths: set[int] = set()
-        self.known: set[str] = set()
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            width = min(WIDTH, len(words))
-            own = shingles(np.array([word_hash(w) for w in words], np.uint64), width)
-            for s in own.tolist():
-                self.holders[width, s].add(len(self.items))
-            self.items.append((item_id, width, own))
-            self.prints.append(prints(own, np.array([0]), len(own))[0])
-            self.lengths.add(width)
-            self.known.update(words)
-        self.sorted = {w: np.array(sorted(s for v, s in self.holders if v == w), np.uint64) for w in self.lengths}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _hashes(self, raw: str) -> tuple[int, ...]:
-        """The hashes of a raw word's parts; 0 for a part that no item holds."""
-        if len(self.memo) >= REMEMBERED:
-            self.memo.clear()
-        parts = [raw] if raw.isalnum() else [p for p in NOT_WORD.split(raw) if p]
-        self.memo[raw] = out = tuple(word_hash(p) if p in self.known else 0 for p in parts)
-        return out
+class Hashes(dict):
+    """From a raw word to the hashes of its parts; forgets all when it has grown too large."""
 
-    def search(self, text: str | None) -> list[tuple]:
-        """(item, similarity, first word, number of words) of the best window of each item that is there."""
-        memo, miss = self.memo, self._hashes
-        hashes: list[int] = []
-        for raw in (text or "").lower().split():
-            got = memo.get(raw)
-            hashes += miss(raw) if got is None else got
-        seen = np.array(hashes, np.uint64)
-        found: dict[int, list[int]] = defaultdict(list)
-        for width in self.lengths:
-            n = len(seen) - width + 1
-            if n <= 0:
-                continue
-            known = np.concatenate([[0], np.cumsum(seen != 0)])
-            at = np.flatnonzero(known[width:] - known[:-width] == width)
-            if not len(at):
-                continue
-            runs = shingles(seen, width)[at]
-            place = np.searchsorted(self.sorted[width], runs)
-            place[place == len(self.sorted[width])] = 0
-            hit = self.sorted[width][place] == runs
-            for p, s in zip(at[hit].tolist(), runs[hit].tolist(), strict=True):
-                for i in self.holders[width, s]:
-                    found[i].append(p)
-        if not found:
-            return []
-        full = np.array([word_hash(w) for w in words_of(text)], np.uint64)
-        grams = {w: shingles(full, w) for w in {self.items[i][1] for i in found}}
-        out = []
-        for i, places in found.items():
-            item_id, width, own = self.items[i]
-            here = grams[width]
-            length = min(len(own), len(here))
-            # every start whose window covers one of the places
-            cover = np.zeros(len(here) + 2, np.int64)
-            np.add.at(cover, np.maximum(np.array(places) - length + 1, 0), 1)
-            np.add.at(cover, np.array(places) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(cover)[: len(here) - length + 1])
-            best = (0.0, 0)
-            for some in np.split(starts, np.flatnonzero(np.diff(starts // PART)) + 1):
-                lo, hi = some[0], some[-1] + length
-                for near in within(prints(here[lo:hi], some - lo, length), self.prints[i]):
-                    s = int(some[near])
-                    best = max(best, (similarity(here[s : s + length], own), -s))
-            if best[0] >= SIMILARITY:
-                out.append((item_id, best[0], -best[1], length + width - 1))
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = out = tuple(map(word_hash, [raw] if raw.isalnum() else filter(None, NOT_WORD.split(raw))))
         return out
 
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, (text or "").lower().split())), np.uint64)
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id``, ``_hash`` (XXH64 of the text), ``item_id``, ``similarity``, ``first_word``, ``n_words``."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
-    schema = f"_id {kind}, _hash long, item_id {item_kind}, similarity double, first_word long, n_words long"
-    items = benchmark.where("text is not null").select("item_id", "text")
-    passes = max(1, -(-items.count() // ITEMS_PER_PASS))
-    item_type, out = (pa.string() if item_kind == "string" else pa.int64()), None
-    for k in range(passes):
-        group = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
 
-        def search(group=group):
-            known = Benchmark([tuple(r) for r in group])
+class Table:
+    """A bounded table of bits: whether a number may have been put in."""
 
-            def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-                hits = [known.search(t) for t in frame["_text"].to_pylist()]
-                at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
-                found = [m for h in hits for m in h]
-                out = {"_id": frame["_id"].take(at), "_hash": frame["_hash"].take(at), "item_id": pa.array([m[0] for m in found], item_type)}
-                out["similarity"] = pa.array([m[1] for m in found], pa.float64())
-                return out | {c: pa.array([m[i] for m in found], pa.int64()) for i, c in ((2, "first_word"), (3, "n_words"))}
+    def __init__(self, words: np.ndarray):
+        self.words, self.shift = words, np.uint64(64 - (len(words) * 64 - 1).bit_length())
 
-            return do
+    @staticmethod
+    def size(entries: int) -> int:
+        """Words of 64 bits, a power of two."""
+        return max(1 << 10, min(TABLE_BITS // 64, 1 << (entries * ENTRY_BITS // 64).bit_length()))
 
-        found = by_batch(texts, search, schema)
-        out = found if out is None else out.union(found)
-    return out
+    def places(self, numbers: np.ndarray) -> Iterator[np.ndarray]:
+        yield numbers >> self.shift
+        yield (numbers * MIX_1) >> self.shift
+
+    def known(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.ones(len(numbers), bool)
+        for at in self.places(numbers):
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def digest(grams: np.ndarray, width: int, length: int) -> str:
+    """128 bits for shingles and the widths and lengths that they are compared by."""
+    return hashlib.blake2b(grams.tobytes() + b"%d,%d" % (width, length), digest_size=16).hexdigest()
+
+
+def with_length(grams: np.ndarray, length: int) -> np.ndarray:
+    """Other numbers for the same shingles in items of a length."""
+    return (grams ^ np.uint64(length * 2 + 1)) * MIX_2
+
+
+def needed(own: int, here: int) -> int:
+    """How many shingles an item and a window must share to be similar."""
+    return int(np.ceil(SIMILARITY * (own + here) / (1 + SIMILARITY) - 1e-9))
+
+
+def runs(hashes: np.ndarray, sizes: list[tuple[int, int]], table: Table | None) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """For (width, length) of the items: width, length, place of the first window and the shingles of each run of windows,
+    one after the other, that hold enough known shingles (all windows without a table)."""
+    grams: dict[int, tuple] = {}
+    for width, length in sizes:
+        if width not in grams:
+            all_of = shingles(hashes, width)
+            at = np.flatnonzero(table.known(all_of)) if table else np.arange(len(all_of))
+            grams[width] = all_of, at
+        here, at = grams[width]
+        n = min(length, len(here))
+        need = needed(length, n)
+        if not len(here) or len(at) < need:
+            continue
+        flags = np.zeros(len(here) + 1, np.int32)
+        flags[at + 1] = table.known(with_length(here[at], length)) if table else 1
+        seen = np.cumsum(flags)
+        starts = np.flatnonzero(seen[n:] - seen[:-n] >= need)
+        if len(starts):
+            for some in np.split(starts, np.flatnonzero((np.diff(starts) > 1) | (np.arange(1, len(starts)) % PART == 0)) + 1):
+                yield width, length, int(some[0]), here[some[0] : some[-1] + n]
+
+
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.int64), *(a.view(np.int64) for a in arrays)])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``item_id``, ``content`` (128 bits for its shingles), ``width``, ``length``, ``own`` and ``fp``."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def read(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        hashes = [Hashes().of(t) for t in frame["text"].to_pylist()]
+        at = [i for i, h in enumerate(hashes) if len(h)]
+        own = [shingles(hashes[i], min(WIDTH, len(hashes[i]))) for i in at]
+        return {
+            "item_id": frame["item_id"].take(pa.array(at, pa.int64())),
+            "content": pa.array([digest(o, min(WIDTH, len(hashes[i])), len(o)) for i, o in zip(at, own, strict=True)], pa.string()),
+            "width": pa.array([min(WIDTH, len(hashes[i])) for i in at], pa.int64()),
+            "length": pa.array([len(o) for o in own], pa.int64()),
+            "own": _longs(own),
+            "fp": pa.array([int(prints(o, np.array([0]), len(o)).view(np.int64)[0]) for o in own], pa.int64()),
+        }
+
+    texts = benchmark.where("text is not null").select("item_id", "text")
+    return cut(by_batch(texts, lambda: read, f"item_id {kind}, content string, width long, length long, own array<long>, fp long"))
+
+
+def _table(contents: DataFrame, entries: int) -> np.ndarray:
+    """The bits of all shingles of items, and of them with the item's length; made in parts, which have a bounded size together."""
+    size = Table.size(entries)
+
+    def bits(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        words = np.zeros(size, np.uint64)
+        table = Table(words)
+        for length, own in zip(frame["length"].to_pylist(), frame["own"].to_pylist(), strict=True):
+            grams = np.array(own, np.int64).view(np.uint64)
+            for numbers in (grams, with_length(grams, length)):
+                for at in table.places(numbers):
+                    np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(words)
+        return {"at": pa.array(used, pa.int64()), "bits": pa.array(words[used].view(np.int64), pa.int64())}
+
+    made = by_batch(contents.select("length", "own"), lambda: bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size, np.int64)
+    words[made["at"].to_numpy()] = made["bits"].to_numpy()
+    return words.view(np.uint64)
+
+
+def _places(docs: DataFrame, sizes: list[tuple[int, int]], words: np.ndarray | None, id_col: str, text_col: str) -> DataFrame:
+    """A row for each run of windows of a text that may be similar to an item."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((sizes, words))
+
+    def search():
+        sizes, words = shared.value
+        table, hashes = None if words is None else Table(words), Hashes()
+
+        def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+            found = [(i, *run) for i, t in enumerate(frame["_text"].to_pylist()) for run in runs(hashes.of(t), sizes, table)]
+            at = pa.array([f[0] for f in found], pa.int64())
+            out = {c: frame[c].take(at) for c in ("_id", "_hash", "_row")}
+            out |= {c: pa.array([f[k] for f in found], pa.int64()) for k, c in ((1, "width"), (2, "length"), (3, "first"))}
+            return out | {"run": pa.array([digest(f[4], f[1], f[2]) for f in found], pa.string()), "grams": _longs([f[4] for f in found])}
+
+        return do
+
+    texts = docs.select(F.col(id_col).alias("_id"), identity(text_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("_text"))
+    return cut(by_batch(texts, search, f"_id {kind}, _hash string, _row long, width long, length long, first long, run string, grams array<long>"))
+
+
+def _windows(different: DataFrame) -> DataFrame:
+    """``run``, ``width``, ``length``, ``at`` and ``fp`` of each window of the runs."""
+
+    def fingerprint(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        out: list[tuple] = []
+        for run, width, length, grams in zip(*(frame[c].to_pylist() for c in ("run", "width", "length", "grams")), strict=True):
+            here = np.array(grams, np.int64).view(np.uint64)
+            n = min(length, len(here))
+            starts = np.arange(len(here) - n + 1)
+            out += [(run, width, length, s, p) for s, p in zip(starts.tolist(), prints(here, starts, n).view(np.int64).tolist(), strict=True)]
+        return {c: pa.array([o[k] for o in out], pa.string() if c == "run" else pa.int64()) for k, c in enumerate(("run", "width", "length", "at", "fp"))}
+
+    return by_batch(different, lambda: fingerprint, "run string, width long, length long, at long, fp long")
+
+
+def candidates(windows: DataFrame, contents: DataFrame) -> DataFrame:
+    """``run``, ``content``, ``at`` for all windows and contents of one width and length with fingerprints within the radius."""
+    size = 64 // BLOCKS
+    block = lambda k: F.expr(f"shiftrightunsigned(fp, {k * size})").bitwiseAND(F.lit((1 << size) - 1))
+    blocks = F.array(*[F.struct(F.lit(k).alias("block"), block(k).alias("value")) for k in range(BLOCKS)])
+    index = contents.select("content", "width", "length", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b"))
+    near = F.explode(F.array(*[F.lit(v).cast("long") for v in NEAR]))
+    index = index.select("content", "width", "length", "item_fp", F.col("b.block").alias("block"), "b.value", near.alias("change"))
+    index = index.select("content", "width", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
+    asked = windows.select("run", "width", "length", "at", "fp", F.explode(blocks).alias("b")).select("run", "width", "length", "at", "fp", "b.block", "b.value")
+    met = asked.join(index, ["width", "length", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    return met.select("run", "content", "at").distinct()
+
+
+def _verified(found: DataFrame, different: DataFrame, contents: DataFrame) -> DataFrame:
+    """``run``, ``content``, ``similarity``, ``at`` of the best window of each run for each content, if it is similar."""
+    pairs = found.groupBy("run", "content").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    pairs = pairs.join(different.select("run", "grams"), "run").join(contents.select("content", "own"), "content")
+
+    def verify(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        out = []
+        for run, content, ats, grams, own in zip(*(frame[c].to_pylist() for c in ("run", "content", "ats", "grams", "own")), strict=True):
+            n = min(len(own), len(grams))
+            best = max((similarity(grams[a : a + n], own), -a) for a in ats)
+            if best[0] >= SIMILARITY:
+                out.append((run, content, best[0], -best[1]))
+        kinds = (("run", pa.string()), ("content", pa.string()), ("similarity", pa.float64()), ("at", pa.int64()))
+        return {c: pa.array([o[k] for o in out], t) for k, (c, t) in enumerate(kinds)}
+
+    return by_batch(pairs, lambda: verify, "run string, content string, similarity double, at long")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", table: bool = True) -> DataFrame:
+    """``_id``, ``_hash`` (MD5 of the text), ``item_id``, ``similarity``, ``first_word``, ``n_words``. Without ``table`` all
+    windows are fingerprinted, which is slow."""
+    items = _items(benchmark)
+    contents = items.drop("item_id").dropDuplicates(["content"])
+    # one row for each number of words that items have
+    sizes = sorted((r["width"], r["length"]) for r in items.select("width", "length").distinct().collect())
+    words = _table(contents, 2 * int(items.agg(F.sum("length")).first()[0] or 0)) if table and sizes else None
+    places = _places(docs, sizes, words, id_col, text_col)
+    different = places.select("run", "width", "length", "grams").dropDuplicates(["run"])
+    best = _verified(candidates(_windows(different), contents), different, contents)
+    size = F.least("length", F.size("grams")) + F.col("width") - 1
+    found = places.select("_id", "_hash", "_row", "first", size.alias("n_words"), "run").join(best, "run")
+    found = found.select("_row", "content", F.struct("similarity", (-F.col("first") - F.col("at")).alias("back"), "n_words", "_id", "_hash").alias("m"))
+    found = found.groupBy("_row", "content").agg(F.max_by("m", F.struct("m.similarity", "m.back")).alias("m"))
+    named = found.join(items.select("content", "item_id"), "content")
+    return named.select("m._id", "m._hash", "item_id", "m.similarity", (-F.col("m.back")).alias("first_word"), "m.n_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
     bad = matches(docs, benchmark, text_col=text_col, **options).select("_hash").distinct()
-    return packed(docs, _hash=F.xxhash64(text_col)).join(bad, "_hash", "left_anti").select("_doc.*")
+    return packed(docs, _hash=identity(text_col)).join(bad, "_hash", "left_anti").select("_doc.*")
 
 
 def op6_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
