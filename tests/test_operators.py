@@ -168,7 +168,7 @@ EIA = 'Entity ID, Plant ID ,Plant Name,Plant State,County,Generator ID,Nameplate
 def test_read_and_resolve(spark, tmp_path):
     path = land(tmp_path / "eia.csv", "Inventory of planned generators", ",,,", EIA, '1,10,"Big, Sunny",TX,Travis,G1,300,Solar,SUN,6,2027,(P) Planned,30.1,-97.2', ",,,,,,,,,,,,,", "1,11,Small,TX,,,249.9,Solar,SUN,,2027,(P) Planned,,", "1,12,Odd,TX,,G2,\"1,200.0\",Offshore Wind Turbine,WND,,,(ZZ) New,,", "1,13,None,TX,,G2,,x,XX,,,no code,,", "1,14,Zero,TX,,G3,0,Solar,SUN,,,(P) x,,")
     rows = RD.resolve_columns(RD.read_sheet_export(spark, path, 2), P.HEADERS["eia"])
-    assert rows.count() == 5 and rows.columns == list(P.HEADERS["eia"])
+    assert rows.count() == 5 and rows.columns == [*P.HEADERS["eia"], RD.ORDINAL]
     with pytest.raises(ValueError, match="status.*lat"):
         RD.resolve_columns(rows.select(F.col("state").alias("State")), {"status": ["Status"], "state": ["State"], "lat": ["Latitude"]})
     out = I.normalized(spark, "eia", path)
@@ -265,6 +265,30 @@ def test_store_and_stream(spark, tmp_path):
     assert R.get_project(dto_rows, "a").first()["sources"][0]["label"] == "l" and R.get_project(dto_rows, "nope").count() == 0
 
 
+def test_one_writer_a_version(spark, tmp_path):
+    """Of two runs that start from one version the second fails, and what the first wrote is read."""
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    assert store.apply(record(spark, {"slug": "a"}), day(1)) == 1
+    store._current = lambda: (0, None)
+    with pytest.raises(Exception, match="already exists|AlreadyExists"):
+        store.apply(record(spark, {"slug": "b"}), day(2))
+    again = SnapshotStore(spark, str(tmp_path / "state"))
+    assert again.version() == 1 and [r["slug"] for r in again.read()["projects"].collect()] == ["a"]
+
+
+def test_last_landed_wins(spark, tmp_path):
+    """Two rows of one key in two files: that of the later file by name holds, and the header comes from the first."""
+    folder = tmp_path / "edition"
+    folder.mkdir()
+    head = "FERC_docket,Project_name,Project_licensee,Waterway,Project_type,Latitude,Longitude,State,NOI_date,Application_date,Proc_type,Status,Capacity_new_MW"
+    line = "P-1,Dam,,,,{},,WA,,2020-01-01,NA,Pending Relicense,300"
+    (folder / "a.csv").write_text("\n".join([head, line.format(1), line.format(2)]) + "\n")
+    (folder / "b.csv").write_text("\n".join([line.format(k) for k in (5, 4, 3)]) + "\n")
+    store = SnapshotStore(spark, str(tmp_path / "state"))
+    I.ingest(store, "ornlHydro", str(folder), day(1))
+    assert [r["lat"] for r in store.read()["projects"].collect()] == [3.0]
+
+
 def test_plans(spark, tmp_path):
     """Filters reach the scan, unread columns do not, and a page is a top-k."""
     dto(spark, {}, {}).write.parquet(str(tmp_path / "p"))

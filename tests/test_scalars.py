@@ -92,3 +92,15 @@ def test_centroid_and_radius(spark):
     rows = spark.createDataFrame([(v, u) for v, u in [(0.0, "MW"), (76.0, "MW"), (77.0, "MW"), (900.0, "MW"), (901.0, "MW"), (None, "MW"), (5000.0, "MMcf/d")]], "v double, u string")
     got = [r[0] for r in rows.select(S.marker_radius(F.col("v"), F.col("u"))).collect()]
     assert got[0] == got[1] == 3.5 and 3.5 < got[2] < 3.52 and got[3] == got[4] == 12.0 and got[5] == got[6] == 4.0
+
+
+def test_literals_guard_patterns(spark):
+    """A pattern's literals stand in all that it is found in, so that guarded rules give what plain ones do."""
+    from wattline.functions.classify import first_match, literals
+
+    assert literals(r"\bLNG\b|liquefi(ed|action)") == ["lng", "liquefi"] and literals("colou?r|ab*") is None and literals("a|bc") is None and literals(r"\d+x") is None
+    texts = ["LNG here", "a liquefied gas", "Liquefaction", "Amsterdam", "Solar and storage", "PV", "pvc", "SMR", "offshore WIND", "upwind", "345 kV line", "nothing", "\u212aV", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rules in (P.DASHBOARD_TITLE_FUEL, P.LBNL_RESOURCE_FUEL, P.SOURCE_LABEL_KEY):
+        rows = frame.select(first_match(F.col("t"), rules, "other").alias("a"), first_match(F.col("t"), rules, "other", F.lower("t")).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,30 +24,47 @@ def _cases(cases: Iterable[tuple[Column, object]], default: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
+def _contains(low: Column, needles: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(n) for n in needles])
+
+
 def _column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def first_match(col: Column, rules: Sequence[tuple[str, str]], default: Column | str | None = None) -> Column:
-    """Value of the first pattern that is found; a null text matches none."""
-    return _cases(((col.rlike(java_pattern(p)), v) for p, v in rules), _column(default))
+def literals(pattern: str) -> list[str] | None:
+    """Lower-cased texts of which one stands in all that the pattern can be found in; None where that cannot be told."""
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(pattern + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+    found = [re.match(r"(?:\\b)?([A-Za-z0-9 -]*)(.?)", p) for p in parts]
+    # what a sign of repetition follows need not be there
+    texts = [m[1][:-1] if m[2] in ("?", "*", "{") and m[2] else m[1] for m in found]
+    return [t.lower() for t in texts] if all(len(t) > 1 for t in texts) else None
+
+
+def first_match(col: Column, rules: Sequence[tuple[str, str]], default: Column | str | None = None, lower: Column | None = None) -> Column:
+    """Value of the first pattern that is found; a null text matches none. ``lower``: the lower-cased text, for long ones;
+    a pattern is only tried where one of its literals stands."""
+
+    def holds(pattern: str) -> Column:
+        found, needles = col.rlike(java_pattern(pattern)), literals(pattern)
+        return found if lower is None or not needles else _contains(lower, needles) & found
+
+    return _cases(((holds(p), v) for p, v in rules), _column(default))
 
 
 def exact_map(col: Column, mapping: Mapping[str, str], default: Column | str | None = None) -> Column:
     return _cases(((col == k, v) for k, v in mapping.items()), _column(default))
 
 
-def contains_rules(col: Column, rules: Sequence[tuple[Sequence[str], str]], default: Column | str | None = None) -> Column:
+def contains_rules(col: Column, rules: Sequence[tuple[Sequence[str], str]], default: Column | str | None = None, lower: Column | None = None) -> Column:
     """Value of the first rule of which the lower-cased text contains a needle."""
-    low = F.lower(col)
-
-    def holds(needles: Sequence[str]) -> Column:
-        out = low.contains(needles[0])
-        for n in needles[1:]:
-            out = out | low.contains(n)
-        return out
-
-    return _cases(((holds(n), v) for n, v in rules), _column(default))
+    low = F.lower(col) if lower is None else lower
+    return _cases(((_contains(low, n), v) for n, v in rules), _column(default))
 
 
 def code_map_with_override(code: Column, text: Column, overrides: Sequence[tuple[str, str]], mapping: Mapping[str, str], default: str) -> Column:

@@ -1,40 +1,33 @@
-"""Joins to dimensions and between parents and children."""
+"""Joins to dimensions and between parents and children. No join has a hint: whether a dimension is sent to every task is
+decided by its size in bytes, before or while the plan runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a caller's dimension is sent to every task; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def sized_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint, if it has no more than ``rows`` rows (counted, at most one more than that)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def apply_overrides(df: DataFrame, overrides: DataFrame, source: str = "source", source_id: str = "source_id", order: str = "line") -> DataFrame:
     """Adds match_key: the first override of (source, source_id), else ``source:source_id``."""
     first = Window.partitionBy(source, source_id).orderBy(order)
     named = overrides.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(source, source_id, F.col("match_key").alias("_key"))
-    out = df.join(sized_broadcast(named), [source, source_id], "left")
+    out = df.join(named, [source, source_id], "left")
     return out.withColumn("match_key", F.coalesce("_key", F.concat_ws(":", source, source_id))).drop("_key")
 
 
 def geocode_by_code(df: DataFrame, centroids: DataFrame, code: str, width: int = 5) -> DataFrame:
-    """Adds lat and lon by a code that is filled up with zeros; longer codes stay as they are."""
+    """Adds lat and lon by a code that is filled up with zeros; longer codes stay as they are. Of several places for one code the smallest holds."""
     text = F.trim(F.col(code).cast("string"))
     padded = F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
-    where = centroids.select(F.col("fips5").alias("_fips"), "lat", "lon").dropDuplicates(["_fips"])
-    return df.withColumn("_code", padded).join(sized_broadcast(where), F.col("_code") == F.col("_fips"), "left").drop("_code", "_fips")
+    where = centroids.groupBy(F.col("fips5").alias("_fips")).agg(F.min(F.struct("lat", "lon")).alias("_at"))
+    joined = df.withColumn("_code", padded).join(where, F.col("_code") == F.col("_fips"), "left")
+    return joined.withColumns({"lat": F.col("_at.lat"), "lon": F.col("_at.lon")}).drop("_code", "_fips", "_at")
 
 
 def label_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, label: str, out: str, fallback: Column | None = None) -> DataFrame:
-    """Adds the dimension's label for a key, else the fallback (the key itself)."""
-    names = dim.select(F.col(value).alias("_value"), F.col(label).alias("_label")).dropDuplicates(["_value"])
+    """Adds the dimension's label for a key (of several the smallest), else the fallback (the key itself)."""
+    names = dim.groupBy(F.col(value).alias("_value")).agg(F.min(label).alias("_label"))
     fallback = F.col(key).cast("string") if fallback is None else fallback
-    joined = df.join(sized_broadcast(names), F.col(key) == F.col("_value"), "left")
+    joined = df.join(names, F.col(key) == F.col("_value"), "left")
     return joined.withColumn(out, F.coalesce("_label", fallback)).drop("_value", "_label")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .functions import presets as P
+from .sources import dims as D
 
 _STATES = """
 listed AS (
@@ -85,6 +86,16 @@ second AS (SELECT * FROM shifted WHERE {_SECOND})
 """
 _WORDS = "['Announced ', 'on hold', 'Approved', 'construction', 'Part Completed', 'cancelled', 'unheard of'][1 + o_orderkey % 7]"
 
+_PIPELINES = f"""
+{_BASE}, landed AS (
+  SELECT *, ['Announced', 'Approved ', 'on hold', 'Construction', NULL, 'Completed', 'unheard of'][1 + id % 7] AS landed_status, CASE WHEN id % 9 <> 0 THEN 'Line ' || id ELSE 'Unnamed pipeline project' END AS title,
+         ['Acme, Inc.', '', '', 'Bolt'][1 + id % 4] AS operator, CASE WHEN id % 7 <> 0 THEN floor(capacity_value * 10) END AS c FROM dto
+), kept AS (
+  SELECT *, CASE WHEN id % 4 = 0 THEN 'CP-' || id ELSE operator || '-' || title END AS source_id, title || CASE WHEN operator <> '' THEN ' (' || operator || ')' ELSE '' END AS full_name,
+         ['planned_pre_filing', 'approved_awaiting_construction', 'agency_permitting', 'under_construction', '', 'completed', 'agency_permitting'][1 + id % 7] AS stage
+  FROM landed WHERE landed_status IS NOT NULL
+)"""
+
 ORACLES: dict[str, str] = {
     "filtered_stats": f"""{_WITH_STATE} {_STATS} FROM dto LEFT JOIN listed ON l_orderkey = id
         WHERE NOT is_aggregate AND days / 365.25 >= 3 AND capacity_value >= 250 AND current_stage IN ('planned_pre_filing', 'regulatory_approvals_pending')
@@ -191,7 +202,7 @@ ORACLES: dict[str, str] = {
         FROM dto LEFT JOIN causes c ON c.l_orderkey = id LEFT JOIN links l ON l.l_orderkey = id LEFT JOIN stones s ON s.l_orderkey = id""",
     "get_project": f"{_BASE} SELECT id, slug, name, current_stage FROM dto ORDER BY slug LIMIT 1",
     "ingest_sheet": f"""{_BASE} SELECT 'P-' || id AS source_id, 'Dam "' || name || '", phase 1 (FERC No. P-' || id || ')' AS name, round(capacity_value, 5) AS capacity_value,
-        coalesce(CASE WHEN id % 2 = 0 THEN strftime(filed, '%Y-%m-%d') END, CASE WHEN id % 3 = 0 THEN '2019-02-15' END) AS filed,
+        coalesce(CASE WHEN id % 2 = 0 THEN strftime(filed, '%Y-%m-%d') END, CASE WHEN id % 3 = 0 THEN '2019-02-15' END) AS filed, 'agency_permitting' AS current_stage,
         'FERC relicensing: Pending Relicense' || CASE WHEN id % 5 = 0 THEN ' (ILP process)' ELSE '' END AS current_status, (id % 2 <> 0 OR filed IS NULL) AND id % 3 = 0 AS noted
         FROM dto WHERE id % 4 <> 0 AND NOT coalesce(capacity_value < 250, false)""",
     "ingest_dashboard": f"""{_BASE}, landed AS (SELECT id, ['LNG terminal', 'Solar and storage', 'Upwind ranch', 'Amsterdam works', 'plain'][1 + id % 5] AS title,
@@ -212,4 +223,68 @@ ORACLES: dict[str, str] = {
                round(CASE WHEN c.slug IS NULL THEN b.capacity_value ELSE c.capacity_value END, 6) AS capacity_value,
                coalesce(b.day, '2001-01-03') AS created_at, CASE WHEN c.slug IS NULL THEN b.day ELSE '2001-01-03' END AS updated_at
         FROM base b FULL JOIN change c ON b.slug = c.slug WHERE c.slug IS NULL OR c.current_stage <> 'under_construction'""",
+    "format_usd_capacity": f"""{_BASE}, sized AS (
+          SELECT *, CASE WHEN id % 2 = 0 THEN floor(capacity_value) / CASE WHEN id % 4 = 0 THEN 8 ELSE 1 END ELSE floor(capacity_value) * 10 + 1 END AS c FROM dto),
+        priced AS (SELECT *, CASE WHEN capacity_unit = 'MW' THEN c * 1000 * cost END * [1.0000123, 1.0000123e-3, 1.0000123e-6, 1.0000123e3][1 + id % 4]::DOUBLE AS x FROM sized)
+        SELECT id, CASE WHEN x >= 1e9 THEN printf('$%.2fB', x / 1e9) WHEN x >= 1e6 THEN printf('$%.1fM', x / 1e6) WHEN x >= 1e3 THEN printf('$%.0fK', x / 1e3) WHEN x IS NOT NULL THEN printf('$%.0f', x) END AS usd,
+          CASE WHEN c IS NULL THEN 'Not disclosed' ELSE trim(CASE WHEN c >= 100 THEN format('{{:,}}', floor(c + 0.5)::BIGINT) WHEN c = floor(c) THEN c::BIGINT::VARCHAR ELSE c::VARCHAR END
+            || ' ' || CASE WHEN id % 13 <> 0 THEN capacity_unit ELSE '' END) END AS capacity,
+          CASE WHEN days IS NULL THEN '—' ELSE printf('%.1f yrs', days / 365.25) END AS waiting,
+          name || CASE WHEN days IS NULL THEN ' is waiting for approval.' ELSE printf(' has been waiting %.1f years for approval.', days / 365.25) END AS share FROM priced""",
+    "detail_view": f"""{_WITH_STATE}, shown AS (
+          SELECT dto.*, CASE WHEN id % 3 = 0 THEN 'County ' || id % 10 END AS place, listed.state AS states, floor(dto.capacity_value) AS c, CASE WHEN id % 19 = 0 THEN 'on_the_way' ELSE dto.current_stage END AS stage
+          FROM dto LEFT JOIN listed ON l_orderkey = id)
+        SELECT slug, concat_ws(', ', place, states) AS location, {_map_cases("stage", D.STAGES, "on the way")} AS stage_label,
+          CASE WHEN c IS NULL THEN 'Not disclosed' WHEN c >= 100 THEN format('{{:,}}', c::BIGINT) || ' ' || capacity_unit ELSE c::BIGINT || ' ' || capacity_unit END AS capacity,
+          CASE WHEN days IS NULL THEN '—' ELSE printf('%.1f yrs', days / 365.25) END AS waiting, CASE WHEN applicable THEN '$' || format('{{:,}}', cost::BIGINT) || '/kW' END AS cost,
+          CASE WHEN id % 4 <> 0 AND id % 6 <> 0 THEN printf('%.4f, %.4f', 30 + (id % 1000) / 1000 + 0.00001, -90 - (id % 700) / 1000 - 0.00001) END AS coordinates FROM shown""",
+    "ingest_eia": f"""{_BASE}, landed AS (
+          SELECT *, round(capacity_value, 5) AS c, id || '-' || CASE WHEN id % 6 <> 0 THEN 'G1' ELSE '' END AS source_id,
+            'Plant "A", ' || name || ' (Unit ' || CASE WHEN id % 6 <> 0 THEN 'G1' ELSE '?' END || ')' AS full_name,
+            CASE id % 4 WHEN 2 THEN 'wind_offshore' WHEN 3 THEN 'storage' ELSE fuel_type END AS fuel FROM dto),
+        kept AS (SELECT *, CASE WHEN id % 10 = 0 THEN 'site:' || id ELSE 'eia:' || source_id END AS match_key FROM landed WHERE NOT coalesce(c < 250, false) AND id % 8 <> 0)
+        SELECT source_id, match_key, {_slug("full_name", "match_key")} AS slug, full_name AS name, CASE WHEN fuel = 'storage' THEN 'storage' ELSE 'generation' END AS project_type, fuel AS fuel_type,
+          CASE WHEN id % 2 = 0 THEN 31.5::DOUBLE END AS lat, CASE WHEN id % 2 = 0 THEN -99.25::DOUBLE END AS lon, 'TX' AS state, c AS capacity_value, current_stage,
+          CASE WHEN id % 2 = 0 THEN '6/2030.' ELSE '2030.' END AS planned FROM kept""",
+    "ingest_lbnl": f"""{_BASE}, landed AS (
+          SELECT *, ['Active', 'active', 'withdrawn', 'ACTIVE'][1 + id % 4] AS q_status, 'Grid ' || id % 4 AS entity, 'Q' || id AS q_id,
+            ['Solar+Battery', 'Offshore Wind', 'Upwind', 'Gas', 'Coal', ''][1 + id % 6] AS kind, ['Facility Study', 'IA Executed', '', 'Construction', 'System Impact Study'][1 + id % 5] AS phase,
+            ['West', '', 'Northeast'][1 + id % 3] AS region, CASE WHEN id % 5 <> 0 THEN id % 30 END AS n FROM dto),
+        kept AS (
+          SELECT *, entity || '-' || q_id AS source_id, entity || ' Interconnection Request ' || q_id || CASE WHEN kind <> '' THEN ' (' || kind || ')' ELSE '' END AS full_name,
+            ['solar', 'wind_offshore', 'other', 'gas', 'other', 'other'][1 + id % 6] AS fuel
+          FROM landed WHERE q_status <> 'withdrawn' AND phase NOT IN ('IA Executed', 'Construction') AND NOT coalesce(round(capacity_value, 5) < 250, false))
+        SELECT source_id, 'lbnl:' || source_id AS match_key, {_slug("full_name", "('lbnl:' || source_id)")} AS slug, full_name AS name, 'generation' AS project_type, fuel AS fuel_type,
+          n_nationkey + 0.5::DOUBLE AS lat, -n_nationkey - 0.25::DOUBLE AS lon, CASE WHEN id % 2 = 0 THEN 'Kings' END AS county, round(capacity_value, 5) AS capacity_value,
+          'Interconnection queue status: active' || CASE WHEN phase <> '' THEN ' (' || phase || ')' ELSE '' END || CASE WHEN region <> '' THEN ', ' || region || ' region' ELSE '' END AS current_status,
+          'interconnection_study' AS current_stage, 'interconnection_queue_backlog' AS causes, CASE WHEN id % 3 <> 2 THEN strftime(filed, '%Y-%m-%d') END AS filed, n_nationkey IS NULL AS unplaced
+        FROM kept LEFT JOIN nation ON n_nationkey = n AND n_nationkey % 4 <> 0""",
+    "ingest_pipelines": f"""{_PIPELINES}
+        SELECT source_id, 'eiaPipelines:' || source_id AS match_key, {_slug("full_name", "('eiaPipelines:' || source_id)")} AS slug, full_name AS name, 'pipeline' AS project_type, 'pipeline' AS fuel_type,
+          ['NY,CT,MA,RI', 'TX, MX', 'TX'][1 + id % 3] AS state, c AS capacity_value, 'MMcf/d' AS capacity_unit,
+          'EIA pipeline tracker: ' || trim(landed_status) || CASE WHEN id % 3 = 0 THEN ' (Interstate pipeline)' ELSE '' END AS current_status, stage AS current_stage,
+          'No filing date is published, only a year in service (' || CASE WHEN id % 5 <> 0 THEN '2031' ELSE 'unknown' END || ').' || CASE WHEN id % 3 = 0 THEN ' Project length: ' || id % 100 || ' miles.' ELSE '' END
+            || CASE WHEN id % 2 = 0 THEN ' Estimated cost: $' || id % 1000 || ' million.' ELSE '' END AS note FROM kept""",
+    "ingest_counts": f"""{_PIPELINES}, slugs AS (SELECT slug, arg_max(stage, id) AS stage FROM (SELECT {_slug("full_name", "('eiaPipelines:' || source_id)")} AS slug, stage, id FROM kept) GROUP BY slug),
+        resolved AS (SELECT *, stage IN ('approved_awaiting_construction', 'under_construction', 'cancelled', 'completed') AS gone FROM kept)
+        SELECT count(*) FILTER (NOT gone) AS upserted, count(*) FILTER (gone) AS removed_resolved, 0::BIGINT AS skipped_below_floor, (SELECT count(*) FROM dto) - count(*) AS skipped_not_waiting,
+          0::BIGINT AS skipped_not_active, 0::BIGINT AS skipped_already_cleared, 0::BIGINT AS errors, (SELECT count(*) FILTER (stage NOT IN ('approved_awaiting_construction', 'under_construction', 'cancelled', 'completed')) FROM slugs) AS stored,
+          (SELECT count(*) FILTER (stage NOT IN ('approved_awaiting_construction', 'under_construction', 'cancelled', 'completed')) FROM slugs) AS updated FROM resolved""",
+    "overrides_file": """SELECT s_suppkey::VARCHAR AS source_id, CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 3 <> 2 AND s_suppkey % 20 <> 0 THEN 'merged-' || s_suppkey ELSE 'supplier:' || s_suppkey END AS match_key FROM supplier""",
+    "exclude_containing": "SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT contains(lower(o_orderpriority), 'urgent') AND NOT contains(lower(o_orderpriority), 'low')",
+    "source_in": f"""{_BASE}, keyed AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'other' ELSE ['eia', 'lbnl', 'other', 'ornlHydro', 'permittingDashboard'][1 + id % 5] END AS source_key FROM dto)
+        SELECT id, source_key FROM keyed WHERE source_key IN ('lbnl', 'permittingDashboard', 'other')""",
+    "default_order": f"{_BASE} SELECT id, name FROM dto ORDER BY created_at, id LIMIT 40 OFFSET 10",
+    "sort_orders": f"""{_BASE}, rows AS (
+          SELECT *, CASE WHEN id % 4 <> 0 THEN 'S' || id % 50 ELSE '' END AS state, {_map_cases("fuel_type", D.FUEL_TYPES, "")} AS fuel_label, {_map_cases("current_stage", D.STAGES, "")} AS stage_label FROM dto)
+        """ + " UNION ALL ".join(
+            f"(SELECT '{key}' AS key, {down == 'DESC'} AS descending, id FROM rows ORDER BY {col} {down}, created_at, id LIMIT 12 OFFSET 5)"
+            for key, col in (("name", "name"), ("fuel", "fuel_label"), ("state", "state"), ("daysWaiting", "coalesce(days, -1)"), ("capacity", "coalesce(capacity_value, -1)"), ("stage", "stage_label")) for down in ("ASC", "DESC")
+        ),
+    "json_export": f"""{_BASE}, shown AS (SELECT *, strftime(filed, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM dto)
+        SELECT id, '{{"slug":"' || slug || '","name":"' || name || '","application_filed_date":' || coalesce('"' || iso || '"', 'null') || ',"county":null,"is_aggregate_example":' || is_aggregate::VARCHAR
+          || ',"cause_slugs":["interconnection_queue_backlog"],"days_waiting":' || coalesce(days::BIGINT::VARCHAR, 'null') || ',"milestones":['
+          || CASE WHEN id % 3 = 0 THEN '{{"date":' || coalesce('"' || iso || '"', 'null') || ',"stage":"' || current_stage || '","description":"said \\"so\\""}}' ELSE '' END || ']}}' AS json,
+          round(capacity_value, 6) AS capacity_value, applicable, CASE WHEN applicable THEN cost::DOUBLE END AS cost_per_kw FROM shown""",
 }
+ORACLES["csv_export"] = ORACLES["csv_projection"].replace("SELECT name, project_type", "SELECT 'the \"' || name || '\", so called' AS name, project_type")

@@ -26,17 +26,24 @@ class Ingested:
     extra: dict = field(default_factory=dict)
 
 
-def dispositions(df: DataFrame, source: str) -> DataFrame:
-    """Adds why a row is skipped; the order of reasons differs by source."""
-    low = below_floor(to_number(F.col("capacity"))) if "capacity" in df.columns else F.lit(False)
-    rules: list[tuple[str, Column]] = {
-        "eia": [("below_floor", low), ("not_waiting", status_code(F.coalesce("status", F.lit(""))) == "")],
-        "ornlHydro": [("below_floor", low), ("not_waiting", ~status_in(F.col("status"), P.ORNL_WAITING))],
-        "lbnl": [("not_active", ~status_is(F.col("status"), "active")), ("already_cleared", containing(F.col("ia_phase"), P.LBNL_CLEARED)), ("below_floor", low)],
-        "eiaPipelines": [("not_waiting", clean_cell(F.col("status")).isNull())],
+def skip_reason(source: str, capacity: Column, status: Column, ia_phase: Column | None = None) -> Column:
+    """Why a row is skipped, or 'keep'; the order of reasons differs by source."""
+    low = ("below_floor", below_floor(to_number(capacity)))
+    rules: dict[str, list[tuple[str, Column]]] = {
+        "eia": [low, ("not_waiting", status_code(F.coalesce(status, F.lit(""))) == "")],
+        "ornlHydro": [low, ("not_waiting", ~status_in(status, P.ORNL_WAITING))],
+        "eiaPipelines": [("not_waiting", clean_cell(status).isNull())],
         "permittingDashboard": [],
-    }[source] if "status" in df.columns or source == "permittingDashboard" else []
-    return df.withColumn("disposition", disposition(rules))
+    }
+    if source == "lbnl":
+        return disposition([("not_active", ~status_is(status, "active")), ("already_cleared", containing(ia_phase, P.LBNL_CLEARED)), low])
+    return disposition(rules[source])
+
+
+def dispositions(df: DataFrame, source: str) -> DataFrame:
+    """Adds ``disposition``, the reason why a row is skipped."""
+    column = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    return df.withColumn("disposition", skip_reason(source, column("capacity"), column("status"), column("ia_phase")))
 
 
 def ingest_summary(judged: DataFrame, records: DataFrame, errors: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def normalized(spark: SparkSession, source: str, path: str, overrides: str | Non
     """The records of a landed edition."""
     named = read_overrides(spark, overrides) if overrides else None
     if source == "permittingDashboard":
-        rows = dedupe_first(read_dashboard_json(spark, path), ["project_id"], ["project_title", F.to_json(F.struct("*"))])
+        rows = dedupe_first(read_dashboard_json(spark, path), ["project_id"], ["project_title", F.to_json(F.struct("*").dropFields("_ordinal"))])
     else:
         sheet = read_sheet_export(spark, path, P.HEADER_ROW[source])
         rows = resolve_columns(sheet, P.HEADERS[source], collapse_ws=source == "eiaPipelines")
@@ -70,7 +77,8 @@ def normalized(spark: SparkSession, source: str, path: str, overrides: str | Non
 
 
 def ingest(store: SnapshotStore, source: str, path: str, run_ts: Column, batch: int | None = None, **options) -> Ingested:
-    """Normalises an edition and applies it to the store. One bad row does not stop the others."""
+    """Normalises an edition and applies it to the store; of records with one key the one that landed last wins. One bad
+    row does not stop the others."""
     out = normalized(store.spark, source, path, **options)
-    store.apply(out.records.withColumn("ordinal", F.xxhash64("match_key")), run_ts, batch)
+    store.apply(out.records, run_ts, batch)
     return out

@@ -39,12 +39,14 @@ def _record(df: DataFrame, source: str, source_id: Column, overrides: DataFrame
     values.setdefault("is_aggregate_example", F.lit(False))
     values["sources"] = F.array(F.struct(F.lit(label).alias("label"), (F.lit(link) if url is None else url).alias("url")))
     values.setdefault("cause_slugs", F.array())
-    rows = df.select(F.lit(source).alias("source"), source_id.alias("source_id"), *[v.alias(k) for k, v in values.items()])
+    place = [F.col("_ordinal").alias("ordinal")] if "_ordinal" in df.columns else []
+    rows = df.select(F.lit(source).alias("source"), source_id.alias("source_id"), *[v.alias(k) for k, v in values.items()], *place)
     rows = rows.withColumn("external_ids", F.create_map("source", "source_id"))
     rows = rows.withColumn("match_key", F.concat_ws(":", "source", "source_id")) if overrides is None else apply_overrides(rows, overrides)
     rows = rows.withColumn("slug", slugify(F.col("name"), F.col("match_key")))
     have = set(rows.columns)
-    return rows.select("source", "source_id", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (RECORD | CHILDREN).items()])
+    columns = [(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (RECORD | CHILDREN).items()]
+    return rows.select("source", "source_id", *columns, *(["ordinal"] if place else []))
 
 
 def _kind(fuel: Column) -> Column:

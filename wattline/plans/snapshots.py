@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,41 +25,53 @@ def empty_tables(spark: SparkSession) -> Tables:
     return {name: spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in cols.items())) for name, cols in TABLES.items()}
 
 
-def next_state(tables: Tables, incoming: DataFrame, run_ts: Column, key: str = "slug") -> Tables:
-    """The four tables after a run. ``incoming``: records with ``ordinal``; a later one with the same key wins."""
-    rows = last_write_wins(incoming, key)
-    projects = upsert(tables["projects"], rows, run_ts, key)
+def next_state(tables: Tables, incoming: DataFrame, run_ts: Column, key: str = "slug", keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Tables:
+    """The four tables after a run. ``incoming``: records with ``ordinal``; a later one with the same key wins.
+
+    ``keep`` gets each table by its name, and what came in as ``incoming``, in the order in which they need each other,
+    and returns it as it was kept (written and read again), so that nothing is computed twice."""
+    rows = keep("incoming", last_write_wins(incoming, key))
+    projects = keep("projects", upsert(tables["projects"], rows, run_ts, key))
     ids = projects.select(F.col("id").alias("project_id"), F.col(key).alias("_key"))
     live = rows.withColumnRenamed(key, "_key").join(ids, "_key")
     touched = live.select("project_id")
     causes = live.select("project_id", F.explode(F.array_distinct("cause_slugs")).alias("cause_slug"))
     sources = live.select("project_id", F.posexplode("sources").alias("ordinal", "s")).select("project_id", "ordinal", "s.label", "s.url")
     milestones = live.select("project_id", F.explode("milestones").alias("m")).select("project_id", "m.*")
-    return {
-        "projects": projects,
+    children = {
         "project_causes": replace_children(tables["project_causes"], causes, projects, touched),
         "project_sources": replace_children(tables["project_sources"], sources, projects, touched),
         "milestones": replace_children(tables["milestones"], milestones, projects, touched, only_if_new=True),
     }
+    return {"projects": projects} | {name: keep(name, df) for name, df in children.items()}
 
 
 class SnapshotStore:
-    """``<root>/v=<n>/<table>`` for each version; the file of the largest number in ``<root>/pointer`` is the current one.
+    """``<root>/v=<n>-<id>/<table>`` for each version; the file of the largest number in ``<root>/pointer`` is the current one.
 
-    A run writes all tables of a new version before it adds the pointer's row, so a reader or a failed run never sees
-    half a version. Paths go through Spark only."""
+    A run writes all tables of a new version, each from what was written before, and adds the pointer's file last, so a
+    reader or a failed run never sees half a version. A pointer's file is made only if it is not there: of two runs that
+    start from one version the second fails."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        """The path and its file system, any that Spark knows."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _pointer(self) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointer")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema("version long, batch long").json(f"{self.root}/pointer") if there else None
+        path, files = self._path("pointer")
+        return self.spark.read.schema("version long, batch long, folder string").json(f"{self.root}/pointer") if files.exists(path) else None
 
-    def version(self) -> int:
+    def _current(self) -> tuple[int, str | None]:
         pointer = self._pointer()
-        return 0 if pointer is None else pointer.agg(F.max("version")).first()[0] or 0
+        row = None if pointer is None else pointer.agg(F.max(F.struct("version", "folder")).alias("p")).first()["p"]
+        return (0, None) if row is None else (row["version"], row["folder"])
+
+    def version(self) -> int:
+        return self._current()[0]
 
     def has_batch(self, batch: int) -> bool:
         pointer = self._pointer()
@@ -63,21 +79,28 @@ class SnapshotStore:
 
     def read(self) -> Tables:
         """Tables of the current version; a column that is only kept, not served, is read when asked for."""
-        n = self.version()
-        if not n:
+        folder = self._current()[1]
+        if folder is None:
             return empty_tables(self.spark)
-        return {t: self.spark.read.parquet(f"{self.root}/v={n}/{t}") for t in TABLES}
+        return {t: self.spark.read.parquet(f"{self.root}/{folder}/{t}") for t in TABLES}
 
     def apply(self, incoming: DataFrame, run_ts: Column, batch: int | None = None, key: str = "slug") -> int:
         """Writes the next version; a batch that was applied before is skipped. Returns the current version."""
         if batch is not None and self.has_batch(batch):
             return self.version()
         n = self.version() + 1
-        state = next_state(self.read(), incoming, run_ts, key)
-        projects = f"{self.root}/v={n}/projects"
-        state["projects"].write.mode("overwrite").parquet(projects)
-        for name in ("project_causes", "project_sources", "milestones"):
-            state[name].write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-        row = self.spark.range(1).select(F.lit(n).cast("long").alias("version"), F.lit(batch).cast("long").alias("batch"))
-        row.coalesce(1).write.mode("append").json(f"{self.root}/pointer")
+        folder = f"v={n}-{uuid.uuid4().hex}"
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+            return self.spark.read.parquet(f"{self.root}/{folder}/{name}")
+
+        next_state(self.read(), incoming, run_ts, key, keep)
+        self._point(n, batch, folder)
         return n
+
+    def _point(self, version: int, batch: int | None, folder: str) -> None:
+        path, files = self._path(f"pointer/{version}.json")
+        out = files.create(path, False)
+        out.write(bytearray(json.dumps({"version": version, "batch": batch, "folder": folder}).encode() + b"\n"))
+        out.close()

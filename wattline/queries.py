@@ -20,7 +20,7 @@ from .operators import lookups as L
 from .operators import readmodel as R
 from .operators import state as ST
 from .plans import normalize as N
-from .plans.ingest import dispositions, ingest_summary, normalized
+from .plans.ingest import dispositions, ingest_summary, normalized, skip_reason
 from .plans.snapshots import SnapshotStore, empty_tables, next_state
 from .sources import dims as D
 from .sources import export as X
@@ -37,6 +37,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors see. Only a local session may leave ``spark.checkpoint.dir`` unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession, "cut")
+    return df.checkpoint()
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
@@ -71,10 +88,17 @@ def proj(spark: SparkSession, sf_dir: str, states: bool = True, shift: bool = Fa
         F.lit("eia").alias("source_key"),
     )
     rows = rows.withColumn("slug", S.slugify(F.col("name"), F.concat(F.lit("orders:"), F.col("id").cast("string"))))
-    if not states:
-        return rows.withColumn("state", F.lit(None).cast("string"))
+    return with_states(spark, sf_dir, rows) if states else rows.withColumn("state", F.lit(None).cast("string"))
+
+
+def with_states(spark: SparkSession, sf_dir: str, rows: DataFrame, few: bool = False) -> DataFrame:
+    """Adds the list of states. ``few``: the rows are a page, so only their lines are gathered."""
     nations = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    if few:
+        # a page's ids, as many as its limit says
+        lines = lines.join(F.broadcast(rows.select(F.col("id").alias("l_orderkey"))), "l_orderkey", "left_semi")
+    lines = lines.join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
     listed = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ", ").alias("state"))
     return rows.join(listed, F.col("id") == F.col("l_orderkey"), "left").drop("l_orderkey")
 
@@ -129,18 +153,16 @@ def capacity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three orders of reasons over the same rows."""
-    rows = proj(spark, sf_dir, states=False).withColumns({"capacity": F.col("capacity_value"), "ia_phase": F.col("status")})
-    out = None
-    for source in ("eia", "ornlHydro", "lbnl"):
-        some = rows
-        if source == "lbnl":
-            some = rows.withColumn("status", F.when(F.col("id") % 3 == 0, "Active").otherwise("withdrawn"))
-        elif source == "ornlHydro":
-            some = rows.withColumn("status", F.when(F.col("id") % 4 == 0, " Pending Relicense ").otherwise("Issued"))
-        counts = dispositions(some, source).groupBy("disposition").agg(F.count("*").alias("n")).select(F.lit(source).alias("source"), "disposition", "n")
-        out = counts if out is None else out.unionByName(counts)
-    return out
+    """The three orders of reasons over the same rows, in one pass."""
+    key, status = F.col("id"), F.col("status")
+    statuses = {
+        "eia": status,
+        "ornlHydro": F.when(key % 4 == 0, " Pending Relicense ").otherwise("Issued"),
+        "lbnl": F.when(key % 3 == 0, "Active").otherwise("withdrawn"),
+    }
+    reasons = [F.struct(F.lit(s).alias("source"), skip_reason(s, F.col("capacity_value"), c, status).alias("disposition")) for s, c in statuses.items()]
+    each = proj(spark, sf_dir, states=False).select(F.explode(F.array(*reasons)).alias("r"))
+    return each.groupBy("r.source", "r.disposition").agg(F.count("*").alias("n"))
 
 
 PART_RULES = [(r"\b1\b|red", "one"), (r"1", "has_one"), (r"blue|2", "two"), (r"part", "part")]
@@ -151,13 +173,14 @@ def classify_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The title rules over whole texts."""
-    fuel = first_match(F.col("text"), P.DASHBOARD_TITLE_FUEL, exact_map(F.col("lang"), P.SECTOR_FUEL, "other"))
-    resource = first_match(F.col("text"), P.LBNL_RESOURCE_FUEL, "other")
-    key = first_match(F.col("text"), P.SOURCE_LABEL_KEY, "other")
-    stage = contains_rules(F.col("text"), P.DASHBOARD_STAGE, P.DEFAULT_STAGE)
-    phase = contains_rules(F.col("text"), P.LBNL_STAGE, "interconnection_study")
-    return read(spark, sf_dir, "documents").select("doc_id", fuel.alias("title_fuel"), resource.alias("resource_fuel"), key.alias("source_key"), stage.alias("stage"), phase.alias("phase"))
+    """The title rules over whole texts, which are lower-cased once."""
+    text, low = F.col("text"), F.col("low")
+    fuel = first_match(text, P.DASHBOARD_TITLE_FUEL, exact_map(F.col("lang"), P.SECTOR_FUEL, "other"), low)
+    resource = first_match(text, P.LBNL_RESOURCE_FUEL, "other", low)
+    key = first_match(text, P.SOURCE_LABEL_KEY, "other", low)
+    stage = contains_rules(text, P.DASHBOARD_STAGE, P.DEFAULT_STAGE, low)
+    phase = contains_rules(text, P.LBNL_STAGE, "interconnection_study", low)
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.lower("text").alias("low")).select("doc_id", fuel.alias("title_fuel"), resource.alias("resource_fuel"), key.alias("source_key"), stage.alias("stage"), phase.alias("phase"))
 
 
 def code_map_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +213,8 @@ def nest_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serialize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.sort_projects(dto(spark, sf_dir), "capacity", True)
-    page = R.to_summary(R.page(rows, 40, 20))
+    rows = R.page(R.sort_projects(dto(spark, sf_dir, states=False), "capacity", True), 40, 20)
+    page = R.to_summary(with_states(spark, sf_dir, rows.drop("state"), few=True))
     return rounded(page.withColumn("cause_slugs", S.join_list(F.col("cause_slugs"))), 6, "years_waiting", "capacity_value")
 
 
@@ -242,8 +265,9 @@ RUN_1, RUN_2 = "2001-01-01", "2001-02-01"
 def _two_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     first = proj(spark, sf_dir, states=False).where(F.col("application_filed_date") < F.lit("1999-01-01"))
     second = proj(spark, sf_dir, states=False, shift=True).where(F.col("application_filed_date") >= F.lit("1997-01-01"))
-    state = next_state(empty_tables(spark), _records(first), F.lit(RUN_1).cast("timestamp"))
-    return next_state(state, _records(second), F.lit(RUN_2).cast("timestamp"))
+    keep = lambda name, df: cut(df) if name in ("incoming", "projects") else df
+    state = next_state(empty_tables(spark), _records(first), F.lit(RUN_1).cast("timestamp"), keep=keep)
+    return next_state(state, _records(second), F.lit(RUN_2).cast("timestamp"), keep=keep)
 
 
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,19 +364,23 @@ def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.csv_projection(rows, D.labels(spark, D.SOURCES))
 
 
-def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.array().cast(N.CHILDREN["milestones"])
-    rows = R.json_projection(dto(spark, sf_dir, states=False).withColumn("milestones", none))
-    return rows.select("id", F.to_json(F.struct("slug", "name", "application_filed_date", "capacity_unit", "current_stage", "days_waiting")).alias("json"))
-
-
 def format_usd_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dto(spark, sf_dir, states=False)
+    """Capacities of different sizes, in a unit for some; estimates from dollars to billions."""
+    capacity = F.when(F.col("id") % 2 == 0, F.floor("capacity_value") / F.when(F.col("id") % 4 == 0, 8).otherwise(1)).otherwise(F.floor("capacity_value") * 10 + 1)
+    rows = R.derive(proj(spark, sf_dir, states=False).withColumn("capacity_value", capacity), as_of())
+    scale = F.element_at(F.array(*map(F.lit, (1.0000123, 1.0000123e-3, 1.0000123e-6, 1.0000123e3))), (F.col("id") % 4 + 1).cast("int"))
+    rows = rows.withColumns({"investment_waiting": F.col("investment_waiting").withField("estimated_usd", F.col("investment_waiting.estimated_usd") * scale), "capacity_unit": F.when(F.col("id") % 13 != 0, F.col("capacity_unit"))})
     return rows.select("id", S.format_usd(F.col("investment_waiting.estimated_usd")).alias("usd"), S.format_capacity(F.col("capacity_value"), F.col("capacity_unit")).alias("capacity"), S.waiting_label(F.col("years_waiting")).alias("waiting"), S.share_text(F.col("name"), F.col("years_waiting")).alias("share"))
 
 
 def detail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.detail_view(dto(spark, sf_dir), D.labels(spark, D.STAGES))
+    """Sites and counties for some; a stage that has no label for some."""
+    key = F.col("id")
+    rows = dto(spark, sf_dir).withColumns({
+        "county": F.when(key % 3 == 0, F.concat(F.lit("County "), (key % 10).cast("string"))), "lat": F.when(key % 4 != 0, 30 + (key % 1000) / 1000 + 0.00001), "lon": F.when(key % 6 != 0, -90 - (key % 700) / 1000 - 0.00001),
+        "capacity_value": F.floor("capacity_value").cast("double"), "current_stage": F.when(key % 19 == 0, "on_the_way").otherwise(F.col("current_stage")),
+    })
+    return R.detail_view(rows, D.labels(spark, D.STAGES))
 
 
 def policy_with_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,14 +430,6 @@ def ingest_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_summary(judged, fine, errors)
 
 
-def _shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def serialize_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects with causes, sources and milestones made from their order's lines."""
     lines = read(spark, sf_dir, "lineitem").withColumn("project_id", F.col("l_orderkey"))
@@ -433,7 +453,7 @@ def get_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders landed as a relicensing sheet, read back as text, resolved, decided and normalised."""
-    rows, folder = proj(spark, sf_dir, states=False), _shared_folder(spark, "sheet")
+    rows, folder = proj(spark, sf_dir, states=False), shared_folder(spark, "sheet")
     cells = {h[0]: F.lit(None).cast("string") for h in P.HEADERS["ornlHydro"].values()}
     day = F.date_format("application_filed_date", "yyyy-MM-dd")
     cells |= {
@@ -444,12 +464,12 @@ def ingest_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells.pop("FERC_docket")
     rows.select(*[v.alias(k) for k, v in cells.items()]).write.options(header=True, escape='"').csv(folder)
     out = normalized(spark, "ornlHydro", folder).records
-    return out.select("source_id", "name", "capacity_value", F.date_format("application_filed_date", "yyyy-MM-dd").alias("filed"), "current_status", F.col("data_quality_note").isNotNull().alias("noted"))
+    return out.select("source_id", "name", "capacity_value", F.date_format("application_filed_date", "yyyy-MM-dd").alias("filed"), "current_status", "current_stage", F.col("data_quality_note").isNotNull().alias("noted"))
 
 
 def ingest_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders landed as the dashboard's JSON, each twice; sectors are filtered at the source, repeats dropped, fuels inferred."""
-    rows, folder = proj(spark, sf_dir, states=False), _shared_folder(spark, "dashboard")
+    rows, folder = proj(spark, sf_dir, states=False), shared_folder(spark, "dashboard")
     title = F.element_at(F.array(*[F.lit(x) for x in ("LNG terminal", "Solar and storage", "Upwind ranch", "Amsterdam works", "plain")]), (F.col("id") % 5 + 1).cast("int"))
     sector = F.element_at(F.array(*[F.lit(x) for x in [*P.SECTOR_TYPE, "Ports"]]), (F.col("id") % 6 + 1).cast("int"))
     status = F.element_at(F.array(*[F.lit(x) for x in ("Complete", "Withdrawn", "Under Construction", "Paused")]), (F.col("id") % 4 + 1).cast("int"))
@@ -463,12 +483,12 @@ def ingest_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders landed in three files one after the other, the last one with changes; the final state of the store."""
-    root = _shared_folder(spark, "incremental")
+    """Orders landed in three editions of several files, the last one with changes; the final state of the store."""
+    root = shared_folder(spark, "incremental")
     store = SnapshotStore(spark, f"{root}/state")
     parts = [(proj(spark, sf_dir, False).where(F.col("id") % 2 == 0)), (proj(spark, sf_dir, False).where(F.col("id") % 2 == 1)), (proj(spark, sf_dir, False, shift=True).where(F.col("id") % 5 == 0))]
     for i, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        part.write.mode("append").parquet(f"{root}/landing")
         day = F.lit(f"2001-01-0{i + 1}").cast("timestamp")
         for _ in range(2):  # the second call finds nothing new
             incremental_ingest(spark, f"{root}/landing", part.schema, _records, store, f"{root}/stream", day)
@@ -483,7 +503,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         disposition_counts, classify_first_match, classify_documents, code_map_override, status_stage, label_lookup, nest_children, serialize_page, top_waiting,
         total_matches, facet_states, example_project, override_keys, dedupe_first, upsert_snapshot, resolved_delete, replace_children, slugify, slug_collisions,
         multi_state_centroid, map_points, geocode_by_code, clean_cells, parse_cells, excel_serial, first_link, latest_edition, feed_union, csv_projection,
-        json_export, format_usd_capacity, detail_view, policy_with_cause, encode_url, merge_by_match_key, error_rows, normalize_all,
+        format_usd_capacity, detail_view, policy_with_cause, encode_url, merge_by_match_key, error_rows, normalize_all,
         serialize_projects, get_project, ingest_sheet, ingest_dashboard,
     )
 } | {"ingest_summary": ingest_summary_query, "incremental_ingest": incremental}

@@ -25,6 +25,15 @@ DASHBOARD_SCHEMA = T.StructType(
 )
 
 
+#: Where a landed row stands.
+ORDINAL = "_ordinal"
+
+
+def landed_at() -> Column:
+    """Orders the rows of landed files: by file, then by place in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
 def _text_columns(n: int) -> T.StructType:
     return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)])
 
@@ -32,9 +41,13 @@ def _text_columns(n: int) -> T.StructType:
 def read_sheet_export(spark: SparkSession, path: str, header_row: int) -> DataFrame:
     """A landed tab export (one or many files) as text columns under the names in line ``header_row``.
 
-    The first lines of one file give the header; title, header and blank lines are recognised by what they hold, not
-    by their number, so files may be split. Blank cells are null. All files must share the header."""
-    head = [r[0] for r in spark.read.text(path).limit(header_row + 1).collect()]
+    The first lines of the first file by name that has any give the header; title, header and blank lines are recognised
+    by what they hold, not by their number, so files may be split. Blank cells are null. All files must share the header.
+    ``_ordinal`` tells where a row stands (file, block, line)."""
+    head: list[str] = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        if head := [r[0] for r in spark.read.text(file).limit(header_row + 1).collect()]:
+            break
     if len(head) <= header_row:
         raise ValueError(f"{path} has no line {header_row}")
     lines = spark.createDataFrame([(i, x) for i, x in enumerate(head)], "i int, line string")
@@ -43,7 +56,7 @@ def read_sheet_export(spark: SparkSession, path: str, header_row: int) -> DataFr
     names = [str(x) for x in cells[header_row]["c"] if x is not None]
     raw = spark.read.schema(_text_columns(len(names))).option("escape", '"').csv(path)
     blank = F.array(*[F.when(F.trim(c) != "", F.col(c)) for c in raw.columns])
-    rows = raw.withColumn("_cells", blank)
+    rows = raw.select(blank.alias("_cells"), landed_at().alias(ORDINAL))
     special = [[(x if x is not None and x.strip() else None) for x in list(c["c"])[: len(names)]] for c in cells]
     keep = F.exists("_cells", lambda x: x.isNotNull())
     for line in special:
@@ -53,13 +66,13 @@ def read_sheet_export(spark: SparkSession, path: str, header_row: int) -> DataFr
         for s in same[1:]:
             all_same = all_same & s
         keep = keep & ~all_same
-    return rows.where(keep).select(*[F.col("_cells")[i].alias(n) for i, n in enumerate(names)])
+    return rows.where(keep).select(*[F.col("_cells")[i].alias(n) for i, n in enumerate(names)], ORDINAL)
 
 
 def resolve_columns(df: DataFrame, candidates: dict[str, list[str]], collapse_ws: bool = False) -> DataFrame:
     """A column per field, under the first header in sheet order that the field may have; all missing fields in one error."""
     tidy = (lambda h: re.sub(r"\s+", " ", h.strip())) if collapse_ws else str.strip
-    headers = [(h, tidy(h)) for h in df.columns]
+    headers = [(h, tidy(h)) for h in df.columns if h != ORDINAL]
     found, missing = {}, []
     for field, names in candidates.items():
         hit = next((raw for raw, h in headers if h in names), None)
@@ -69,12 +82,14 @@ def resolve_columns(df: DataFrame, candidates: dict[str, list[str]], collapse_ws
             found[field] = hit
     if missing:
         raise ValueError(f"no header for {'; '.join(missing)}. Headers: {', '.join(h for _, h in headers)}")
-    return df.select(*[F.col("`" + raw.replace("`", "``") + "`").alias(f) for f, raw in found.items()])
+    kept = [ORDINAL] if ORDINAL in df.columns else []
+    return df.select(*[F.col("`" + raw.replace("`", "``") + "`").alias(f) for f, raw in found.items()], *kept)
 
 
 def read_dashboard_json(spark: SparkSession, path: str, sectors: list[str] | None = None) -> DataFrame:
-    """The dashboard's dataset, sectors of interest only; all rows."""
-    return spark.read.schema(DASHBOARD_SCHEMA).json(path).where(F.col("project_sector").isin(*(sectors or SECTOR_TYPE)))
+    """The dashboard's dataset, sectors of interest only; all rows, with ``_ordinal``."""
+    rows = spark.read.schema(DASHBOARD_SCHEMA).json(path).select("*", landed_at().alias(ORDINAL))
+    return rows.where(F.col("project_sector").isin(*(sectors or SECTOR_TYPE)))
 
 
 def read_overrides(spark: SparkSession, path: str | None) -> DataFrame:
