@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontamination, line_dedup, mixing, pii, secrets, sharding, simhash, topk, toxicity, url_rules
 from .common import read
 
@@ -65,5 +63,4 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
-    "pipeline": corpus_pipeline.run,
 }
