@@ -48,6 +48,20 @@ def test_topk(spark, n, width):
     assert got == nearest(rows, lambda i: i % 50 == 0, 5)
 
 
+def test_topk_of_huge_components(spark):
+    """Scores are ranked by their exact values, whatever their size, and given within the bounds of a long."""
+    rows = [(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [1e9, 1e9]), (4, [0.25, -3.0]), (50, [1e18, 5.0]), (100, [1e30, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: [max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)) if abs(x) < 1e15 else int(256 * x))) for x in v]
+    want = []
+    for i, v in rows:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole(v), whole(w), strict=True)), j) for j, w in rows if j != i)[:5]
+            want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scored)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op5_query(frame).collect())
+    assert got == sorted(want)
+
+
 def test_topk_in_many_shards(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.integers(-2, 3, 12) / 4]) for i in range(2500)]
@@ -697,14 +711,14 @@ def test_toxicity_empty(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_nearest_is_exact(seed):
     rng = np.random.default_rng(seed)
-    vectors = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(40, rng.integers(1, 8), replace=False)} for _ in range(700)]
+    vectors = [(t, rng.integers(1, 4, len(t))) for t in (rng.choice(40, rng.integers(1, 8), replace=False) for _ in range(700))]
     weights = np.where(rng.random(40) < 0.2, 5, 0.2) * (rng.random(40) + 0.5)
     index = toxicity.Index(vectors, rng.integers(0, 2, 700).tolist(), list(range(700)), weights)
     dense = np.zeros((700, 40))
     for row, i in enumerate(index.ids):
         dense[row, index.unit(vectors[i])[0]] = index.unit(vectors[i])[1]
     for but in [-1] * 40 + [3, 699]:
-        q = index.unit({int(t): 1 for t in rng.choice(40, 5, replace=False)})
+        q = index.unit((rng.choice(40, 5, replace=False), np.ones(5)))
         places, cosines = index.nearest(q, but=but)
         whole = np.zeros(40)
         whole[q[0]] = q[1]
@@ -719,12 +733,12 @@ def test_nearest_is_exact(seed):
 
 def test_blocks_are_left_out(monkeypatch):
     """Parts of posting lists in blocks that cannot reach the best are not read."""
-    vectors = [{e // toxicity.BLOCK: 1, 99: 1} for e in range(40 * toxicity.BLOCK)]
+    vectors = [(np.array([e // toxicity.BLOCK, 99]), np.ones(2)) for e in range(40 * toxicity.BLOCK)]
     index = toxicity.Index(vectors, [0] * len(vectors), list(range(len(vectors))), np.ones(100))
     read, ranges = [], toxicity._ranges
     monkeypatch.setattr(toxicity, "_ranges", lambda s, n: read.append(int(n.sum())) or ranges(s, n))
-    places, _ = index.nearest(index.unit({7: 5, 99: 1}))
-    assert len(places) == toxicity.NEIGHBOURS and {vectors[index.ids[p]].keys() == {7, 99} for p in places} == {True}
+    places, _ = index.nearest(index.unit((np.array([7, 99]), np.array([5, 1]))))
+    assert len(places) == toxicity.NEIGHBOURS and {vectors[index.ids[p]][0][0] for p in places} == {7}
     assert sum(read) < len(vectors) / 4
 
 

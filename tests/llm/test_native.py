@@ -176,6 +176,15 @@ def test_url_rules(spark, rules):
     assert got == want
 
 
+def test_url_rules_long_hosts_and_deep_rules(spark):
+    """A host of thousands of labels, and rules nested forty deep in a path."""
+    rules = [("block" if k % 2 else "allow", "example.com", "/" + "d/" * k) for k in range(40)]
+    urls = ["http://" + "a." * 5000 + "example.com/d/d/d/x", "http://example.com/" + "d/" * 60, "http://" + "a." * 5000 + "org/d/", "http://example.com/d/e"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge(pages, spark.createDataFrame(rules, "action string, host string, path string")).collect()}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+
+
 def test_url_rules_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge(pages, url_rules.rules_frame(spark)).count() == 0

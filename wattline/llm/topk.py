@@ -12,7 +12,8 @@ Edge cases: vectors that are null, empty or hold a null or non-finite component
 take no part; shorter vectors are filled up with zeros; equal scores go to the
 smaller id, null ids last; rows with the same id are rows of their own, and a
 row never finds itself; fewer candidates than k give fewer rows; an empty table
-gives an empty result; further columns are not read.
+gives an empty result; components beyond a long are its bounds, and so are scores
+beyond it (they are ranked by their exact values); further columns are not read.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties by id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     return np.lexsort((ids, -scores))[:k]
 
 
@@ -78,16 +81,27 @@ def maxscore(postings: np.ndarray, query: np.ndarray, k: int, own: int, ids: np.
     return alive[order], partial[order]
 
 
+#: A score in three whole numbers that are ordered as it is, whatever its size.
+KEY = ["_high", "_middle", "_low"]
+
+
+def _key(scores: np.ndarray) -> dict[str, np.ndarray]:
+    part = 2**48 - 1
+    high = scores >> (96 if scores.dtype == object else 63)
+    return {c: v.astype(np.int64) for c, v in zip(KEY, (high, scores >> 48 & part, scores & part), strict=True)}
+
+
 def _search(k: int, width: int):
-    columns = ["_query", "_query_id", "_query_null", "_id", "_null", "_row", "score"]
+    columns = ["_query", "_query_id", "_query_null", "_id", "_null", "_row", "score", *KEY]
 
     def task(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(queries):
             return pd.DataFrame({c: [] for c in columns})
         x, q = matrix(shard["_v"], width), matrix(queries["_v"], width)
-        # whole numbers stay exact in doubles below 2^53
-        if float(np.abs(x).max()) * float(np.abs(q).max()) * width < 2**52:
-            x, q = x.astype(np.float64), q.astype(np.float64)
+        # whole numbers stay exact in doubles below 2^53, and in longs below 2^63
+        largest = max(-int(x.min()), int(x.max())) * max(-int(q.min()), int(q.max())) * width
+        kind = np.float64 if largest < 2**52 else np.int64 if largest < 2**62 else object
+        x, q = x.astype(kind), q.astype(kind)
         postings = np.ascontiguousarray(x.T)
         rows = shard["_row"].to_numpy()
         rank = np.empty(len(shard), np.int64)
@@ -97,7 +111,9 @@ def _search(k: int, width: int):
         for i, (row, vec_id, null) in enumerate(zip(queries["_row"], queries["_id"], queries["_null"], strict=True)):
             at, scores = maxscore(postings, q[i], k, place.get(row, -1), rank)
             places = shard.iloc[at]
-            found.append(pd.DataFrame({"_query": row, "_query_id": vec_id, "_query_null": null, "_id": places["_id"], "_null": places["_null"], "_row": rows[at], "score": scores.astype(np.int64)}))
+            scores = scores if scores.dtype == object else scores.astype(np.int64)
+            values = {"_query": row, "_query_id": vec_id, "_query_null": null, "_id": places["_id"], "_null": places["_null"], "_row": rows[at]}
+            found.append(pd.DataFrame(values | {"score": scores.clip(-(2**63), 2**63 - 1).astype(np.int64)} | _key(scores)))
         return pd.concat(found)
 
     return task
@@ -119,9 +135,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 65
     left = vectors.drop("_asks").select("*", dealt).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = vectors.where("_asks").drop("_asks").select("*", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInPandas(
-        _search(k, int(width or 1)), f"_query long, _query_id {kind}, _query_null boolean, _id {kind}, _null boolean, _row long, score long"
+        _search(k, int(width or 1)), f"_query long, _query_id {kind}, _query_null boolean, _id {kind}, _null boolean, _row long, score long, _high long, _middle long, _low long"
     )
-    merged = Window.partitionBy("_query").orderBy(F.col("score").desc(), "_null", "_id", "_row")
+    merged = Window.partitionBy("_query").orderBy(*[F.col(c).desc() for c in KEY], "_null", "_id", "_row")
     ranked = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
     return ranked.select(F.when(~F.col("_query_null"), F.col("_query_id")).alias("query_id"), "rank", F.when(~F.col("_null"), F.col("_id")).alias("vec_id"), "score")
 
