@@ -5,7 +5,8 @@ spans, in windows drawn from all documents, label the training windows of the
 tagger; varied forms of the same values (other separators, missing signs) are
 put into further windows, so that the tagger learns to find what the forms do
 not, and so are numbers that are no personal data (dates, times, prices,
-versions, counts). Every text is then cut into overlapping windows; each is
+versions, counts); windows that may hold such a varied form unlabelled are left
+out. Every text is then cut into overlapping windows; each is
 decoded, and every character takes its label from the window in whose middle it
 stands most. A tagged span must hold a digit or an @, and each of its characters
 must be within ``REACH`` of one; so only the windows that hold one and their
@@ -13,8 +14,9 @@ neighbours are decoded, and that the others change nothing is tested.
 
 Edge cases: a null text is empty; base spans always stay, and a tagged span that
 touches one is dropped; of equal starts the kinds keep their order; a tagged span
-that cuts a word or number is dropped; without any labelled window nothing is
-added; other columns are not read.
+that cuts a word or number is dropped, and one without what all values of its
+kind have (an @; four numbers; 12 to 19 digits; 7 to 15 digits); without any
+labelled window nothing is added; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,7 @@ import bisect
 import random
 import re
 from collections.abc import Iterator
-from itertools import pairwise
-from string import ascii_lowercase
+from itertools import cycle, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+#: What may be a value in another form: an @, or three numbers with signs between.
+UNSURE = re.compile(r"@|[0-9]++(?:[^0-9A-Za-z]{1,4}[0-9]++){2}")
 
 #: Characters in a window, and from one window to the next.
 WINDOW, STEP = 64, 32
@@ -50,8 +53,9 @@ WINDOW, STEP = 64, 32
 REACH = WINDOW - STEP // 2
 #: Labelled windows that the tagger is fitted on: a sixth for each kind, a third without a span.
 FIT_WINDOWS = 768
-#: Further windows for each labelled one: varied forms of a span's value, numbers of other sorts in its place.
-VARIED, OTHER = 3, 1
+#: Further windows: with varied forms of a span's value, for each kind, and with numbers of other sorts; about so many however
+#: few windows there are.
+VARIED, OTHER = 512, 768
 #: State of each direction of the tagger.
 HIDDEN = 24
 
@@ -103,7 +107,8 @@ def labels(length: int, spans: list[Span]) -> np.ndarray:
 
 
 def _fit_windows(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
-    """Windows around the spans of a text and around other digits, with their labels as digits."""
+    """Windows around the spans of a text and around other digits, with their labels as digits. A window in which something
+    outside the spans may be a value in another form is not offered: that it is none, the forms do not tell."""
     for text in texts:
         if not text or not TRIGGER.search(text):
             continue
@@ -113,15 +118,18 @@ def _fit_windows(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
             lo = max(0, c - WINDOW // 3)
             hi = min(len(text), lo + WINDOW)
             inside = [(max(a, lo) - lo, k, min(b, hi) - lo) for a, k, b in spans if a < hi and b > lo]
+            if any(all(m.start() >= b or m.end() <= a for a, _, b in inside) for m in UNSURE.finditer(text[lo:hi])):
+                continue
             yield text[lo:hi], "".join(map(str, labels(hi - lo, inside)))
 
 
-def _varied(value: str, kind: int, rng: random.Random) -> str:
-    """Another way to write a value of a kind."""
+def _varied(value: str, kind: int, rng: random.Random, words: list[str]) -> str:
+    """Another way to write a value of a kind; names are made of the texts' own words, so that these do not give them away."""
     if kind == 0:
         if rng.random() < 0.6:
-            w = lambda lo, hi: "".join(rng.choice(ascii_lowercase) for _ in range(rng.randrange(lo, hi)))
-            value = f"{rng.choice([value.split('@')[0], w(3, 9), f'{w(1, 8)}.{w(3, 9)}', f'{w(2, 6)}_{w(2, 6)}'])}@{w(3, 10)}{rng.choice(['', '-' + w(2, 5), '.' + w(2, 7)])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
+            w, n = lambda: rng.choice(words), lambda: str(rng.randrange(100)) if rng.random() < 0.5 else ""
+            name = rng.choice([value.split("@")[0], f"{w()}{n()}", f"{w()}.{w()}{n()}", f"{w()}_{w()}", f"{w()[:1]}.{w()}{n()}"])
+            value = f"{name}@{w()}{rng.choice(['', n(), '-' + w(), '.' + w()])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
         return value.replace("@", rng.choice([" @ ", "@ ", " @"]))
     if kind == 1:
         return value.replace(".", rng.choice([" . ", "-", ":", "[.]", ". "]))
@@ -179,34 +187,41 @@ def fit(docs: DataFrame, text_col: str = "text", fit_windows: int = FIT_WINDOWS,
 
 
 def _training(drawn: list[tuple[str, str]], rng: random.Random) -> tuple[list[str], list[np.ndarray]]:
-    """The drawn windows, and for each that has one whole span further ones with something else in its place."""
+    """The drawn windows; for those that have one whole span further ones with a varied value in its place; and for all, in turn,
+    ones with a number of another sort."""
     texts, tags = [], []
+    words = sorted({w.lower() for window, _ in drawn for w in re.findall("[A-Za-z]{2,}", window)}) or ["a"]
+    whole: dict[int, list[tuple[str, int, int]]] = {k: [] for k in range(len(KINDS))}
+    places: list[tuple[str, int, int]] = []
     for window, marks in drawn:
         texts.append(window)
         tags.append(np.array(list(map(int, marks))))
         starts = [i for i, t in enumerate(marks) if t in "1357"]
         if not starts:
-            # a window without a span gets one number more, at the start of a word
-            words = [m.start() for m in re.finditer(r"(?<!\S)\S", window)]
-            at = rng.choice(words) if words else 0
-            text = f"{window[:at]}{_other(rng)} {window[at:]}"[:WINDOW]
-            texts.append(text)
-            tags.append(np.zeros(len(text), np.int64))
-            continue
-        if len(starts) > 1:
-            continue
-        a, kind = starts[0], int(marks[starts[0]]) // 2
-        b = a + 1
-        while b < len(marks) and marks[b] == str(2 + 2 * kind):
-            b += 1
-        if b == len(marks):
-            continue
-        for new, of in [(_varied(window[a:b], kind, rng), kind) for _ in range(VARIED)] + [(_other(rng), None) for _ in range(OTHER)]:
-            # windows begin at other places of the text too
-            skip = rng.randrange(a + 1)
-            text = (window[skip:a] + new + window[b:])[:WINDOW]
-            texts.append(text)
-            tags.append(labels(len(text), [] if of is None else [(a - skip, of, min(len(text), a - skip + len(new)))]))
+            # one number more, at the start of a word
+            places += [(window, m.start(), m.start()) for m in re.finditer(r"(?<!\S)\S", window)][:: WINDOW // 8]
+        elif len(starts) == 1:
+            a, kind = starts[0], int(marks[starts[0]]) // 2
+            b = a + 1
+            while b < len(marks) and marks[b] == str(2 + 2 * kind):
+                b += 1
+            if b < len(marks):
+                whole[kind].append((window, a, b))
+                places.append((window, a, b))
+
+    def add(window: str, a: int, b: int, new: str, kind: int | None) -> None:
+        # windows begin at other places of the text too
+        skip = rng.randrange(a + 1)
+        text = (window[skip:a] + new + window[b:])[:WINDOW]
+        texts.append(text)
+        tags.append(labels(len(text), [] if kind is None else [(a - skip, kind, min(len(text), a - skip + len(new)))]))
+
+    for kind, found in whole.items():
+        for window, a, b in islice(cycle(found), VARIED if found else 0):
+            add(window, a, b, _varied(window[a:b], kind, rng, words), kind)
+    rng.shuffle(places)
+    for window, a, b in islice(cycle(places), OTHER if places else 0):
+        add(window, a, b, _other(rng) + " " * (a == b), None)
     return texts, tags
 
 
@@ -261,6 +276,16 @@ def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span
     return found
 
 
+def fits(value: str, kind: int) -> bool:
+    """Whether a text has what all values of a kind have."""
+    if kind == 0:
+        return "@" in value
+    if kind == 1:
+        return len(re.findall("[0-9]+", value)) == 4
+    low, high = ((12, 19), (7, 15))[kind - 2]
+    return low <= len(DIGIT.findall(value)) <= high
+
+
 def merged(base: list[Span], tagged: list[Span]) -> list[Span]:
     """All base spans, and the tagged ones that touch none of them (both in order of start)."""
     ends = sorted(base, key=lambda s: s[0])
@@ -291,7 +316,7 @@ def scan(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
         bases, spans, at = [], [], 0
         for text, starts in zip(texts, places, strict=True):
             base = base_spans(text)
-            tagged = reconcile(text, starts, tags[at : at + len(starts)])
+            tagged = [s for s in reconcile(text, starts, tags[at : at + len(starts)]) if fits(text[s[0] : s[2]], s[1])]
             at += len(starts)
             bases.append(base)
             spans.append(merged(base, tagged))
