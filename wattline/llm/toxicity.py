@@ -28,10 +28,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,20 +42,22 @@ from pyspark.sql import types as T
 from .common import by_batch, cut, packed
 
 #: Labelled rows that are learned from, those of them that are the index (half of them toxic ones, if there are so
-#: many), and the different words that all of them may have together, at most.
-FIT_ROWS, INDEX_ROWS, FIT_ENTRIES = 10_000, 2048, 1 << 22
+#: many), and the different words that these may have together, at most.
+FIT_ROWS, INDEX_ROWS, FIT_ENTRIES = 10_000, 2048, 1 << 21
 #: A term speaks for a toxic text if it is so many times as frequent there; with this chi-square it has half its relevance.
 LIFT, CHI_SQUARE = 3.0, 30.0
 #: The relevance of all other words, and the least that the beginning of a word must have.
 FLOOR, PREFIX_FLOOR = 0.05, 0.25
+#: Relevance under this counts as none.
+LEAST = 0.01
 PREFIXES = (4, 5, 6, 7, 8)
-NEIGHBOURS, BLOCK = 15, 32
+NEIGHBOURS, BLOCK = 15, 64
 #: Blocks that are read first.
-FIRST = 6
+FIRST = 3
 #: Votes are told apart in so many steps, between which shares are interpolated.
 STEPS = 20
-#: Words whose terms are remembered at a time.
-REMEMBERED = 1 << 18
+#: Bytes of texts that are taken apart at once.
+AT_ONCE = 1 << 22
 THRESHOLD = 0.3
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -60,6 +65,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 Vector = tuple[np.ndarray, np.ndarray]
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The whole numbers of all ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 def words_of(raw: str) -> list[str]:
     return [raw] if raw.isalpha() else LETTERS.findall(raw)
 
@@ -76,55 +87,90 @@ def prefixes(word: str) -> list[str]:
     return [word[:n] + "*" for n in PREFIXES if len(word) > n]
 
 
-def relevance(sample: list[dict[str, int]], toxic: list[int]) -> dict[str, float]:
-    """Terms that toxic rows hold more often, with their relevance up to 1."""
-    n_toxic, n = sum(toxic), len(toxic)
+def relevance(sample: DataFrame) -> dict[str, float]:
+    """Terms that toxic rows of ``toxic``, ``words`` hold more often, with their relevance from ``LEAST`` up to 1."""
+    n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_clean = n - n_toxic
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for counts, label in zip(sample, toxic, strict=True):
-        seen[label].update({t for w in counts for t in (w, *prefixes(w))})
-    out = {}
-    for term, a in seen[1].items():
-        b = seen[0][term]
-        if a > 2 and a + b < n and (a / n_toxic) >= LIFT * (b + 0.5) / n_clean:
-            chi = n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * n_toxic * n_clean)
-            strength = chi * chi / (chi * chi + CHI_SQUARE * CHI_SQUARE)
-            if not term.endswith("*") or strength >= PREFIX_FLOOR:
-                out[term] = strength
-    return out
-
-
-class Terms(dict):
-    """From a raw word to the numbers of its terms; forgets all when it has grown too large."""
+    if not n_toxic or not n_clean:
+        return {}
+
+    def count(frame: pa.RecordBatch) -> dict[str, pa.Array]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for words, label in zip(frame["words"].to_pylist(), frame["toxic"].to_pylist(), strict=True):
+            seen[label].update({t for w in words for t in (w, *prefixes(w))})
+        terms = list(seen[0] | seen[1])
+        return {"term": pa.array(terms, pa.string()), "a": pa.array([seen[1][t] for t in terms], pa.int64()), "b": pa.array([seen[0][t] for t in terms], pa.int64())}
+
+    counts = by_batch(sample.select("toxic", "words"), lambda: count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    chi = n * (a * (n_clean - b) - b * (n_toxic - a)) ** 2 / ((a + b) * (n - a - b) * float(n_toxic) * n_clean)
+    speaks = counts.where((a > 2) & (a + b < n) & (a / n_toxic >= LIFT * (b + 0.5) / n_clean)).select("term", chi.alias("chi"))
+    strength = F.col("chi") * F.col("chi") / (F.col("chi") * F.col("chi") + CHI_SQUARE * CHI_SQUARE)
+    speaks = speaks.select("term", strength.alias("r")).where(F.col("r") >= F.when(F.col("term").endswith("*"), PREFIX_FLOOR).otherwise(LEAST))
+    return {r["term"]: r["r"] for r in speaks.collect()}
 
-    def __init__(self, numbers: dict[str, int]):
-        super().__init__()
-        self.numbers = numbers
 
-    def __missing__(self, raw: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[raw] = found = tuple(n for w in words_of(raw) for t in (w, *prefixes(w)) if (n := self.numbers.get(t)) is not None)
-        return found
+class Terms:
+    """From words to the numbers of their terms."""
 
-    def of(self, text: str | None) -> dict[int, int]:
+    def __init__(self, numbers: dict[str, int]):
+        self.numbers = numbers
+        self.known = pa.array(list(numbers), pa.string())
+        # for each length the beginnings that are terms, and their numbers
+        heads = {n: [t for t in numbers if t.endswith("*") and len(t) == n + 1] for n in PREFIXES}
+        self.heads = [(n, pa.array([t[:-1] for t in ts], pa.string()), np.array([numbers[t] for t in ts] + [-1])) for n, ts in heads.items() if ts]
+
+    def __getitem__(self, raw: str) -> list[int]:
+        return [self.numbers[t] for w in words_of(raw) for t in (w, *prefixes(w)) if t in self.numbers]
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the numbers of each word's terms start, how many there are, and all of them. Most are words of letters
+        between signs, which are looked up as a column."""
+        plain = pc.utf8_trim(words, characters=punctuation)
+        simple = pc.utf8_is_alpha(plain).to_numpy(zero_copy_only=False)
+        place = lambda column, known: pc.fill_null(pc.index_in(column, known), -1).to_numpy().astype(np.int64)
+        columns, size = [place(plain, self.known)], pc.utf8_length(plain).to_numpy()
+        for n, heads, numbers in self.heads:
+            columns.append(np.where(size > n, numbers[place(pc.utf8_slice_codeunits(plain, 0, n), heads)], -1))
+        each = np.where(simple[:, None], np.stack(columns, 1), -1)
+        lengths = (each >= 0).sum(1)
+        starts, every = np.cumsum(lengths) - lengths, each[each >= 0]
+        others = np.flatnonzero(~simple)
+        found = [self[w] for w in words.take(pa.array(others)).to_pylist()]
+        lengths[others] = np.fromiter(map(len, found), np.int64, len(found))
+        starts[others] = len(every) + np.cumsum(lengths[others]) - lengths[others]
+        return starts, lengths, np.concatenate([every, np.fromiter(chain.from_iterable(found), np.int64)])
+
+    def counted(self, words: Iterable[tuple[str, int]]) -> Vector:
         counts: dict[int, int] = {}
-        for word, n in Counter((text or "").lower().split()).items():
+        for word, n in words:
             for t in self[word]:
                 counts[t] = counts.get(t, 0) + n
-        return counts
-
-
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The whole numbers of all ranges, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+
+    def of(self, texts: pa.Array) -> Iterator[Vector]:
+        """For each text its terms, in order, and how often each stands there. Words are told apart and lower-cased as Arrow
+        columns, some megabytes at a time; what is looked up here are the different words of those."""
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        for lo, hi in zip(starts, [*starts[1:], len(texts)], strict=True):
+            words = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.slice(lo, hi - lo), "")))
+            flat = words.flatten().dictionary_encode()
+            first, lengths, numbers = self._looked_up(flat.dictionary)
+            at = flat.indices.to_numpy()
+            texts_of = np.repeat(np.repeat(np.arange(hi - lo), np.diff(words.offsets.to_numpy())), lengths[at])
+            every = numbers[_ranges(first[at], lengths[at])]
+            n = max(len(self.numbers), 1)
+            cells, times = np.unique(texts_of * n + every, return_counts=True)
+            bounds = np.searchsorted(cells, np.arange(hi - lo + 1) * n)
+            for a, b in pairwise(bounds.tolist()):
+                yield cells[a:b] % n, times[a:b]
 
 
 class Index:
     """Posting lists in blocks with their maxima."""
 
-    def __init__(self, vectors: list[dict[int, int]], labels: list[int], ids: list, weights: np.ndarray):
+    def __init__(self, vectors: list[Vector], labels: list[int], ids: list, weights: np.ndarray):
         self.weights = weights
         unit = [self.unit(v) for v in vectors]
         # examples that share their heaviest term, or else their most widespread one, stand together: block maxima are tight then
@@ -151,9 +197,9 @@ class Index:
         of_term = cell[self.seg_start] // max(self.n_blocks, 1)
         self.term_from = np.searchsorted(of_term, np.arange(len(weights) + 1))
 
-    def unit(self, counts: dict[int, int]) -> Vector:
-        terms = np.fromiter(counts, np.int64, len(counts))
-        raw = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weights[terms]
+    def unit(self, counts: Vector) -> Vector:
+        terms, times = counts
+        raw = (1 + np.log(times)) * self.weights[terms]
         keep = raw > 0
         terms, raw = terms[keep], raw[keep]
         norm = math.sqrt(float(raw @ raw))
@@ -230,21 +276,24 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     return cut(by_batch(texts, lambda: count, f"doc_id {kind}, toxic int, words array<string>, counts array<long>"))
 
 
-def _fitting(sample: DataFrame, fit_entries: int) -> list:
-    """The rows of the sample, as many in the order of their hashes as have ``fit_entries`` words."""
-    sizes = sample.select("doc_id", F.size("words").alias("n"), F.xxhash64(F.lit("draw"), "doc_id").alias("h")).orderBy("h", "doc_id").collect()
-    total, last = 0, None
-    for r in sizes:
-        total += r["n"]
-        if total > fit_entries:
-            break
-        last = (r["h"], r["doc_id"])
-    if last is None:
-        return []
-    here = F.struct(F.xxhash64(F.lit("draw"), "doc_id").alias("h"), F.col("doc_id").alias("d"))
-    upto = F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).cast(sample.schema["doc_id"].dataType).alias("d"))
-    rows = sample.where(here <= upto).withColumn("h", here["h"]).collect()
-    return sorted(rows, key=lambda r: (r["h"], r["doc_id"]))
+def _examples(sample: DataFrame, index_rows: int, fit_entries: int) -> list:
+    """Rows of the sample for the index, by hash: toxic ones up to a half, then clean ones; of each kind no more than have half
+    of ``fit_entries`` words."""
+    h = F.xxhash64(F.lit("draw"), "doc_id")
+    sizes = sample.where("size(words) > 0").select("doc_id", "toxic", F.size("words").alias("n"), h.alias("h")).orderBy("h", "doc_id").toArrow().to_pylist()
+    chosen: list = []
+    for toxic, room in ((1, index_rows // 2), (0, None)):
+        room, words = index_rows - len(chosen) if room is None else room, 0
+        for r in sizes:
+            words += r["n"] if r["toxic"] == toxic else 0
+            if not room or words > fit_entries // 2:
+                break
+            if r["toxic"] == toxic:
+                chosen.append(r["doc_id"])
+                room -= 1
+    # bounded by index_rows
+    ids = F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in chosen], sample.select("doc_id").schema))
+    return sample.join(ids, "doc_id", "left_semi").withColumn("h", h).orderBy("h", "doc_id").toArrow().to_pylist()
 
 
 def _frequencies(docs: DataFrame, numbers: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -255,9 +304,8 @@ def _frequencies(docs: DataFrame, numbers: dict[str, int]) -> tuple[int, np.ndar
         terms, sums, n = Terms(known.value), np.zeros(len(known.value) + 1, np.int64), 0
         for frame in frames:
             n += frame.num_rows
-            for text in frame["text"].to_pylist():
-                for t in {t for raw in set((text or "").lower().split()) for t in terms[raw]}:
-                    sums[t] += 1
+            for held, _ in terms.of(frame["text"]):
+                sums[held] += 1
         sums[-1] = n
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int64()), "n": pa.array(sums[at], pa.int64())})
@@ -273,33 +321,21 @@ def _frequencies(docs: DataFrame, numbers: dict[str, int]) -> tuple[int, np.ndar
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, index_rows: int = INDEX_ROWS, fit_entries: int = FIT_ENTRIES) -> tuple[dict[str, int], Index, Calibration] | None:
     """Numbers of terms, index and calibration; None without labels of both kinds."""
     sample = _sample(docs, labels, fit_rows)
-    rows = _fitting(sample, fit_entries)
-    toxic = [r["toxic"] for r in rows]
-    if not 0 < sum(toxic) < len(toxic):
+    if sample.select("toxic").distinct().count() < 2:
         return None
-    counts = [dict(zip(r["words"], r["counts"], strict=True)) for r in rows]
-    speaks = relevance(counts, toxic)
-    with_words = [i for i, c in enumerate(counts) if c]
-    half = [i for i in with_words if toxic[i]][: index_rows // 2]
-    chosen = sorted(half + [i for i in with_words if not toxic[i]][: index_rows - len(half)])
+    speaks = relevance(sample)
+    rows = _examples(sample, index_rows, fit_entries)
     numbers: dict[str, int] = {}
-    for i in chosen:
-        for w in counts[i]:
+    for r in rows:
+        for w in r["words"]:
             for t in (w, *(p for p in prefixes(w) if p in speaks)):
                 numbers.setdefault(t, len(numbers))
     n_docs, df = _frequencies(docs, numbers)
     factor = np.array([speaks[t] if t.endswith("*") else FLOOR + (1 - FLOOR) * speaks.get(t, 0.0) for t in numbers])
     weights = (np.log((1 + n_docs) / (1 + df)) + 1) * factor
     terms = Terms(numbers)
-
-    def vector(words: dict[str, int]) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for w, n in words.items():
-            for t in terms[w]:
-                out[t] = out.get(t, 0) + n
-        return out
-
-    index = Index([vector(counts[i]) for i in chosen], [toxic[i] for i in chosen], [rows[i]["doc_id"] for i in chosen], weights)
+    vectors = [terms.counted(zip(r["words"], r["counts"], strict=True)) for r in rows]
+    index = Index(vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], weights)
     shared = docs.sparkSession.sparkContext.broadcast((numbers, index))
 
     def votes():
@@ -309,10 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, index_rows
         def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
             out = []
             for doc_id, words, n in zip(frame["doc_id"].to_pylist(), frame["words"].to_pylist(), frame["counts"].to_pylist(), strict=True):
-                counts: dict[int, int] = {}
-                for w, k in zip(words, n, strict=True):
-                    for t in terms[w]:
-                        counts[t] = counts.get(t, 0) + k
+                counts = terms.counted(zip(words, n, strict=True))
                 places, cosines = index.nearest(index.unit(counts), but=index.place.get(doc_id, -1))
                 out.append(index.vote(places, cosines) if len(places) else None)
             return {"toxic": frame["toxic"], "vote": pa.array(out, pa.float64())}
@@ -335,21 +368,21 @@ def _rated(docs: DataFrame, labels: DataFrame, text: str, **options) -> DataFram
     schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_evidence", T.ArrayType(kind))])
 
     def rate():
+        terms = Terms(model.value[0] if model.value else {})
         if model.value is None:
-            score = lambda text: (0.0, [])
+            score = lambda counts: (0.0, [])
         else:
-            numbers, index, calibration = model.value
-            terms = Terms(numbers)
+            _, index, calibration = model.value
 
-            def score(text: str | None) -> tuple[float, list]:
-                places, cosines = index.nearest(index.unit(terms.of(text)))
+            def score(counts: Vector) -> tuple[float, list]:
+                places, cosines = index.nearest(index.unit(counts))
                 if not len(places):
                     return calibration.empty, []
                 return calibration.of(index.vote(places, cosines)), [index.ids[p] for p in places]
 
         def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
             texts = frame[column].field(inner) if inner else frame[column]
-            scored = [score(t) for t in texts.to_pylist()]
+            scored = [score(counts) for counts in terms.of(texts)]
             own = {c: frame[c] for c in frame.schema.names}
             return own | {"_score": pa.array([s for s, _ in scored], pa.float64()), "_evidence": pa.array([e for _, e in scored], pa.list_(frame["_id"].type))}
 
