@@ -18,7 +18,6 @@ prefix, and may be wrapped in lines; other columns are not read.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib

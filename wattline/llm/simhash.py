@@ -163,8 +163,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
 COPY_WIDTH, ORDERS, SAMPLE = 5, 12, 4
 #: A pair is found exactly if one of its texts has fewer shingles than this.
 SHORT = 60
-#: Smallest hashes that ``resemblance`` estimates from.
-SKETCH = 256
 #: Texts compared in one group; larger groups are dealt into such parts, and every two parts are compared.
 GROUP = 2048
 #: Shingles in such a part, about (a single longer text is a part).
@@ -188,14 +186,6 @@ def copy_samples(hashes: np.ndarray) -> list[int]:
     return samples
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets, estimated from their smallest hashes; no link is judged by it."""
-    both = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(a, b, True), assume_unique=True).sum() / len(both))
-
-
 def _spanning(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Edges that connect all similar texts of a group. A text is compared to those that nothing has reached yet, by
     whole shingle sets; of those only the ones whose numbers of shingles allow the similarity."""
