@@ -38,8 +38,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_batch, cut, packed
+from .common import by_batch, cut
 
 #: Labelled rows that are learned from, those of them that are the index (half of them toxic ones, if there are so
 #: many), and the different words that these may have together, at most.
@@ -57,7 +58,7 @@ FIRST = 3
 #: Votes are told apart in so many steps, between which shares are interpolated.
 STEPS = 20
 #: Bytes of texts that are taken apart at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 THRESHOLD = 0.3
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -360,48 +361,42 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, index_rows
     return numbers, index, Calibration(vote[~none], label[~none], (int(label[none].sum()), int(none.sum())))
 
 
-def _rated(docs: DataFrame, labels: DataFrame, text: str, **options) -> DataFrame:
-    """``docs`` (with ``_id``; ``text`` is a column, or a column and its field) and ``_score`` and ``_evidence`` (ids of the nearest examples)."""
-    column, _, inner = text.partition(".")
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("_id").alias("doc_id"), F.col(text).alias("text")), labels, **options))
-    kind = docs.schema["_id"].dataType
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_evidence", T.ArrayType(kind))])
-
-    def rate():
-        terms = Terms(model.value[0] if model.value else {})
-        if model.value is None:
-            score = lambda counts: (0.0, [])
-        else:
-            _, index, calibration = model.value
-
-            def score(counts: Vector) -> tuple[float, list]:
+def _rate(docs: DataFrame, labels: DataFrame, **options):
+    """A function of a column of texts that gives structs of ``score`` and ``evidence`` (ids of the nearest examples), fitted
+    to ``docs``. Only texts go to Python, only structs come back."""
+    model, kind = fit(docs, labels, **options), docs.schema["doc_id"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    ids = to_arrow_type(kind)
+
+    @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(kind))]))
+    def rate(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        if model is not None:
+            numbers, index, calibration = model
+            terms = Terms(numbers)
+        for texts in columns:
+            scores, evidence = [], []
+            for counts in terms.of(texts) if model is not None else ():
                 places, cosines = index.nearest(index.unit(counts))
-                if not len(places):
-                    return calibration.empty, []
-                return calibration.of(index.vote(places, cosines)), [index.ids[p] for p in places]
-
-        def do(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts = frame[column].field(inner) if inner else frame[column]
-            scored = [score(counts) for counts in terms.of(texts)]
-            own = {c: frame[c] for c in frame.schema.names}
-            return own | {"_score": pa.array([s for s, _ in scored], pa.float64()), "_evidence": pa.array([e for _, e in scored], pa.list_(frame["_id"].type))}
-
-        return do
+                scores.append(calibration.of(index.vote(places, cosines)) if len(places) else calibration.empty)
+                evidence.append([index.ids[p] for p in places])
+            scores, evidence = (scores, evidence) if model is not None else ([0.0] * len(texts), [[]] * len(texts))
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(ids))], ["score", "evidence"])
 
-    return by_batch(docs, rate, schema)
+    return rate
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the examples)."""
-    rows = _rated(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), labels, "_text", **options)
-    rows = rows.select(F.col("_id").alias("doc_id"), F.col("_score").alias("score"), F.col("_evidence").alias("evidence"))
+    rate = _rate(docs.select("doc_id", "text"), labels, **options)
+    rows = docs.select("doc_id", rate("text").alias("_rated")).select("doc_id", F.col("_rated.score").alias("score"), F.col("_rated.evidence").alias("evidence"))
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text is predicted to be toxic: a map over the rows, nothing is shuffled."""
-    rows = _rated(packed(docs, _id=F.col("doc_id")), labels, "_doc.text", **options)
-    return rows.where(F.col("_score") < THRESHOLD).select("_doc.*")
+    """``docs`` without the rows whose text is predicted to be toxic. Nothing is shuffled."""
+    rate = _rate(docs.select("doc_id", "text"), labels, **options)
+    return docs.where(rate("text")["score"] < THRESHOLD)
 
 
 def op2_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
