@@ -179,11 +179,12 @@ def decide(
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: a row for each whole copy, and one with the words taken once more."""
-    rows = packed(docs, _doc_id=F.col(id_col), _body=F.col(text_col), _from=F.col(source_col))
-    rows = decide(rows, id_col="_doc_id", text_col="_body", source_col="_from", carry=("_doc", "_body"), **options)
-    words = F.split(F.trim(F.col("_body"), F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
+    body = F.col("_doc")[text_col]  # a row carries its text once
+    rows = packed(docs, _doc_id=F.col(id_col), _from=F.col(source_col))
+    rows = decide(rows, id_col="_doc_id", text_col=f"_doc.`{text_col}`", source_col="_from", carry=("_doc",), **options)
+    words = F.split(F.trim(body, F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1)
     part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), " ")
-    copies = F.array_repeat(F.col("_body"), F.col("passes").cast("int"))
+    copies = F.array_repeat(body, F.col("passes").cast("int"))
     texts = F.when(F.size("pieces") > 0, F.array_append(copies, part)).otherwise(copies)
     mixed = rows.where("_size > 0").select("_doc", F.explode(texts).alias("_copy"))
     new = {text_col: F.col("_copy")}
