@@ -134,10 +134,100 @@ WITH ints AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# Exact neighbours: the query's answer is exact on tables of up to ``neighbours.LEAST`` rows.
+OP11 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), met AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank FROM met
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP12 = """
+WITH pieces AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), words AS (
+  SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS i FROM (SELECT *, row_number() OVER () AS piece FROM pieces)
+), runs AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)
+), grams AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM runs
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL
+), frequent AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), parted AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM frequent WHERE k > 1
+), cuts AS (
+  SELECT p.lang, p.phrase, p.a, c.cut, l.a AS l, r.a AS r, (2000000::HUGEINT * p.a) // (l.a + r.a) AS score
+  FROM parted AS p JOIN (SELECT unnest([1, 2, 3]) AS cut) AS c ON c.cut < p.k
+  JOIN frequent AS l ON l.lang = p.lang AND l.phrase = array_to_string(p.w[1 : c.cut], ' ')
+  JOIN frequent AS r ON r.lang = p.lang AND r.phrase = array_to_string(p.w[c.cut + 1 : p.k], ' ')
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts
+), inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(w[i : i + n - 1], ' ') AS phrase
+        FROM (SELECT lang, a, w, n, unnest(range(1, k - n + 2)) AS i FROM parted, (SELECT unnest([2, 3]) AS n) WHERE n < k))
+  GROUP BY lang, phrase
+), kept AS (
+  SELECT b.* FROM best AS b LEFT JOIN inside AS i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE place = 1 AND (i.longer IS NULL OR 100 * i.longer < 80 * b.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def _rounds(rounds: int, k: int) -> str:
+    """Whole-number rounds of clustering over (vector, place, value) rows, and the last assignment."""
+    ctes = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), value AS MATERIALIZED (
+  SELECT row, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept
+), c0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS j, unnest(v) AS x
+  FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL) WHERE c < {k}
+)"""
+    for i in range(rounds + 1):
+        ctes += f""", d{i} AS MATERIALIZED (
+  SELECT row, c, sum((value.x - m.x) * (value.x - m.x))::BIGINT AS d FROM value JOIN c{i} AS m USING (j) GROUP BY row, c
+), a{i} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{i} GROUP BY row
+)"""
+        if i < rounds:
+            ctes += f""", c{i + 1} AS MATERIALIZED (
+  SELECT c, j, CASE WHEN n IS NULL THEN m.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM c{i} AS m LEFT JOIN (SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM value JOIN a{i} USING (row) GROUP BY c, j) USING (c, j)
+)"""
+    return f"""{ctes}, named AS (
+  SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY c
+)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN named USING (c)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1,
     "op3_line_dedup": OP3,
     "op5_topk": OP5,
     "op7_url_rules": OP7,
     "op9_sharding": OP9 % _crc32("text"),
+    "op11_neighbours": OP11,
+    "op12_collocations": OP12,
+    "op13_clusters": _rounds(5, 40),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, mixing, pii, secrets, sharding, simhash, topk, toxicity, url_rules
+from . import clustering, collocations, decontamination, line_dedup, mixing, neighbours, pii, secrets, sharding, simhash, topk, toxicity, url_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op9_query(read(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.op11_query(read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op12_query(read(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.op13_query(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -63,4 +75,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_neighbours": op11_neighbours,
+    "op12_collocations": op12_collocations,
+    "op13_clusters": op13_clusters,
 }
