@@ -56,6 +56,20 @@ def upsert(existing: DataFrame, incoming: DataFrame, run_ts: Column, key: str =
     return both.select(*[value(c).alias(c) for c in existing.columns])
 
 
+def changes(existing: DataFrame, incoming: DataFrame, run_ts: Column, key: str = "slug", stage: str = "current_stage") -> DataFrame:
+    """The key, the ``old`` row and the ``new`` row of each incoming record: no old row for an insert, no new one for a
+    delete; a resolved record of an unknown key changes nothing. The new rows are those of ``upsert``. Incoming keys must be
+    unique. Only incoming rows are shuffled onto what they meet, nothing else is returned."""
+    business = [c for c in existing.columns if c not in (*KEPT, "updated_at")]
+    old = existing.select(F.struct("*").alias("old"), F.col(key).alias("_old"))
+    new = incoming.select(F.struct(*business).alias("i"), F.col(key).alias("_new"))
+    fresh = {"id": F.sha2(F.col("_new").cast("string"), 256), "created_at": run_ts, "verification_status": F.lit("verified")}
+    value = {c: F.coalesce(F.col(f"old.{c}"), fresh[c]) for c in KEPT} | {"updated_at": run_ts} | {c: F.col(f"i.{c}") for c in business}
+    row = F.when(~F.coalesce(F.col(f"i.{stage}").isin(*RESOLVED_STAGES), F.lit(False)), F.struct(*[value[c].alias(c) for c in existing.columns]))
+    both = new.join(old, F.col("_old") == F.col("_new"), "left")
+    return both.select(F.col("_new").alias(key), "old", row.alias("new")).where("old is not null or new is not null")
+
+
 def replace_children(existing: DataFrame, incoming: DataFrame, projects: DataFrame, touched: DataFrame, only_if_new: bool = False, key: str = "project_id") -> DataFrame:
     """The next children: those of projects that are still there and were not touched, and the incoming ones.
 

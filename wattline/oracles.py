@@ -288,3 +288,39 @@ ORACLES: dict[str, str] = {
           round(capacity_value, 6) AS capacity_value, applicable, CASE WHEN applicable THEN cost::DOUBLE END AS cost_per_kw FROM shown""",
 }
 ORACLES["csv_export"] = ORACLES["csv_projection"].replace("SELECT name, project_type", "SELECT 'the \"' || name || '\", so called' AS name, project_type")
+
+# ---- what runs maintain
+ORACLES["upsert_buckets"] = ORACLES["upsert_snapshot"]
+_STORED = f"""{_RUNS}, stored AS (
+  SELECT coalesce(s.slug, f.slug) AS slug, coalesce(s.id, f.id) AS id, coalesce(s.fuel_type, f.fuel_type) AS fuel_type, coalesce(s.project_type, f.project_type) AS project_type,
+         coalesce(s.current_stage, f.current_stage) AS current_stage, CASE WHEN s.slug IS NULL THEN f.capacity_value ELSE s.capacity_value END AS capacity_value,
+         coalesce(s.capacity_unit, f.capacity_unit) AS capacity_unit, coalesce(s.is_aggregate, f.is_aggregate) AS is_aggregate
+  FROM first f FULL JOIN second s ON f.slug = s.slug WHERE s.slug IS NULL OR s.current_stage <> 'under_construction'
+), dto AS (
+  SELECT *, {_COST} AS cost, capacity_unit = 'MW' AND {_COST} IS NOT NULL AND capacity_value IS NOT NULL AS applicable FROM stored
+)"""
+# sums of decimals, as the kept ones are; the largest in whole dollars
+_EXACT_STATS = f"""
+SELECT count(*) AS total_projects,
+       round(coalesce(sum(mw), 0)::DOUBLE, 2) AS total_capacity_mw, round(coalesce(sum((capacity_value * 1000 * cost)::DECIMAL(38, 6)) FILTER (applicable), 0)::DOUBLE, 0) AS total_investment,
+       count(*) FILTER (applicable) AS investment_count, round(coalesce(sum(mw) FILTER ({_CLEAN}), 0)::DOUBLE, 2) AS clean_mw, count(mw) FILTER ({_CLEAN}) AS clean_count
+FROM (SELECT *, CASE WHEN capacity_unit = 'MW' THEN capacity_value::DECIMAL(38, 6) END AS mw FROM dto)
+"""
+ORACLES |= {
+    "bucket_children": f"""{_STORED} SELECT child, current_stage AS stage, count(*) AS n, count(DISTINCT slug) AS projects
+        FROM dto JOIN (SELECT unnest(['milestones', 'project_causes', 'project_sources']) AS child) ON child <> 'milestones' OR id % 3 = 0 GROUP BY child, current_stage""",
+    "past_version": f"""{_RUNS} SELECT sha256(slug) AS id, slug, round(capacity_value, 6) AS capacity_value, current_stage, 'verified' AS verification_status,
+        '2001-01-01' AS created_at, '2001-01-01' AS updated_at FROM first""",
+    "change_feed": f"""{_RUNS} SELECT s.slug, CASE WHEN f.slug IS NULL THEN 'insert' WHEN s.current_stage = 'under_construction' THEN 'delete' ELSE 'update' END AS change,
+        f.current_stage AS old_stage, nullif(s.current_stage, 'under_construction') AS new_stage
+        FROM second s LEFT JOIN first f ON f.slug = s.slug WHERE f.slug IS NOT NULL OR s.current_stage <> 'under_construction'""",
+    "delta_stats": f"{_STORED} {_EXACT_STATS} WHERE NOT is_aggregate",
+    "delta_filtered_stats": f"""{_STORED} {_EXACT_STATS} WHERE NOT is_aggregate AND fuel_type IN ('solar', 'nuclear', 'gas')
+        AND current_stage IN ('planned_pre_filing', 'regulatory_approvals_pending') AND project_type = 'generation'""",
+    "state_index": f"""{_STORED} SELECT sha256(slug) AS id, slug, 'S' || id % 50 || ', S' || id % 7 || ',' AS state FROM dto WHERE id % 9 <> 0 AND (id % 50 = 5 OR id % 7 = 5)""",
+}
+ORACLES["stateful_ingest"] = f"""WITH {_proj()}, {_proj(True, "shifted")},
+  base AS (SELECT * FROM proj WHERE current_stage <> 'under_construction'), change AS (SELECT * FROM shifted WHERE id % 5 = 0)
+SELECT coalesce(c.slug, b.slug) AS slug, coalesce(c.current_stage, b.current_stage) AS current_stage, round(CASE WHEN c.slug IS NULL THEN b.capacity_value ELSE c.capacity_value END, 6) AS capacity_value,
+       CASE WHEN b.slug IS NULL THEN '2001-01-02' ELSE '2001-01-01' END AS created_at, CASE WHEN c.slug IS NULL THEN '2001-01-01' ELSE '2001-01-02' END AS updated_at, 2::BIGINT AS versions
+FROM base b FULL JOIN change c ON b.slug = c.slug WHERE c.slug IS NULL OR c.current_stage <> 'under_construction'"""

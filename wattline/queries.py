@@ -248,15 +248,15 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.dedupe_first(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
-def _records(rows: DataFrame) -> DataFrame:
-    """Project-shaped rows as records; every third has milestones."""
+def _records(rows: DataFrame, *more: str) -> DataFrame:
+    """Project-shaped rows as records, with ``more`` of their columns; every third has milestones."""
     key = F.concat(F.lit("orders:"), F.col("id").cast("string"))
     filed = F.col("application_filed_date")
     milestone = F.struct(filed.alias("date"), F.lit("exact").alias("date_confidence"), F.col("current_stage").alias("stage"), F.lit("filed").alias("description"))
     rows = rows.withColumns({"match_key": key, "ordinal": F.col("id"), "sources": F.array(F.struct(F.lit("EIA-860M orders").alias("label"), F.concat(F.lit("https://example.org/"), "slug").alias("url")))})
     rows = rows.withColumn("milestones", F.when(F.col("id") % 3 == 0, F.array(milestone)).otherwise(F.array().cast(N.CHILDREN["milestones"])))
     rows = rows.drop("id")
-    return ST.default_fields(rows, N.RECORD | N.CHILDREN | {"ordinal": "long"})
+    return ST.default_fields(rows, N.RECORD | N.CHILDREN | {"ordinal": "long"} | dict.fromkeys(more, "long"))
 
 
 RUN_1, RUN_2 = "2001-01-01", "2001-02-01"
