@@ -7,11 +7,12 @@ candidates are counted exactly over all shards.
 
 - Words are counted first, exactly. A phrase needs frequent words only, and a bit
   table tells tasks which words may be frequent.
-- Mining: ``SHARDS`` shards, each of many tasks. A task gives hashes of phrases
-  with their counts; Spark adds them up by shard, and those with their share of
-  the support are put into a second bit table. The support is a fixed number, so
-  shards must be few: with as many shards as tasks the lowered support would be
-  less than one, and every phrase a candidate.
+- Mining: ``SHARDS`` shards, to which texts are dealt by hash, each mined by many
+  tasks. A task gives hashes of phrases with their counts; Spark adds them up by
+  shard, and those with their share of the support are put into a bit table:
+  first pairs of words, then longer phrases whose pairs are all in the first one.
+  The support is a fixed number, so shards must be few: with as many shards as
+  tasks the lowered support would be less than one, and every phrase a candidate.
 - Counting: tasks give the texts of phrases that may be candidates, with their
   counts; Spark adds them up, and those below the support go.
 
@@ -33,6 +34,7 @@ read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -54,7 +56,9 @@ PART_OF = 80
 #: Bytes of text that are handled together, more only for a longer piece.
 CHUNK = 1 << 20
 #: Hashes that a task adds up before it gives them on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
+#: Texts that are taken out of a batch together.
+TOGETHER = 1024
 #: Languages that are broadcast with their numbers of words; more are joined.
 FEW_LANGUAGES = 10_000
 
@@ -119,15 +123,19 @@ class Pieces:
         end = self.start[first + n - 1] + self.sizes[first + n - 1]
         return mixed((self.sums[end] - self.sums[begin]) * self.powers.down[begin] ^ self.salt)
 
-    def runs(self, n: int, known: np.ndarray) -> np.ndarray:
-        """First words of all phrases of ``n`` words in one piece that are all known."""
+    def runs(self, n: int, words: Table, pairs: Table | None) -> np.ndarray:
+        """First words of all phrases of ``n`` words in one piece whose words, and pairs of words, are all known."""
         last = len(self.piece) - n + 1
         if last <= 0:
             return np.zeros(0, np.int64)
         fine = self.piece[:last] == self.piece[n - 1 :]
+        known = words.known(self.hashed(np.arange(len(self.piece)), 1))
         for k in range(n):
             fine &= known[k : k + last]
-        return np.flatnonzero(fine)
+        first = np.flatnonzero(fine)
+        for k in range(n - 1 if pairs is not None else 0):
+            first = first[pairs.known(self.hashed(first + k, 2))]
+        return first
 
     def phrases(self, first: np.ndarray, n: int) -> pa.Array:
         begin = self.start[first]
@@ -153,35 +161,44 @@ def chunks(texts: list[bytes]) -> Iterator[bytes]:
         yield b"\n".join(held)
 
 
-def by_language(frame: pa.RecordBatch) -> Iterator[tuple[str, Pieces]]:
-    """The pieces of a batch's texts, of one language at a time."""
-    texts = pc.ascii_lower(frame["_text"]).cast(pa.large_binary())
-    for lang in pc.unique(frame["_lang"]).to_pylist():
-        for data in chunks(texts.filter(pc.equal(frame["_lang"], lang)).to_pylist()):
-            yield lang, Pieces(data)
+def by_language(frame: pa.RecordBatch) -> Iterator[tuple[str, int, Pieces]]:
+    """The pieces of a batch's texts, of one language and shard at a time."""
+    langs, shards = frame["_lang"], frame["_shard"]
+    for lang, shard in sorted(set(zip(langs.to_pylist(), shards.to_pylist(), strict=True))):
+        places = pc.indices_nonzero(pc.and_(pc.equal(langs, lang), pc.equal(shards, shard)))
+        for at in range(0, len(places), TOGETHER):
+            texts = pc.ascii_lower(frame["_text"].take(places[at : at + TOGETHER])).cast(pa.large_binary())
+            for data in chunks(texts.to_pylist()):
+                yield lang, shard, Pieces(data)
 
 
-def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_text <> ''")
+def _texts(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
+    """Each text with its language and its shard, which goes by the text, so that all passes deal alike."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    shard = F.pmod(F.xxhash64(text), F.lit(shards)).cast("int")
+    return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("_lang"), text.alias("_text"), shard.alias("_shard")).where("_text <> ''")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``lang``, ``word``, ``n`` of all words, and a row without a word for each language's number of words."""
+    """``lang``, ``shard``, ``word``, ``n`` of all words (without a shard), and of each language in each shard (without a
+    word)."""
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             held: dict[str, list[pa.Array]] = defaultdict(list)
-            for lang, pieces in by_language(frame):
+            sizes: dict[tuple[str, int], int] = defaultdict(int)
+            for lang, shard, pieces in by_language(frame):
                 held[lang].append(pieces.words())
+                sizes[lang, shard] += len(pieces.sizes)
             for lang, words in held.items():
                 found = pc.value_counts(pa.chunked_array(words))
                 n = found.field("counts").cast(pa.int64())
-                total = pa.array([sum(map(len, words))], pa.int64())
-                both = pa.concat_arrays([found.field("values"), pa.nulls(1, pa.binary())]), pa.concat_arrays([n, total])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * (len(n) + 1), pa.string()), "word": both[0], "n": both[1]})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "shard": pa.nulls(len(n), pa.int32()), "word": found.field("values"), "n": n})
+            langs, shards = [x for x, _ in sizes], [x for _, x in sizes]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "shard": pa.array(shards, pa.int32()), "word": pa.nulls(len(langs), pa.binary()), "n": pa.array(list(sizes.values()), pa.int64())})
 
-    made = texts.mapInArrow(count, "lang string, word binary, n long")
-    return made.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
+    made = texts.mapInArrow(count, "lang string, shard int, word binary, n long")
+    return made.groupBy("lang", "shard", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
 
 
 def salts(lang: str) -> int:
@@ -233,41 +250,45 @@ def added(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return h[first], np.add.reduceat(n, first) if len(h) else n
 
 
-def local_counts(texts: DataFrame, words: np.ndarray, longest: int, shards: int) -> DataFrame:
-    """``lang``, ``shard``, ``hash``, ``n`` of all phrases of known words, and a row without a hash for each shard's number
-    of words in a language. A task's texts are in one shard."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+def cell(lang: str) -> int:
+    """Four bytes for a language. Languages that share them share their shards' parts of the support, which then still
+    make one whole."""
+    return zlib.crc32(lang.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
+def local_counts(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+    """``cell``, ``shard``, ``hash``, ``n`` of all phrases of so many known words, whose pairs of words are all known."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))
 
     def mine(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, powers, shard = Table(shared.value), Powers(), TaskContext.get().partitionId() % shards
-        held: dict[str, tuple[list, list]] = defaultdict(lambda: ([], []))
-        size, total = 0, defaultdict(int)
+        words, pairs = shared.value
+        known, fine_pairs, powers = Table(words), None if pairs is None else Table(pairs), Powers()
+        held: dict[tuple[int, int], tuple[list, list]] = defaultdict(lambda: ([], []))
+        gathered = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (h, n) in held.items():
+            for (c, shard), (h, n) in held.items():
                 h, n = added(h, n)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(h), pa.string()), "shard": pa.array(np.full(len(h), shard), pa.int32()), "hash": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
+                same = lambda x, h=h: pa.array(np.full(len(h), x, np.int32))
+                yield pa.RecordBatch.from_pydict({"cell": same(c), "shard": same(shard), "hash": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
 
         for frame in frames:
-            for lang, pieces in by_language(frame):
-                total[lang] += len(pieces.sizes)
+            for lang, shard, pieces in by_language(frame):
                 pieces.hashes(powers, salts(lang))
-                fine = known.known(pieces.hashed(np.arange(len(pieces.sizes)), 1))
-                here = [pieces.hashed(pieces.runs(k, fine), k) for k in range(2, longest + 1)]
-                h, n = added(here, [np.ones(len(x), np.int64) for x in here])
-                held[lang][0].append(h)
-                held[lang][1].append(n)
-                size += len(h)
-                if size > GATHERED:
+                found = [pieces.hashed(pieces.runs(k, known, fine_pairs), k) for k in sizes]
+                h, n = added(found, [np.ones(len(x), np.int64) for x in found])
+                group = held[cell(lang), shard]
+                group[0].append(h)
+                group[1].append(n)
+                gathered += len(h)
+                if gathered > GATHERED:
                     yield from out()
                     held.clear()
-                    size = 0
+                    gathered = 0
         yield from out()
-        langs = list(total)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "shard": pa.array(np.full(len(langs), shard), pa.int32()), "hash": pa.array([None] * len(langs), pa.int64()), "n": pa.array([total[x] for x in langs], pa.int64())})
 
-    made = texts.mapInArrow(mine, "lang string, shard int, hash long, n long")
-    return made.groupBy("lang", "shard", "hash").agg(F.sum("n").alias("n"))
+    made = texts.mapInArrow(mine, "cell int, shard int, hash long, n long")
+    return made.groupBy("cell", "shard", "hash").agg(F.sum("n").alias("n"))
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -275,28 +296,26 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_LANGUAGES else df
 
 
-def locally_frequent(local: DataFrame, support: int) -> DataFrame:
-    """``hash`` of the phrases that have, in a shard, at least the shard's share of the support."""
-    part = local.where("hash is null").select("lang", "shard", F.col("n").alias("of_shard"))
-    part = few(cut(part.withColumn("of_all", F.sum("of_shard").over(Window.partitionBy("lang")))))
+def locally_frequent(local: DataFrame, parts: DataFrame, support: int) -> DataFrame:
+    """``hash`` of the phrases that have, in a shard, at least the shard's share of the support. ``parts``: cell, shard,
+    of_shard and of_all, the numbers of words."""
     wide = lambda c: F.col(c).cast("decimal(38,0)")
-    met = local.where("hash is not null").join(part, ["lang", "shard"]).where(wide("n") * wide("of_all") >= wide("of_shard") * F.lit(support))
+    met = local.join(parts, ["cell", "shard"]).where(wide("n") * wide("of_all") >= wide("of_shard") * F.lit(support))
     return met.select("hash").distinct()
 
 
-def phrase_counts(texts: DataFrame, words: np.ndarray, wanted: np.ndarray, longest: int) -> DataFrame:
-    """``lang``, ``phrase``, ``words`` and ``a`` of all phrases whose hashes may be wanted; counts are exact."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, wanted))
+def phrase_counts(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, wanted: np.ndarray, longest: int) -> DataFrame:
+    """``lang``, ``phrase``, ``words`` and ``a`` of all phrases that may be candidates; counts are exact."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, pairs, wanted))
 
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, asked, powers = *map(Table, shared.value), Powers()
+        known, fine_pairs, asked, powers = *map(Table, shared.value), Powers()
         for frame in frames:
-            for lang, pieces in by_language(frame):
+            for lang, _, pieces in by_language(frame):
                 pieces.hashes(powers, salts(lang))
-                fine = known.known(pieces.hashed(np.arange(len(pieces.sizes)), 1))
                 for k in range(2, longest + 1):
-                    first = pieces.runs(k, fine)
-                    first = first[asked.known(pieces.hashed(first, k))]
+                    first = pieces.runs(k, known, fine_pairs)
+                    first = first if k == 2 else first[asked.known(pieces.hashed(first, k))]
                     found = pc.value_counts(pieces.phrases(first, k))
                     n = found.field("counts").cast(pa.int64())
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "phrase": found.field("values").cast(pa.binary()), "words": pa.array(np.full(len(n), k), pa.int32()), "n": n})
@@ -357,15 +376,20 @@ def first_of_each(df: DataFrame, key: str, order: list[Column], top: int) -> Dat
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, part_of: int = PART_OF, shards: int = SHARDS) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of the first collocations of each language."""
-    texts = _texts(docs, text_col, lang_col)
+    texts = _texts(docs, text_col, lang_col, shards)
     counted = cut(word_counts(texts).where((F.col("n") >= support) | F.col("word").isNull()))
     frequent_words = counted.where("word is not null")
-    words = bit_table(frequent_words.where(F.col("n") >= support), _word_hashes)
-    local = cut(local_counts(texts, words, longest, shards))
-    wanted = bit_table(locally_frequent(local, support), lambda frame: frame["hash"].to_numpy().view(np.uint64))
-    phrases = phrase_counts(texts, words, wanted, longest).where(F.col("a") >= support)
+    of_shards = counted.where("word is null")
+    cells = (F.crc32("lang") - F.lit(1 << 31)).cast("int").alias("cell")  # as ``cell`` has it
+    parts = of_shards.select(cells, "shard", "n").groupBy("cell", "shard").agg(F.sum("n").alias("of_shard"))
+    parts = few(cut(parts.withColumn("of_all", F.sum("of_shard").over(Window.partitionBy("cell")))))
+    hashes = lambda frame: frame["hash"].to_numpy().view(np.uint64)
+    words = bit_table(frequent_words, _word_hashes)
+    pairs = bit_table(cut(locally_frequent(local_counts(texts, (2,), words), parts, support)), hashes)
+    wanted = pairs if longest < 3 else bit_table(cut(locally_frequent(local_counts(texts, tuple(range(3, longest + 1)), words, pairs), parts, support)), hashes)
+    phrases = phrase_counts(texts, words, pairs, wanted, longest).where(F.col("a") >= support)
     frequent = cut(phrases.unionByName(frequent_words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("a"))))
-    totals = few(counted.where("word is null").select("lang", "n"))
+    totals = few(of_shards.groupBy("lang").agg(F.sum("n").alias("n")))
     kept = scored(frequent, totals).join(contained(frequent, part_of), ["lang", "phrase"], "left_anti")
     ranked = first_of_each(kept.drop("words"), "lang", [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
