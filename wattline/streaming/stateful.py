@@ -13,6 +13,7 @@ from ..plans.normalize import CHILDREN, RECORD
 from ..plans.snapshots import SnapshotStore
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 #: What is remembered of a key: the order of its last write, and a hash of that write.
 REMEMBERED = "written long, digest long"
 #: A write on its way through the state: all else is in ``record``, as JSON that keeps microseconds.
@@ -94,6 +95,13 @@ def stateful_ingest(
             store.apply(from_writes(batch), run_ts, batch=number)
         batch.unpersist()
 
-    query = last.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # with an expiry the operator asks for empty batches without end, and a call would not return; the query takes the
+    # setting when it starts
+    was = spark.conf.get(EMPTY_BATCHES)
+    spark.conf.set(EMPTY_BATCHES, "false")
+    try:
+        query = last.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(EMPTY_BATCHES, was)
     query.awaitTermination()
     return store.version()
