@@ -230,3 +230,25 @@ def test_shard_documents(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
     assert sharding.op9_query(docs(spark, [])).count() == 0
     assert sharding.shard_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_shard_documents_spreads_equal_rows(spark, parts):
+    """Equal rows are dealt to all shards that they fill, rows that differ go where ``place`` puts them."""
+    same = docs(spark, [(1, "the same", "s")] * 1000).repartition(parts)
+    counts = Counter(r["shard"] for r in sharding.shard_documents(same, 8).collect())
+    assert sorted(counts) == list(range(8)) and all(abs(n - 125) <= 8 for n in counts.values())
+    rows = [(i, f"text {i} " * (i % 7), "s") for i in range(300)] + [(150, "x" * 40, "s")] * 300 + [(None, None, "s")] * 40
+    df = docs(spark, rows).repartition(parts)
+    got = sharding.shard_documents(df.withColumn("shard", df["size"]), 8)
+    assert got.columns == df.columns
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert kept == Counter((i, t) for i, t, _ in rows)
+    where = {r["_id"]: r["shard"] for r in sharding.place(df, 8).collect() if r["_id"] not in (150, None)}
+    mine = [(r["doc_id"], r["shard"], len(r["text"] or "") + 1) for r in got.collect()]
+    assert all(where[i] == s for i, s, _ in mine if i in where)
+    size = Counter()
+    for _, s, n in mine:
+        size[s] += n
+    assert max(size.values()) - min(size.values()) <= 0.05 * sum(size.values())
+    assert sharding.shard_documents(docs(spark, []), 8).count() == 0

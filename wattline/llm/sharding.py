@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .sweep import ordered, running
 
 KEY = ["_id", "_crc", "_size"]
@@ -44,18 +45,40 @@ def place(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     return at.join(F.broadcast(firsts), "shard").select(*KEY, "shard", (F.col("_row") - F.col("_first")).alias("slot"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all their columns and ``shard``. The cuts (one key a shard) are the only thing that
-    returns to the driver; the texts stay where they are. Rows that equal a cut in id and text fall behind it."""
-    placed = place(docs, n_shards, id_col, text_col)
-    cuts = [r[0] for r in placed.groupBy("shard").agg(F.min(F.struct(*KEY)).alias("key")).where("shard > 0").orderBy("shard").select("key").collect()]
-    kind = dict(docs.dtypes)[id_col]
+#: Rows that equal a cut are dealt by this many equal steps, ``STEP`` (the golden ratio of them) apart for rows in turn.
+STEPS, STEP = 1 << 20, 648055
 
-    def behind(cut) -> Column:
-        key = F.struct(*_key(id_col, text_col))
-        return (key >= F.struct(F.lit(cut[0]).cast(kind).alias("_id"), F.lit(cut[1]).cast("long").alias("_crc"), F.lit(cut[2]).cast("long").alias("_size"))).cast("int")
 
-    return docs.withColumn("shard", reduce(lambda a, b: a + b, map(behind, cuts), F.lit(0)))
+def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns and ``shard``. What returns to the driver are the cuts: the first key of each
+    shard, and how the rows of these keys are dealt to shards (at most two numbers a shard). The texts stay where they are.
+
+    Rows that equal a cut in id and text are dealt to the shards that such rows have, in the same shares, by where they are
+    read: a large group of equal rows is spread like any others."""
+    placed = cut(place(docs, n_shards, id_col, text_col))
+    firsts = placed.groupBy("shard").agg(F.min(F.struct(*KEY)).alias("k")).where("shard > 0").select("k.*").distinct()
+    # one row for each shard at most
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY]
+    at_cuts = placed.alias("p").join(F.broadcast(firsts).alias("f"), reduce(lambda a, b: a & b, same)).groupBy(*[f"p.{c}" for c in KEY], "p.shard").agg(F.count("*").alias("n"))
+    shares: dict[tuple, dict[int, int]] = {}
+    for r in at_cuts.collect():
+        shares.setdefault(tuple(r[c] for c in KEY), {})[r["shard"]] = r["n"]
+    kind = dict(docs.dtypes)[id_col]
+    turn = F.pmod(F.pmod(F.monotonically_increasing_id(), F.lit(STEPS)) * STEP, F.lit(STEPS))
+    rows, key = docs.select(F.struct("*").alias("_doc"), *_key(id_col, text_col), turn.alias("_turn")), F.struct(*KEY)
+    shard = F.lit(0)
+    for values, by_shard in sorted(shares.items(), key=lambda x: max(x[1])):
+        here = F.struct(F.lit(values[0]).cast(kind).alias("_id"), F.lit(values[1]).cast("long").alias("_crc"), F.lit(values[2]).cast("long").alias("_size"))
+        total, before, dealt = sum(by_shard.values()), 0, F.lit(None).cast("int")
+        ends = []
+        for s, n in sorted(by_shard.items()):
+            before += n
+            ends.append((before * STEPS // total, s))
+        for end, s in reversed(ends):
+            dealt = F.when(F.col("_turn") < end, F.lit(s)).otherwise(dealt)
+        shard = F.when(key > here, F.lit(max(by_shard))).when(key == here, dealt).otherwise(shard)
+    names = docs.columns if "shard" in docs.columns else [*docs.columns, "shard"]
+    return rows.select(*[shard.alias(c) if c == "shard" else F.col(f"_doc.`{c}`") for c in names])
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, **columns: str) -> None:
