@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import presets as P
 from .operators import deltas
 from .operators import filters as FI
+from .operators import lookups as L
+from .operators import readmodel as R
 from .plans.buckets import BucketStore
-from .queries import RUN_1, RUN_2, _records, proj, shared_folder
+from .plans.observed import land
+from .queries import RUN_1, RUN_2, _records, cut, dto, proj, shared_folder
+from .sources import dims as D
+from .sources.dashboard import land_by_sector, scan_sectors
+from .sources.readers import DASHBOARD_SCHEMA, ORDINAL
 from .streaming.stateful import stateful_ingest
 
 BUCKETS = 16
@@ -103,6 +110,69 @@ def stateful_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slug", "current_stage", F.round("capacity_value", 6).alias("capacity_value"), day("created_at"), day("updated_at"), F.lit(store.version()).cast("long").alias("versions"))
 
 
+def seek_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three pages of each of the six orders, in both directions, each page found from where the last one ended."""
+    rows = dto(spark, sf_dir, states=False).withColumn("state", F.when(F.col("id") % 4 != 0, F.concat(F.lit("S"), (F.col("id") % 50).cast("string"))))
+    for key, dim, out in (("fuel_type", D.FUEL_TYPES, "fuel_label"), ("current_stage", D.STAGES, "stage_label")):
+        rows = L.label_lookup(rows, D.labels(spark, dim), key, "value", "label", out)
+    rows = cut(rows.select("id", "created_at", "name", "state", "days_waiting", "capacity_value", "fuel_label", "stage_label"))
+    pages = None
+    for key in ("name", "fuel", "state", "daysWaiting", "capacity", "stage"):
+        for descending in (False, True):
+            at = None
+            for number in (1, 2, 3):
+                page = R.page_after(rows, key, descending, at, 8)
+                at = R.cursor_of(page, key, descending)
+                shown = page.select(F.lit(key).alias("key"), F.lit(descending).alias("descending"), F.lit(number).alias("page"), "id")
+                pages = shown if pages is None else pages.unionByName(shown)
+    return pages
+
+
+def sheet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as relicensing sheets whose files differ in the order of their columns, with cells of two lines and a
+    broken line for some; read back and normalised."""
+    key, folder = F.col("id"), shared_folder(spark, "sheets")
+    rows = proj(spark, sf_dir, states=False)
+    cells = {h[0]: F.lit(None).cast("string") for h in P.HEADERS["ornlHydro"].values()}
+    cells |= {
+        "FERC_docket": F.concat(F.lit("P-"), key.cast("string")), "Project_name": F.concat(F.lit('Dam "A",\n'), "name"), "State": F.lit("WA"), "Status": F.lit("Pending Relicense"),
+        "Capacity_new_MW": F.when(key % 3 == 0, F.format_number("capacity_value", 5)).otherwise(F.round("capacity_value", 5).cast("string")), "Application_date": F.date_format("application_filed_date", "yyyy-MM-dd"),
+    }
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    for i, names in enumerate((list(cells), list(cells)[::-1])):
+        line = F.concat_ws(",", *[quoted(cells[n]) for n in names])
+        lines = F.when(key % 41 == i, F.array(line, F.lit('"lost quote'))).otherwise(F.array(line))
+        first = F.monotonically_increasing_id() % (1 << 33) == 0  # of each file
+        part = rows.where(key % 2 == i).select(first.alias("first"), lines.alias("lines"))
+        part.select(F.explode(F.when(F.col("first"), F.concat(F.array(F.lit(",".join(names))), "lines")).otherwise(F.col("lines")))).write.mode("append").text(folder)
+    out = land(spark, "ornlHydro", folder, shared_folder(spark, "landed"))
+    counts = out.summary.first()
+    shown = out.records.select("source_id", "name", "capacity_value", F.date_format("application_filed_date", "yyyy-MM-dd").alias("filed"))
+    return shown.withColumns({"errors": F.lit(counts["errors"]).cast("long"), "below_floor": F.lit(counts["skipped_below_floor"]).cast("long")})
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as the dashboard's JSON, some lines cut off; what went on, what was kept back and why."""
+    key, folder = F.col("id"), shared_folder(spark, "dashboard")
+    line = F.to_json(F.struct(key.cast("string").alias("project_id"), F.when(key % 13 != 0, F.concat(F.lit("Solar "), key.cast("string"))).alias("project_title"),
+        F.lit("Renewable Energy Production").alias("project_sector"), F.when(key % 4 == 0, "Complete").otherwise("Paused").alias("project_field_project_status")))
+    proj(spark, sf_dir, states=False).select(F.when(key % 17 == 0, F.substring(line, 1, 30)).otherwise(line).alias("line")).write.text(folder)
+    out = land(spark, "permittingDashboard", folder, shared_folder(spark, "landed"))
+    kept = out.quarantine.agg(F.count_if(F.col("message") == "no row of the dataset").alias("unread"), F.count_if(F.col("text").startswith("{") & F.col("file").isNotNull()).alias("with_text"))
+    return kept.withColumns({c: F.lit(n).cast("long") for c, n in out.summary.first().asDict().items()})
+
+
+def sector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as the dashboard's rows by sector; a scan of two of six sectors."""
+    key, folder = F.col("id"), shared_folder(spark, "sectors")
+    sector = F.element_at(F.array(*[F.lit(x) for x in [*P.SECTOR_TYPE, "Ports"]]), (key % 6 + 1).cast("int"))
+    given = {"project_id": key.cast("string"), "project_title": F.col("name"), "project_sector": sector}
+    place = F.struct(F.lit("orders").alias("file"), F.lit(0).cast("long").alias("block"), key.alias("line")).alias(ORDINAL)
+    rows = proj(spark, sf_dir, states=False).select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in DASHBOARD_SCHEMA], place)
+    land_by_sector(rows, folder)
+    return scan_sectors(spark, folder, ["Pipelines", "Ports"]).select("project_id", "project_title", "project_sector")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (upsert_buckets, bucket_children, past_version, change_feed, delta_stats, delta_filtered_stats, state_index)
+    f.__name__: f for f in (upsert_buckets, bucket_children, past_version, change_feed, delta_stats, delta_filtered_stats, state_index, seek_pages, sheet_source, quarantine, sector_scan)
 } | {"stateful_ingest": stateful_ingest_query}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +143,56 @@ def page(ordered: DataFrame, offset: int, limit: int) -> DataFrame:
     return ordered.offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where a page ended: the sort value, the creation time and the id of its last row."""
+
+    value: object
+    created_at: datetime
+    id: object
+
+
+def _sort_value(key: str) -> tuple[Column, bool]:
+    """What an order sorts by, and whether it is text."""
+    text = {"name": F.col("name"), "fuel": F.col("fuel_label"), "state": F.coalesce("state", F.lit("")), "stage": F.col("stage_label")}
+    number = {"daysWaiting": F.col("days_waiting"), "capacity": F.col("capacity_value")}
+    return (text[key], True) if key in text else (F.coalesce(number[key], F.lit(-1)), False)
+
+
+def after(key: str, descending: bool, at: Cursor) -> Column:
+    """Rows that an order (of ``sort_columns``) puts after a row; ids and creation times are never null.
+
+    For capacities the bound is also given in the column itself, which a scan can use to skip rows."""
+    value, is_text = _sort_value(key)
+    value = F.collate(value, "UNICODE") if is_text else value
+    later = (F.col("created_at") > F.lit(at.created_at)) | ((F.col("created_at") == F.lit(at.created_at)) & (F.col("id") > F.lit(at.id)))
+    if at.value is None:  # nulls are first in ascending order and last in descending order
+        return value.isNull() & later if descending else value.isNotNull() | later
+    bound = F.collate(F.lit(at.value), "UNICODE") if is_text else F.lit(at.value)
+    beyond = (value < bound) | value.isNull() if descending else value > bound
+    out = beyond | ((value == bound) & later)
+    if key == "capacity":
+        column = F.col("capacity_value")
+        if descending:
+            out = ((column <= bound) | column.isNull()) & out
+        elif at.value > -1:
+            out = (column >= bound) & out
+    return out
+
+
+def page_after(dto: DataFrame, key: str, descending: bool, at: Cursor | None, limit: int) -> DataFrame:
+    """The first rows of an order, or those after a cursor: no page costs more than the first one. A row that is added or
+    removed before the cursor moves no other row from page to page."""
+    return sort_projects(dto if at is None else dto.where(after(key, descending, at)), key, descending).limit(limit)
+
+
+def cursor_of(page: DataFrame, key: str, descending: bool) -> Cursor | None:
+    """Where a page ends; None where it is empty."""
+    value, _ = _sort_value(key)
+    rows = sort_projects(page, key, descending).select(value.alias("value"), "created_at", "id").collect()  # as many as the page's limit
+    return Cursor(rows[-1]["value"], rows[-1]["created_at"], rows[-1]["id"]) if rows else None
+
+
 def map_points(dto: DataFrame, centroids: Column) -> DataFrame:
     """lon, lat, approximate and radius of each project that can be placed: at its site, else amid its states."""
     amid = multi_state_centroid(F.col("state"), centroids)

@@ -324,3 +324,17 @@ ORACLES["stateful_ingest"] = f"""WITH {_proj()}, {_proj(True, "shifted")},
 SELECT coalesce(c.slug, b.slug) AS slug, coalesce(c.current_stage, b.current_stage) AS current_stage, round(CASE WHEN c.slug IS NULL THEN b.capacity_value ELSE c.capacity_value END, 6) AS capacity_value,
        CASE WHEN b.slug IS NULL THEN '2001-01-02' ELSE '2001-01-01' END AS created_at, CASE WHEN c.slug IS NULL THEN '2001-01-01' ELSE '2001-01-02' END AS updated_at, 2::BIGINT AS versions
 FROM base b FULL JOIN change c ON b.slug = c.slug WHERE c.slug IS NULL OR c.current_stage <> 'under_construction'"""
+ORACLES |= {
+    "seek_pages": f"""{_BASE}, rows AS (
+          SELECT *, CASE WHEN id % 4 <> 0 THEN 'S' || id % 50 ELSE '' END AS state, {_map_cases("fuel_type", D.FUEL_TYPES, "")} AS fuel_label, {_map_cases("current_stage", D.STAGES, "")} AS stage_label FROM dto)
+        """ + " UNION ALL ".join(
+            f"(SELECT '{key}' AS key, {down == 'DESC'} AS descending, ((row_number() OVER (ORDER BY {col} {down}, created_at, id) - 1) // 8 + 1)::INTEGER AS page, id FROM rows ORDER BY {col} {down}, created_at, id LIMIT 24)"
+            for key, col in (("name", "name"), ("fuel", "fuel_label"), ("state", "state"), ("daysWaiting", "coalesce(days, -1)"), ("capacity", "coalesce(capacity_value, -1)"), ("stage", "stage_label")) for down in ("ASC", "DESC")
+        ),
+    "sheet_source": f"""{_BASE} SELECT 'P-' || id AS source_id, 'Dam "A",' || chr(10) || name || ' (FERC No. P-' || id || ')' AS name, round(capacity_value, 5) AS capacity_value, strftime(filed, '%Y-%m-%d') AS filed,
+        (SELECT count(*) FILTER (id % 41 = id % 2) FROM dto) AS errors, (SELECT count(*) FILTER (round(capacity_value, 5) < 250) FROM dto) AS below_floor FROM dto WHERE NOT coalesce(round(capacity_value, 5) < 250, false)""",
+    "quarantine": f"""{_BASE}, landed AS (SELECT *, id % 17 = 0 AS cut, id % 13 = 0 AS unnamed, id % 4 = 0 AS gone FROM dto)
+        SELECT count(*) FILTER (NOT cut AND NOT unnamed AND NOT gone) AS upserted, count(*) FILTER (NOT cut AND NOT unnamed AND gone) AS removed_resolved, 0::BIGINT AS skipped_below_floor, 0::BIGINT AS skipped_not_waiting,
+          0::BIGINT AS skipped_not_active, 0::BIGINT AS skipped_already_cleared, count(*) FILTER (cut OR unnamed) AS errors, count(*) FILTER (cut) AS unread, count(*) FILTER (cut) AS with_text FROM landed""",
+    "sector_scan": f"{_BASE} SELECT id::VARCHAR AS project_id, name AS project_title, CASE id % 6 WHEN 5 THEN 'Ports' ELSE 'Pipelines' END AS project_sector FROM dto WHERE id % 6 IN (2, 5)",
+}
