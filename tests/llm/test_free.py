@@ -803,3 +803,53 @@ def test_pipeline(spark, tmp_path):
         assert docs_now.columns == frame.columns
         kept.append(docs_now.count())
     assert kept[0] >= 350 + 36 and kept[1] <= kept[0] - 30 and kept[2] == kept[1] - 1
+
+
+# ------------------------------------------------------------------ secrets in nested encodings
+
+
+def _lines(data, width=76):
+    body = base64.b64encode(data).decode()
+    return "\n".join(body[i : i + width] for i in range(0, len(body), width))
+
+
+WRAPPERS = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "bytes": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+    "references": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(),
+    "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    "wrapped": lambda t: _lines(t.encode()),
+    "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+    "members": lambda t: base64.b64encode(gzip.compress(b"first member ") + gzip.compress(t.encode()) + gzip.compress(b" third")).decode(),
+    "split members": lambda t: _lines(b"".join(gzip.compress(t[i : i + 7].encode()) for i in range(0, len(t), 7))),
+    "utf-16": lambda t: base64.b64encode(t.encode("utf-16")).decode(),
+    "utf-16-be": lambda t: _lines(t.encode("utf-16-be")),
+}
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_secrets_in_any_nesting(seed):
+    """A secret under up to four layers, any way up: it is found, and its span is in what stands for it."""
+    rng = random.Random(seed)
+    secret, kind = rng.choice([('password = "hunter2hunter2"', 0), ("AKIA" + "ABCD1234EFGH5678", 1), ("0123456789abcdef" * 2, 2)])
+    text, lines = f"some words before {secret} and some after it", False
+    for _ in range(rng.randrange(1, 5)):
+        name = rng.choice([w for w in WRAPPERS if len(text) < 4000 or w in ("gzip", "zlib", "base64")])
+        text = WRAPPERS[name](text)
+        lines = lines or "\n" in text  # of such nothing else stands in the last line
+        if rng.random() < 0.5:
+            text = f"see:\n{text}\nso." if lines else f"see: {text} ."
+    whole = f"A line of text.\n{text}\nThe end."
+    begin, end = whole.index(text), whole.index(text) + len(text)
+    _, found = secrets.find(whole)
+    assert any(k == kind and begin <= a and b <= end for a, k, b in found)
+
+
+def test_wrapped_lines_that_are_equal():
+    data = b"0123456789" * 30 + b" password=hunter2hunter2 " + b"0123456789" * 30
+    whole = "-----\n" + _lines(data, 40) + "\n-----"
+    _, found = secrets.find(whole)
+    assert any(k == 0 for _, k, _ in found)

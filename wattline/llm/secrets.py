@@ -1,4 +1,4 @@
-"""Secrets in texts and in what is encoded in them.
+r"""Secrets in texts and in what is encoded in them.
 
 Every text is a worklist of layers, starting with itself. A layer is searched
 for secrets and for encoded parts: percent and Unicode escapes give a layer in
@@ -13,6 +13,11 @@ once; encoded data that is not UTF-8 is read as Latin-1; the searches take time
 in proportion to the text and to what it unfolds to; a compressed part is
 searched ``MAX_UNFOLDED`` bytes at a time; base64 may begin behind a path or
 prefix, and may be wrapped in lines; other columns are not read.
+
+In scope are: percent escapes; the escapes ``\u``, ``\u{}``, ``\U`` and ``\x``; numeric character references; base64 of
+both alphabets, in lines of 40 characters and more (the last one followed by nothing in its line) or unbroken; in it gzip (of several members), zlib and deflate data, UTF-8
+and UTF-16. Out of scope are: named references, octal escapes, other bases than 64, base64 in lines of under 40 characters
+or behind quote marks as a whole (its lines are searched one by one), other compressions, and encryption.
 """
 
 from __future__ import annotations
@@ -115,20 +120,38 @@ def _unescaped(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
 
 
 def _unfold(data: bytes) -> Iterator[bytes]:
-    """What gzip, zlib or raw deflate data holds, MAX_UNFOLDED bytes at a time, as far as it is whole."""
+    """What gzip, zlib or raw deflate data holds, MAX_UNFOLDED bytes at a time, as far as it is whole; of gzip and zlib data
+    one member after the other."""
     for bits in (47, -15):
-        unfolder, some = zlib.decompressobj(bits), False
+        rest, some = data, False
         try:
-            while out := unfolder.decompress(data, MAX_UNFOLDED):
-                some = True
-                yield out
-                data = unfolder.unconsumed_tail
+            while rest:
+                unfolder = zlib.decompressobj(bits)
+                while out := unfolder.decompress(rest, MAX_UNFOLDED):
+                    some = True
+                    yield out
+                    rest = unfolder.unconsumed_tail
+                rest = unfolder.unused_data if unfolder.eof and bits > 0 else b""
         except zlib.error:
             pass
         if some:
             return
 
 
+def _wide(data: bytes) -> str | None:
+    """The text of UTF-16 data: such as begins with a byte order mark, or has a NUL in most pairs, always on one side."""
+    data = data[: len(data) // 2 * 2]
+    if len(data) < 4:
+        return None
+    low, high = data[1::2].count(0), data[::2].count(0)
+    marked = data[:2] in (b"\xff\xfe", b"\xfe\xff")
+    kind = "utf-16" if marked else "utf-16-le" if not high and 2 * low > len(data) // 2 else "utf-16-be" if not low and 2 * high > len(data) // 2 else None
+    try:
+        return kind and data.decode(kind)
+    except UnicodeDecodeError:
+        return None
+
+
 def _is_plain(text: str) -> bool:
     return text.isprintable() or all(c.isprintable() or c in "\t\n\r" for c in text)
 
@@ -139,19 +162,28 @@ def _payload(data: bytes) -> Iterator[str]:
     seen: set[bytes] = set()
     while data not in seen:
         seen.add(data)
+        if text := _wide(data):
+            yield text
+            return
         try:
             text = data.decode()
         except UnicodeDecodeError:
             text = data.decode("latin-1")
         parts = iter(()) if _is_plain(text) else _unfold(data)
-        if (first := next(parts, None)) is None:
-            yield text
-            return
-        if (second := next(parts, None)) is None:
-            data = first
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size > MAX_UNFOLDED:
+                break
+        else:
+            if not held:
+                yield text
+                return
+            data = b"".join(held)
             continue
         rest = b""
-        for part in chain((first, second), parts):
+        for part in chain(held, parts):
             yield (rest + part).decode("utf-8", "replace")
             rest = part[-OVERLAP:]
         return
@@ -178,6 +210,9 @@ def _decoded(run: str) -> Iterator[tuple[int, str]]:
     is none, the run is read at all four offsets."""
     body = run.rstrip("=").translate(STANDARD)
     at = [_bytes(body[k:]) for k in range(4)]
+    if len(body) % 4 != 1 and (text := _wide(at[0])):
+        yield 0, text
+        return
     try:
         if len(body) % 4 != 1 and (text := at[0].decode()):
             yield 0, text
@@ -200,23 +235,27 @@ def _decoded(run: str) -> Iterator[tuple[int, str]]:
             if next(_unfold(data), None):
                 yield from ((s, text) for text in _payload(data))
                 return
+        elif len(body) % 4 != (s + 1) % 4 and (text := _wide(at[s % 4][skip:])):
+            yield s, text
+            return
     for data in at:
         yield 0, data.decode("latin-1")
 
 
 def _wrapped(layer: str) -> Iterator[tuple[list[tuple[int, int]], bytes]]:
-    """Lines (start, end) of base64 that was wrapped, and their bytes: all but the last are equally long, none is repeated."""
+    """Lines (start, end) of base64 that was wrapped, and their bytes, where these are plain text or hold folded data or
+    UTF-16: all lines but the last are equally long."""
     for m in WRAPPED.finditer(layer):
         lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m.group())]
         width = lines[0][1] - lines[0][0]
         full = next((i for i, (a, b) in enumerate(lines) if b - a != width), len(lines))
-        if width % 4 or len({layer[a:b] for a, b in lines[:full]}) < full:
+        if width % 4:
             continue
         for n in (full + 1, full) if full < len(lines) and lines[full][1] - lines[full][0] < width else (full,):
             body = "".join(layer[a:b] for a, b in lines[:n]).rstrip("=").translate(STANDARD)
             if n > 1 and len(body) % 4 != 1:
                 data = _bytes(body)
-                if not _plain_from(data) or next(_unfold(data), None):
+                if not _plain_from(data) or _wide(data) or next(_unfold(data), None):
                     yield lines[:n], data
                     break
 
