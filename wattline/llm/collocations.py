@@ -54,7 +54,7 @@ LONGEST, SUPPORT, TOP = 4, 30, 2000
 #: A phrase is part of a longer one if that has so many hundredths of its occurrences.
 PART_OF = 80
 #: Bytes of text that are handled together, more only for a longer piece.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Hashes that a task adds up before it gives them on.
 GATHERED = 1 << 20
 #: Texts that are taken out of a batch together.
