@@ -616,10 +616,10 @@ def test_runs_hold_all_windows(monkeypatch):
 
 def test_candidates_are_looked_up_by_blocks(spark):
     """All fingerprints within the radius are found, whatever bits differ, and no others."""
-    rng = random.Random(12)
+    rng, radius = random.Random(12), decontamination.RADIUS
     signed = lambda x: (x ^ (1 << 63)) - (1 << 63)
     items = [rng.getrandbits(64) for _ in range(6)]
-    windows = [(f"r{i}-{n}-{k}", signed(x ^ sum(1 << b for b in rng.sample(range(64), n)))) for i, x in enumerate(items) for n in (0, 1, 9, 23, 24, 25, 30) for k in range(3)]
+    windows = [(f"r{i}-{n}-{k}", signed(x ^ sum(1 << b for b in rng.sample(range(64), n)))) for i, x in enumerate(items) for n in (0, 1, 9, radius - 1, radius, radius + 1, 30) for k in range(3)]
     contents = spark.createDataFrame([(f"c{i}", 5, 20, [1], signed(x)) for i, x in enumerate(items)], "content string, width long, length long, own array<long>, fp long")
     frame = spark.createDataFrame([(r, 5, 20, 0, f) for r, f in windows] + [("other", 5, 21, 0, signed(items[0]))], "run string, width long, length long, at long, fp long")
     got = {(r["run"], r["content"]) for r in decontamination.candidates(frame, contents).collect()}
@@ -637,16 +637,29 @@ def test_kinds_of_ids(spark, kind):
     assert sorted((float(r["doc_id"]), -1.0 if r["item_id"] is None else float(r["item_id"])) for r in got.collect()) == sorted(2 * [(0.0, -1.0), *((float(i), float(i)) for i in range(4))])
 
 
+def test_index_prunes_unlike_items(spark):
+    """Of unlike windows and items of one length the lookups meet less than a fifth, and no key holds many rows."""
+    rng = random.Random(31)
+    fps = lambda n: [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    contents = spark.createDataFrame([(f"c{i}", 5, 20, [1], f) for i, f in enumerate(fps(600))], "content string, width long, length long, own array<long>, fp long")
+    frame = spark.createDataFrame([(f"r{i}", 5, 20, 0, f) for i, f in enumerate(fps(300))], "run string, width long, length long, at long, fp long")
+    keys = [r["count"] for r in decontamination.lookups(frame, contents).groupBy("block", "value").count().collect()]
+    assert 0 < sum(keys) < 600 * 300 / 5
+    assert max(keys) < 600 * 300 / 500
+
+
 def test_radius_keeps_similar_windows():
-    """Fingerprints of similar shingle sets stay within the radius."""
-    rng = np.random.default_rng(0)
-    for _ in range(2000):
-        n = int(rng.integers(11, 56))
-        a = rng.integers(0, 2**63, n, dtype=np.uint64)
-        b = a.copy()
-        b[: n // 9] = rng.integers(0, 2**63, n // 9, dtype=np.uint64)
-        pa, pb = (decontamination.prints(x, np.array([0]), n)[0] for x in (a, b))
-        assert np.bitwise_count(pa ^ pb) <= decontamination.RADIUS
+    """Of fingerprints of shingle sets at 0.8 at most one in 1,000 pairs is outside the radius, and of more similar ones none."""
+    rng, outside = np.random.default_rng(0), {9: 0, 18: 0}
+    for part in outside:
+        for _ in range(10_000):
+            n = int(rng.integers(18, 56))
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = a.copy()
+            b[: n // part] = rng.integers(0, 2**63, n // part, dtype=np.uint64)
+            pa, pb = (decontamination.prints(x, np.array([0]), n)[0] for x in (a, b))
+            outside[part] += int(np.bitwise_count(pa ^ pb) > decontamination.RADIUS)
+    assert outside[9] <= 10 and outside[18] == 0, outside
 
 
 # ------------------------------------------------------------------ toxicity
