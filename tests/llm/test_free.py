@@ -707,6 +707,13 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert score(labels) == score(flipped)
 
 
+def test_long_labelled_text_keeps_no_other_out(spark):
+    rows = [(i, i % 2, [f"w{j}" for j in range(1000 if i in (3, 4) else 5)]) for i in range(40)]
+    sample = spark.createDataFrame([(i, t, w, [1] * len(w)) for i, t, w in rows], "doc_id long, toxic int, words array<string>, counts array<long>")
+    assert {r["doc_id"] for r in toxicity._examples(sample, 64, 400)} == set(range(40)) - {3, 4}
+    assert len(toxicity._examples(sample, 8, 400)) == 8 and sum(r["toxic"] for r in toxicity._examples(sample, 8, 400)) == 4
+
+
 def test_toxicity_empty(spark):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.op2_query(docs(spark, []), none).count() == 0

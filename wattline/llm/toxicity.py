@@ -279,18 +279,17 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
 
 def _examples(sample: DataFrame, index_rows: int, fit_entries: int) -> list:
     """Rows of the sample for the index, by hash: toxic ones up to a half, then clean ones; of each kind no more than have half
-    of ``fit_entries`` words."""
+    of ``fit_entries`` words, and a longer text does not keep later ones out."""
     h = F.xxhash64(F.lit("draw"), "doc_id")
     sizes = sample.where("size(words) > 0").select("doc_id", "toxic", F.size("words").alias("n"), h.alias("h")).orderBy("h", "doc_id").toArrow().to_pylist()
     chosen: list = []
     for toxic, room in ((1, index_rows // 2), (0, None)):
         room, words = index_rows - len(chosen) if room is None else room, 0
         for r in sizes:
-            words += r["n"] if r["toxic"] == toxic else 0
-            if not room or words > fit_entries // 2:
-                break
-            if r["toxic"] == toxic:
+            # a text that finds no room is passed over, later ones still may
+            if r["toxic"] == toxic and room and words + r["n"] <= fit_entries // 2:
                 chosen.append(r["doc_id"])
+                words += r["n"]
                 room -= 1
     # bounded by index_rows
     ids = F.broadcast(sample.sparkSession.createDataFrame([(i,) for i in chosen], sample.select("doc_id").schema))
