@@ -5,18 +5,21 @@ spans, in windows drawn from all documents, label the training windows of the
 tagger; varied forms of the same values (other separators, missing signs) are
 put into further windows, so that the tagger learns to find what the forms do
 not, and so are numbers that are no personal data (dates, times, prices,
-versions, counts); windows that may hold such a varied form unlabelled are left
+versions, counts, ranges of years, book and article numbers, coordinates);
+windows that may hold such a varied form unlabelled are left
 out. Every text is then cut into overlapping windows; each is
 decoded, and every character takes its label from the window in whose middle it
-stands most. A tagged span must hold a digit or an @, and each of its characters
-must be within ``REACH`` of one; so only the windows that hold one and their
-neighbours are decoded, and that the others change nothing is tested.
+stands most. A tagged span must hold a digit, an @ or a bracketed "at", and each
+of its characters must be within ``REACH`` of one; so only the windows that hold
+one and their neighbours are decoded, and that the others change nothing is tested.
 
 Edge cases: a null text is empty; base spans always stay, and a tagged span that
 touches one is dropped; of equal starts the kinds keep their order; a tagged span
-that cuts a word or number is dropped, and one without what all values of its
-kind have (an @; four numbers; 12 to 19 digits; 7 to 15 digits); without any
-labelled window nothing is added; other columns are not read.
+that cuts a word or number is dropped; its kind is the tagged one if the value
+can be of that kind once its separators are undone (an address; four numbers of
+255 at most; 14 to 19 digits with a right check digit; 10 to 15 digits), else the
+one other kind that it can be of, else it is dropped; without any labelled window
+nothing is added; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from itertools import cycle, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, cut
@@ -43,9 +46,16 @@ IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+#: What stands for an @ or a dot in an address.
+AT = re.compile(r"\s*+(?:@|[(\[{<]\s?(?:at|@)\s?[)\]}>])\s*+", re.I)
+DOT = re.compile(r"\s++\.\s++|\s*+[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s*+", re.I)
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: What a tagged part of a value is widened to, where it is no value itself.
+ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]++(?:{AT.pattern})[A-Za-z0-9-]++(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]++)++", re.I)
+NUMBERS = re.compile(r"[(\[]?[0-9]++(?:[^0-9A-Za-z,;\n]{1,4}[0-9]++)*+")
+TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]", re.I)
 #: What may be a value in another form: an @, or three numbers with signs between.
-UNSURE = re.compile(r"@|[0-9]++(?:[^0-9A-Za-z]{1,4}[0-9]++){2}")
+UNSURE = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|[0-9]++(?:[^0-9A-Za-z]{1,4}[0-9]++){2}", re.I)
 
 #: Characters in a window, and from one window to the next.
 WINDOW, STEP = 64, 32
@@ -56,8 +66,10 @@ FIT_WINDOWS = 768
 #: Further windows: with varied forms of a span's value, for each kind, and with numbers of other sorts; about so many however
 #: few windows there are.
 VARIED, OTHER = 512, 768
+#: No span counts as less likely by this (a logarithm) than it was trained: what is no value is dropped afterwards.
+LEAN = 0.75
 #: State of each direction of the tagger.
-HIDDEN = 24
+HIDDEN = 32
 
 Span = tuple[int, int, int]
 
@@ -123,6 +135,10 @@ def _fit_windows(texts: Iterator[str]) -> Iterator[tuple[str, str]]:
             yield text[lo:hi], "".join(map(str, labels(hi - lo, inside)))
 
 
+def _digits(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
 def _varied(value: str, kind: int, rng: random.Random, words: list[str]) -> str:
     """Another way to write a value of a kind; names are made of the texts' own words, so that these do not give them away."""
     if kind == 0:
@@ -130,28 +146,60 @@ def _varied(value: str, kind: int, rng: random.Random, words: list[str]) -> str:
             w, n = lambda: rng.choice(words), lambda: str(rng.randrange(100)) if rng.random() < 0.5 else ""
             name = rng.choice([value.split("@")[0], f"{w()}{n()}", f"{w()}.{w()}{n()}", f"{w()}_{w()}", f"{w()[:1]}.{w()}{n()}"])
             value = f"{name}@{w()}{rng.choice(['', n(), '-' + w(), '.' + w()])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io'])}"
-        return value.replace("@", rng.choice([" @ ", "@ ", " @"]))
+        name, host = value.split("@", 1)
+        inner, outer = rng.choice(["", "", " "]), rng.choice(["", " "])
+        put = lambda sign: outer + rng.choice(["(%s)", "[%s]", "{%s}", "<%s>"]) % f"{inner}{sign}{inner}" + outer
+        if rng.random() < 0.3:
+            host = host.replace(".", rng.choice([" . ", put("."), put("dot")]))
+        return name + rng.choice([" @ ", "@ ", " @", put("at"), put("at"), put("AT"), put("@")]) + host
+    pad = rng.choice(["", "", " "])
     if kind == 1:
-        return value.replace(".", rng.choice([" . ", "-", ":", "[.]", ". "]))
+        if rng.random() < 0.5:
+            low, high = rng.choice([(0, 10), (0, 100), (0, 256), (100, 256)])
+            value = ".".join(str(rng.randrange(low, high)) for _ in range(4))
+        sign = rng.choice(["-", "-", ":", "_", "/", "|", "\u2013", "[.]", "(.)", "{.}", "[dot]"])
+        return value.replace(".", rng.choice([" . ", ". ", " .", pad + sign + pad, pad + sign + pad]))
     digits = re.sub(r"\D", "", value)
     if kind == 2:
-        if rng.random() < 0.3:
-            digits = "".join(rng.choice("0123456789") * rng.choice([1, 1, 2, 4]) for _ in range(16))[:16]
-        return rng.choice([".", "/", "_", "  ", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        if rng.random() < 0.5:
+            digits = (rng.choice("3456") + "".join(rng.choice("0123456789") * rng.choice([1, 1, 2, 4]) for _ in range(16)))[:16]
+        cuts = [0, 4, 10, 15] if rng.random() < 0.15 else [*range(0, len(digits), 4), len(digits)]
+        sign = rng.choice(["  ", "--"]) if rng.random() < 0.2 else pad + rng.choice(["-", ".", "|", "\u2013"] if pad else [".", "/", "_", ":", "|", "\u2013"]) + pad
+        return sign.join(digits[x:y] for x, y in pairwise(sorted({*cuts})))
+    if rng.random() < 0.4:
+        digits = rng.choice(["1", "33", "44", "49"]) + rng.choice("23456789") + _digits(rng, 9)
     a, b, c = digits[:-7][-3:], digits[-7:-4], digits[-4:]
-    form = rng.choice(["{a}-{b}-{c}", "{a}.{b}.{c}", "{a} {b} {c}", "({a}) {b}-{c}", "({a}){b}-{c}", "{a}/{b}-{c}", "{n} {a} {b} {c}", "{n}-{a}-{b}-{c}", "{n} ({a}) {b}-{c}"])
-    return form.format(a=a, b=b, c=c, n=digits[:-10] or "1")
+    x, y = (pad + rng.choice("--../ _\u2013") + pad if rng.random() < 0.8 else " " for _ in range(2))
+    y = rng.choice([x, x, y])
+    area = rng.choice(["{a}{x}", "{a}{x}", "({a}) ", "({a})", "({a}){x}", "[{a}] ", "({a})-"])
+    front = rng.choice(["", "", "{n}{x}", "{n} ", "00{n} ", "00{n}{x}", "0"])
+    rest = rng.choice(["{b}{y}{c}", "{b}{y}{c}", "{b}{c}", "{p}{y}{q}{y}{r}"]) if front[:1] in ("0", "{") else "{b}{y}{c}"
+    return (front + area + rest).format(a=a, b=b, c=c, n=digits[:-10] or "1", x=x, y=y, p=b[:2], q=b[2:] + c[:1], r=c[1:])
 
 
 def _other(rng: random.Random) -> str:
     """A number, or a name with an @, that is no personal data."""
-    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    n = lambda k: _digits(rng, k)
+    day = f"20{n(2)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    clock = f"{rng.randrange(24):02d}:{rng.randrange(60):02d}"
+    year = rng.randrange(1900, 2030)
+    if rng.random() < 0.5:
+        book = rng.choice(["978", "979"])
+        return rng.choice(
+            [
+                f"{book}-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"{book}-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"{book} {n(1)} {n(3)} {n(5)} {n(1)}", f"{book}{n(10)}", f"{n(1)}-{n(3)}-{n(5)}-{n(1)}", f"{n(1)} {n(5)} {n(5)} {n(1)}",
+                f"{year}-{year + 1}-{year + 2}", f"{year}, {year + 2}, {year + 3}", f"{year}-{year + rng.randrange(1, 30)}", f"{year}/{year + 1}", f"{year} {year + 1} {year + 2}", f"{day} {clock}:{n(2)}", f"{day}T{clock}", f"{day} - 20{n(2)}-{n(2)}-{n(2)}", n(rng.randrange(13, 18)),
+                f"{n(4)} {n(4)} {n(4)}", f"{n(4)}-{n(4)}-{n(4)}", f"{rng.randrange(90)}.{n(4)}, -{rng.randrange(180)}.{n(4)}", f"{rng.randrange(90)}.{n(5)}, {rng.randrange(180)}.{n(5)}", f"{rng.randrange(1, 9)},{n(3)},{n(3)},{n(3)}", f"{rng.randrange(1, 9)} {n(3)} {n(3)} {n(3)}",
+                f"{rng.randrange(100, 400)}-{rng.randrange(400, 999)}, {n(4)}", f"{n(4)}-{n(4)}, {n(4)}", f"{n(3)}, {n(3)}, {n(3)}, {n(4)}", f"10.{n(4)}/{n(3)}.{n(4)}", f"{n(2)}-{n(2)}, {n(2)}-{n(2)}, {n(2)}-{n(2)}", f"{n(2)} {n(2)} {n(2)} {n(2)}",
+                f"20{n(2)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d} {n(6)}", f"{n(2)}.{n(5)} {rng.choice('/|-')} {n(2)}.{n(5)}", f"{n(1)} {n(4)} {n(4)} {n(4)}", f"{n(5)} {n(5)} {n(5)}",
+            ]
+        )
     return rng.choice(
         [
-            f"20{n(2)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.20{n(2)}", f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/20{n(2)}",
+            day, f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.20{n(2)}", f"{rng.randrange(1, 29)}/{rng.randrange(1, 13)}/20{n(2)}",
             f"{rng.randrange(24)}:{n(2)}", f"{rng.randrange(24)}:{n(2)}:{n(2)}", f"{rng.randrange(1, 10)}.{rng.randrange(30)}.{rng.randrange(30)}", f"v{rng.randrange(1, 10)}.{rng.randrange(30)}",
             f"{rng.randrange(1, 999)},{n(3)}.{n(2)}", f"${rng.randrange(1, 999)}.{n(2)}", f"{rng.randrange(100)}.{n(rng.randrange(1, 4))}%", n(rng.randrange(1, 13)), f"{n(2)}-{n(3)}", f"#{n(5)}",
-            f"{n(3)} {n(3)}", f"{rng.randrange(1, 99)} - {rng.randrange(1, 99)}", f"@{rng.choice(['home', 'team', 'all', 'user'])}{n(rng.randrange(3))}", f"3 @ {rng.randrange(1, 99)}", f"{rng.choice('ABCDEF')}{n(4)}-{n(2)}",
+            f"{n(3)} {n(3)}", f"{rng.randrange(1, 99)} - {rng.randrange(1, 99)}", f"@{rng.choice(['home', 'team', 'all', 'user'])}{n(rng.randrange(3))}", f"3 @ {rng.randrange(1, 99)}", f"{rng.choice('ABCDEF')}{n(4)}-{n(2)}", "(at) the", "[at] a",
         ]
     )
 
@@ -160,10 +208,12 @@ def draw(windows: DataFrame, number: int) -> list[Row]:
     """``number`` rows (or all) of distinct ``window``, ``tags``: of each kind of the first span a sixth, the other third
     without a span, in each the smallest hashes; where there are too few, the smallest hashes of the rest fill up.
     At most ``number`` rows of each come to the driver."""
-    marked = windows.select("window", "tags", F.xxhash64("window", "tags").alias("hash"), F.regexp_extract("tags", "[1-9]", 0).alias("first"))
-    groups = [marked.where(F.col("first").isin(str(1 + 2 * k), str(2 + 2 * k))) for k in range(len(KINDS))] + [marked.where("first = ''")]
+    group = F.expr(f"cast(coalesce((try_cast(regexp_extract(tags, '[1-9]', 0) as int) - 1) div 2, {len(KINDS)}) as int)")
     order = ["hash", "window", "tags"]
-    ranked = [g.orderBy(*order).limit(number).collect() for g in groups]
+    marked = windows.select("window", "tags", F.xxhash64("window", "tags").alias("hash"), group.alias("group"))
+    best = marked.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(*order))).where(F.col("place") <= number)
+    rows = sorted(best.collect(), key=lambda r: (r["group"], r["place"]))
+    ranked = [[r for r in rows if r["group"] == k] for k in range(len(KINDS) + 1)]
     share = number // (len(KINDS) + 2)
     quotas = [share] * len(KINDS) + [number - share * len(KINDS)]
     drawn = [r for rows, n in zip(ranked, quotas, strict=True) for r in rows[:n]]
@@ -183,7 +233,13 @@ def fit(docs: DataFrame, text_col: str = "text", fit_windows: int = FIT_WINDOWS,
     drawn = draw(windows, fit_windows)
     if not any(set(r["tags"]) - {"0"} for r in drawn):
         return None
-    return Tagger(1 + 2 * len(KINDS), hidden=HIDDEN, seed=seed).fit(*_training([(r["window"], r["tags"]) for r in drawn], random.Random(seed)), epochs=8, batch=96, rate=0.03)
+    return trained([(r["window"], r["tags"]) for r in drawn], seed)
+
+
+def trained(drawn: list[tuple[str, str]], seed: int = 7) -> Tagger:
+    tagger = Tagger(1 + 2 * len(KINDS), hidden=HIDDEN, seed=seed).fit(*_training(drawn, random.Random(seed)), epochs=8, batch=128, rate=0.03)
+    tagger.p["out_b"][0] -= LEAN
+    return tagger
 
 
 def _training(drawn: list[tuple[str, str]], rng: random.Random) -> tuple[list[str], list[np.ndarray]]:
@@ -266,7 +322,7 @@ def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span
             continue
         while a < b and text[a].isspace():
             a += 1
-        while b > a and text[b - 1].isspace():
+        while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:!?"):
             b -= 1
         if b - a < 6:
             continue
@@ -277,13 +333,37 @@ def reconcile(text: str, starts: list[int], tags: list[np.ndarray]) -> list[Span
 
 
 def fits(value: str, kind: int) -> bool:
-    """Whether a text has what all values of a kind have."""
+    """Whether a text can be a value of a kind, its separators undone."""
     if kind == 0:
-        return "@" in value
+        return EMAIL.fullmatch(DOT.sub(".", AT.sub("@", value))) is not None
+    parts, signs = re.findall("[0-9]+", value), {s.strip() for s in re.split("[0-9]+", value)[1:-1]}
+    digits = "".join(parts)
+    if not digits.isascii() or (re.search("[A-Za-z]", value) and not (kind == 1 and DOT.search(value))):
+        return False
     if kind == 1:
-        return len(re.findall("[0-9]+", value)) == 4
-    low, high = ((12, 19), (7, 15))[kind - 2]
-    return low <= len(DIGIT.findall(value)) <= high
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(signs) == 1 and signs != {""}
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits) and len(signs) <= 1
+    # addresses of machines, years, book numbers, and numbers with signs that lists, clocks and coordinates have, are none
+    years = all(len(p) == 4 and "1800" <= p <= "2199" for p in parts)
+    return 10 <= len(digits) <= 15 and 2 <= len(parts) <= 6 and not years and not fits(value, 1) and not re.search("[,;:]", value) and not (len(digits) == 13 and digits[:3] in ("978", "979"))
+
+
+def settled(text: str, span: Span) -> Span | None:
+    """The span, if its value can be of its kind; else the whole address or numbers that it is a part of, if these can; else
+    as an address, ip or card, if it can be one."""
+    a, kind, b = span
+    if fits(text[a:b], kind):
+        return span
+    lo = max(0, a - WINDOW)
+    whole = next((m for m in (NUMBERS if kind else ADDRESS).finditer(text, lo, min(len(text), b + WINDOW)) if m.end() > a), None)
+    ends = [(a, b)] if whole is None or whole.start() >= b else [whole.span(), (a, b)]
+    for k in (kind, *range(3)):
+        for x, y in ends:
+            cuts_word = (x > 0 and text[x - 1].isalnum() and text[x].isalnum()) or (y < len(text) and text[y].isalnum() and text[y - 1].isalnum())
+            if not cuts_word and fits(text[x:y], k):
+                return x, k, y
+    return None
 
 
 def merged(base: list[Span], tagged: list[Span]) -> list[Span]:
@@ -316,7 +396,7 @@ def scan(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_co
         bases, spans, at = [], [], 0
         for text, starts in zip(texts, places, strict=True):
             base = base_spans(text)
-            tagged = [s for s in reconcile(text, starts, tags[at : at + len(starts)]) if fits(text[s[0] : s[2]], s[1])]
+            tagged = [t for s in reconcile(text, starts, tags[at : at + len(starts)]) if (t := settled(text, s))]
             at += len(starts)
             bases.append(base)
             spans.append(merged(base, tagged))
