@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from wattline.llm import line_dedup, mixing, sharding, url_rules
+from wattline.llm import line_dedup, mixing, queries, sharding, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, size int, shard string, quota int"
 
@@ -176,6 +176,19 @@ def test_url_rules(spark, rules):
     assert got == want
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's word, spelled out here and not taken from the code."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/70": ("example.com/en/7", "allow"), "http://a.example.com/en/8": ("com/en/", "block"),
+        "http://net/de/": ("net/de/", "allow"), "http://b.net/de/8": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/80": ("example.net/de/8", "block"), "http://x.example.net/de/8": ("example.net/de/8", "block"), "http://o.org/es/": ("org/es/", "block"),
+        "http://b.net/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_url_rules_long_hosts_and_deep_rules(spark):
     """A host of thousands of labels, and rules nested forty deep in a path."""
     rules = [("block" if k % 2 else "allow", "example.com", "/" + "d/" * k) for k in range(40)]
