@@ -701,6 +701,18 @@ def test_index_prunes_unlike_items(spark):
     assert max(keys) < 600 * 300 / 500
 
 
+def test_index_is_not_broadcast(spark, tmp_path):
+    """However small Spark takes the items' table for, the index of 10,068 rows an item is not gathered on the driver."""
+    rng = random.Random(32)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    spark.createDataFrame([(f"c{i % 30}", 5, 20, [1], f) for i, f in enumerate(fps)], "content string, width long, length long, own array<long>, fp long").write.parquet(str(tmp_path / "items"))
+    spark.createDataFrame([(f"r{i}", 5, 20, 0, f) for i, f in enumerate(fps)], "run string, width long, length long, at long, fp long").write.parquet(str(tmp_path / "windows"))
+    met = decontamination.lookups(spark.read.parquet(str(tmp_path / "windows")), spark.read.parquet(str(tmp_path / "items")))
+    assert {r["item_fp"] for r in met.collect() if r["fp"] == r["item_fp"]} == set(fps)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_radius_keeps_similar_windows():
     """Of fingerprints of shingle sets at 0.8 at most one in 1,000 pairs is outside the radius, and of more similar ones none."""
     rng, outside = np.random.default_rng(0), {9: 0, 18: 0}

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, cut, identity, packed
+from .common import by_batch, cut, fan_out, identity, packed
 
 WIDTH, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a deviation of 2.9: the radius keeps 999 of 1,000.
@@ -251,22 +251,29 @@ def _windows(different: DataFrame) -> DataFrame:
 
 
 def lookups(windows: DataFrame, contents: DataFrame) -> DataFrame:
-    """The windows and contents of one width and length that have a block in common, near enough; a row for each such block."""
+    """The windows and items' fingerprints (``item_fp``) of one width and length that have a block in common, near enough; a row
+    for each such block.
+
+    Spark takes the index for as small as the items it is made of, and would send all of it to the driver to broadcast it; so
+    the join is said to be one of sorted sides. The index holds fingerprints only, as its rows are many."""
     size = 64 // BLOCKS
     block = lambda k: F.expr(f"shiftrightunsigned(fp, {k * size})").bitwiseAND(F.lit((1 << size) - 1))
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), block(k).alias("value")) for k in range(BLOCKS)])
-    index = contents.select("content", "width", "length", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b"))
+    items = contents.select("width", "length", "fp").distinct().repartition(fan_out(contents.sparkSession), F.xxhash64("fp"))
+    index = items.select("width", "length", F.col("fp").alias("item_fp"), F.explode(blocks).alias("b"))
     near = F.explode(F.expr(f"array({', '.join(f'{v}L' for v in NEAR)})"))
-    index = index.select("content", "width", "length", "item_fp", F.col("b.block").alias("block"), "b.value", near.alias("change"))
-    index = index.select("content", "width", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
+    index = index.select("width", "length", "item_fp", F.col("b.block").alias("block"), "b.value", near.alias("change"))
+    index = index.select("width", "length", "item_fp", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value"))
     asked = windows.select("run", "width", "length", "at", "fp", F.explode(blocks).alias("b")).select("run", "width", "length", "at", "fp", "b.block", "b.value")
-    return asked.join(index, ["width", "length", "block", "value"])
+    return asked.join(index.hint("merge"), ["width", "length", "block", "value"])
 
 
 def candidates(windows: DataFrame, contents: DataFrame) -> DataFrame:
     """``run``, ``content``, ``at`` for all windows and contents of one width and length with fingerprints within the radius."""
     met = lookups(windows, contents).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    return met.select("run", "content", "at").distinct()
+    met = met.select("run", "at", "width", "length", "item_fp").distinct()
+    named = contents.select("content", "width", "length", F.col("fp").alias("item_fp"))
+    return met.join(named, ["width", "length", "item_fp"]).select("run", "content", "at")
 
 
 def _verified(found: DataFrame, different: DataFrame, contents: DataFrame) -> DataFrame:
