@@ -23,8 +23,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-copies the document with the smallest id stays."""
-    return simhash.keep_one(docs, simhash.near_copies(docs))
+    """Of each component of texts with near fingerprints, found by their anchors, or of near-copies the document with the
+    smallest id stays."""
+    return simhash.keep_one(docs, simhash.near_copies(docs, threshold=2))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

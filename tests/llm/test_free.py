@@ -890,6 +890,27 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] >= 350 + 36 and kept[1] <= kept[0] - 30 and kept[2] == kept[1] - 1
 
 
+def test_pipeline_links_by_anchors_and_by_similarity(spark):
+    """The stage keeps one document of each component of what op10 links and of what is similar, as by brute force."""
+    import corpus_pipeline
+
+    rows, rng = copy_corpus()[:110], random.Random(21)
+    for k in range(6):  # most shingles are repeats, so fingerprints are near where few distinct shingles are shared
+        rows += [(500 + 2 * k + n, f"a{k} b{k} c{k} " * 120 + " ".join(f"x{rng.randrange(10**6)}" for _ in range(25))) for n in (0, 1)]
+    rows += [(600, None), (601, " "), (602, "")]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    near = {(i, j): bin(prints[i] ^ prints[j]).count("1") <= 2 for i in range(len(rows)) for j in range(i)}
+    alike = {(i, j): jaccard(rows[i][1], rows[j][1]) >= 0.8 for i, j in near}
+    assert sum(n and not alike[p] for p, n in near.items()) >= 3 and sum(a and not near[p] for p, a in alike.items()) >= 3
+    root = list(range(len(rows)))
+    for _ in range(20):
+        for (i, j), n in near.items():
+            if n or alike[i, j]:
+                root[i] = root[j] = min(root[i], root[j])
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "").collect()}
+    assert kept == {rows[r][0] for r in root}
+
+
 # ------------------------------------------------------------------ secrets in nested encodings
 
 

@@ -155,8 +155,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, width: int = 3, id_col:
 
 
 # Near-copies by similarity. At a similarity of 0.8 the fingerprints of whole texts differ in about ten of 64 bits, and
-# to cover that each would have to go to millions of anchors. So this is no covering: texts meet by MinHash samples, the
-# shingles that come first in each of several orders. Two such samples are equal with probability similarity ** SAMPLE.
+# to cover that each would have to go to millions of anchors. So beside the covering, which links fingerprints within a
+# threshold, texts meet by MinHash samples, the shingles that come first in each of several orders. Two such samples are
+# equal with probability similarity ** SAMPLE.
 # Samples of short texts differ more often, so these meet by all the shingles of a prefix, which misses none.
 
 #: Five words a shingle; orders, and shingles sampled in each: of pairs at 0.8, 0.2 % share no sample.
@@ -259,24 +260,39 @@ def copy_links(made: DataFrame, texts: DataFrame, similarity: float = 0.8) -> Da
     return members.groupBy("set").applyInPandas(compare, "u string, v string").distinct()
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def anchor_links(made: DataFrame, threshold: int) -> DataFrame:
+    """For ``uid``, ``fp`` of distinct texts: edges ``u``, ``v`` that connect all whose fingerprints are equal or, by their
+    anchors, within ``threshold`` bits of each other."""
+    first = cut(made.groupBy("fp").agg(F.min("uid").alias("low")))
+    equal = made.join(first, "fp").where("uid <> low").select(F.col("uid").alias("u"), F.col("low").alias("v"))
+    pairs = cut(links(first.select(F.col("fp").alias("_fp")), threshold))
+    one, other = (first.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in ("u", "v"))
+    return equal.union(pairs.join(one, "u").join(other, "v").select(F.col("low_u").alias("u"), F.col("low_v").alias("v")))
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, threshold: int | None = None, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id``, ``_hash``, ``_root`` and ``_component`` for each row: equal texts, and those whose five-word shingles have
-    a Jaccard similarity of ``similarity`` or more, are linked. Texts without words are linked to each other."""
+    a Jaccard similarity of ``similarity`` or more, are linked. Texts without words are linked to each other. With a
+    ``threshold`` (1 or 2) so are texts with SimHash fingerprints that many bits apart at most, as by ``near_duplicates``."""
     rows = docs.select(F.col(id_col).alias("_id"), identity(text_col).alias("_hash"))
     texts = docs.select(identity(text_col).alias("uid"), F.col(text_col).alias("text"))
 
     def samples(frame: pa.RecordBatch) -> dict[str, pa.Array]:
-        sets = [shingle_set(t) for t in frame["text"].to_pylist()]
+        texts = frame["text"].to_pylist()
+        sets = [shingle_set(t) for t in texts]
         whole = [copy_samples(s) if len(s) >= SHORT else [] for s in sets]
         short = [s.view(np.int64) if len(s) * similarity < SHORT else [] for s in sets]
         lists = {c: pa.array(v, pa.list_(pa.int64())) for c, v in (("samples", whole), ("shingles", short))}
-        return {"uid": frame["uid"], "n": pa.array(map(len, sets), pa.int64())} | lists
+        fp = [fingerprint(t, width) if threshold else None for t in texts]
+        return {"uid": frame["uid"], "n": pa.array(map(len, sets), pa.int64()), "fp": pa.array(fp, pa.int64())} | lists
 
-    made = by_batch(texts, lambda: samples, "uid string, n long, samples array<long>, shingles array<long>")
+    made = by_batch(texts, lambda: samples, "uid string, n long, fp long, samples array<long>, shingles array<long>")
     made = cut(made.dropDuplicates(["uid"]))
     blank = made.where("n = 0").agg(F.min("uid")).first()[0]
-    blanks = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("string").alias("v")).where("u <> v")
-    return _named(rows, "_hash", copy_links(made.where("n > 0"), texts, similarity).union(blanks))
+    edges = made.where("n = 0").select(F.col("uid").alias("u"), F.lit(blank).cast("string").alias("v")).where("u <> v")
+    if threshold:
+        edges = edges.union(anchor_links(made.select("uid", "fp"), threshold))
+    return _named(rows, "_hash", copy_links(made.where("n > 0"), texts, similarity).union(edges))
 
 
 def keep_one(docs: DataFrame, found: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
