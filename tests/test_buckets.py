@@ -220,3 +220,66 @@ def test_writes_round_trip(spark):
     after = from_writes(as_writes(before, "slug", F.col("edition")))
     shown = lambda d: [str(r.asDict(True)) for r in d.select(*RECORD, *CHILDREN).collect()]
     assert shown(after) == shown(before) and after.first()["ordinal"] == 3
+
+
+class Kept:
+    """A value state that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, name, schema, expiry_ms=None):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+@pytest.mark.parametrize("expiry", (None, 25))
+def test_state_in_groups_of_keys(expiry):
+    """What goes on is what goes on key by key, and the state is asked twice for a group at most, however many keys it has."""
+    import random
+
+    import pandas as pd
+
+    from wattline.streaming.stateful import LastWrite
+
+    draw, state, known = random.Random(7), Kept(), {}
+    op = LastWrite(expiry)
+    op.init(state)
+    for batch in range(12):
+        state.now, state.calls = 1000 + batch * 10, 0
+        rows = [(draw.randrange(3), draw.randrange(-40, 40), draw.randrange(-3, 4), draw.randrange(-2, 3)) for _ in range(draw.choice((1, 50, 400)))]
+        best, want = {}, []
+        for k1, k2, written, digest in rows:
+            best[k1, k2] = max(best.get((k1, k2), (written, digest)), (written, digest))
+        for k, new in best.items():
+            old = known.get(k)
+            if old is not None and expiry and old[1] + expiry <= state.now:
+                old = None
+            if old is None or new > old[0]:
+                known[k] = (new, state.now)
+                if old is None or new[1] != old[0][1]:
+                    want.append((new[0], f"{k} {new[1]}"))
+        df = pd.DataFrame([(*r, f"{r[:2]} {r[3]}") for r in rows], columns=["k1", "k2", "written", "digest", "record"])
+        parts = [df.iloc[i : i + 30] for i in range(0, len(df), 30)]
+        got = [tuple(r) for out in op.handleInputRows((0,), iter(parts), state) for r in out.itertuples(index=False)]
+        assert sorted(got) == sorted(want) and state.calls <= 2
+
+
+def test_state_partitions_of_a_call(spark, tmp_path):
+    """A call may say how many state stores there are; the session's own setting stays."""
+    root, store, was = str(tmp_path / "landing"), BucketStore(spark, str(tmp_path / "state"), 4), spark.conf.get("spark.sql.shuffle.partitions")
+    land(spark, root, [(f"p{i}", "agency_permitting", 1.0, 10) for i in range(50)])
+    at = str(tmp_path / "stream")
+    assert stateful_ingest(spark, root, LANDED, landed_records, store, at, F.lit(DAY.format(1)).cast("timestamp"), F.col("edition"), groups=8, partitions=2) == 1
+    assert store.read()["projects"].count() == 50 and spark.conf.get("spark.sql.shuffle.partitions") == was
+    assert sorted(p for p in os.listdir(f"{at}/state/0") if p.isdigit()) == ["0", "1"] and not os.path.exists(f"{at}/writes")

@@ -104,7 +104,7 @@ def stateful_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             part.withColumn("edition", F.lit(edition)).write.mode("append").parquet(f"{root}/landing")
         schema = old.withColumn("edition", F.lit(0)).schema
         for _ in range(2):  # the second call finds nothing new
-            stateful_ingest(spark, f"{root}/landing", schema, lambda df: _records(df, "edition"), store, f"{root}/stream", F.lit(f"2001-01-0{day}").cast("timestamp"), F.col("edition"))
+            stateful_ingest(spark, f"{root}/landing", schema, lambda df: _records(df, "edition"), store, f"{root}/stream", F.lit(f"2001-01-0{day}").cast("timestamp"), F.col("edition"), partitions=32)
     rows = store.read()["projects"]
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return rows.select("slug", "current_stage", F.round("capacity_value", 6).alias("capacity_value"), day("created_at"), day("updated_at"), F.lit(store.version()).cast("long").alias("versions"))

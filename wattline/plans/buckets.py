@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.presets import RESOLVED_STAGES
 from ..functions.scalars import split_codes
 from ..operators import deltas
-from ..operators.state import changes, last_write_wins, replace_children
+from ..operators.state import changes, last_write_wins
 from .snapshots import TABLES, SnapshotStore, Tables
 
 STATE_INDEX = {"code": "string", "id": "string"}
@@ -42,6 +42,11 @@ def ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"{c} {t}" for c, t in columns.items())
 
 
+def replaced(existing: DataFrame, incoming: DataFrame, touched: DataFrame) -> DataFrame:
+    """The children of projects that were not touched (those have one row each there), and the incoming ones."""
+    return existing.join(touched.select("project_id"), "project_id", "left_anti").unionByName(incoming)
+
+
 class BucketStore(SnapshotStore):
     """Like ``SnapshotStore``, and of the same tables; ``key`` and ``buckets`` are fixed by the first version."""
 
@@ -136,15 +141,18 @@ class BucketStore(SnapshotStore):
         kept = have["projects"].join(feed.select(self.key), self.key, "left_anti").select(*TABLES["projects"])
         out = {"projects": self._write(folder, "projects", kept.unionByName(feed.where("new is not null").select("new.*")), "id")}
         projects = self._read_back(folder, "projects", out["projects"])
-        live = rows.where(~F.coalesce(F.col("current_stage").isin(*RESOLVED_STAGES), F.lit(False))).withColumn("project_id", F.sha2(F.col(self.key).cast("string"), 256))
-        ids = live.select("project_id")
+        rows = rows.withColumn("project_id", F.sha2(F.col(self.key).cast("string"), 256))
+        gone = F.coalesce(F.col("current_stage").isin(*RESOLVED_STAGES), F.lit(False))
+        live = rows.where(~gone)
         causes = live.select("project_id", F.explode(F.array_distinct("cause_slugs")).alias("cause_slug"))
         sources = live.select("project_id", F.posexplode("sources").alias("ordinal", "s")).select("project_id", "ordinal", "s.label", "s.url")
         milestones = live.select("project_id", F.explode("milestones").alias("m")).select("project_id", "m.*")
+        # a project of the old tables is not in this one only if it came in resolved, and live ones are in it, so children need
+        # not be held against the projects; milestones stay if none came in
         children = {
-            "project_causes": replace_children(have["project_causes"], causes, projects, ids),
-            "project_sources": replace_children(have["project_sources"], sources, projects, ids),
-            "milestones": replace_children(have["milestones"], milestones, projects, ids, only_if_new=True),
+            "project_causes": replaced(have["project_causes"], causes, rows),
+            "project_sources": replaced(have["project_sources"], sources, rows),
+            "milestones": replaced(have["milestones"], milestones, rows.where(gone | (F.size("milestones") > 0))),
         }
         out |= {t: self._write(folder, t, df, "project_id") for t, df in children.items()}
         index = projects.select(F.explode(F.array_distinct(split_codes(F.col("state")))).alias("code"), "id")
